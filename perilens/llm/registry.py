@@ -5,14 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, licences, sentencepiece, sharding, simhash, toxicity
+from . import decontamination, embeddings, html_text, licences, sentencepiece, sharding, simhash, token_counts, toxicity
 from .shared import fold, table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = token_counts.with_trees(docs).withColumn("edits", token_counts.sample_edits(F.col("text")))
+    before = before.withColumn("n_before", F.col("n_tokens")).withColumn("n_pre_tokens", F.size("tree.length"))
+    after = token_counts.apply_edits(before)
+    return after.select(
+        "doc_id",
+        F.col("n_before").cast("long").alias("n_tokens"),
+        F.col("n_tokens").cast("long").alias("n_tokens_edited"),
+        F.col("n_pre_tokens").cast("long").alias("n_pre_tokens"),
+        F.col("n_encoded_again").cast("long").alias("n_encoded_again"),
+        F.crc32(F.col("text").cast("binary")).alias("edited_crc32"),
+    )
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,6 +54,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = sentencepiece.decode(sentencepiece.encode(docs))
@@ -56,7 +80,17 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_simhash, op4_decontamination, op5_sharding, op7_toxicity, op9_sentencepiece, op10_licences]
+    own = [
+        op1_token_counts,
+        op2_simhash,
+        op3_html_text,
+        op4_decontamination,
+        op5_sharding,
+        op7_toxicity,
+        op8_embeddings,
+        op9_sentencepiece,
+        op10_licences,
+    ]
     return {f.__name__: f for f in own}
 
 
