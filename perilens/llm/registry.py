@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, html_text, licences, sentencepiece, sharding, simhash, token_counts, toxicity
+from . import decontamination, embeddings, html_text, language_model, licences, sentencepiece, sharding, simhash, token_counts, toxicity
 from .shared import fold, table
 
 
@@ -41,6 +41,10 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
 
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     field = toxicity.fit(docs, toxicity.training(table(spark, sf_dir, "labels")))
@@ -86,6 +90,7 @@ def queries() -> dict:
         op3_html_text,
         op4_decontamination,
         op5_sharding,
+        op6_language_model,
         op7_toxicity,
         op8_embeddings,
         op9_sentencepiece,
