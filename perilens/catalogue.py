@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from perilens.plans import panel_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "m3_compliance_scoring"
+SECTIONS = (panel_queries,)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for section in SECTIONS for name, f in section.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for section in SECTIONS for name, text in section.ORACLE.items()}
