@@ -38,7 +38,8 @@ def cash_flow_flag(surplus: Col, cash_change: Col) -> Column:
 
 
 def clamp(value: Col, low: float = 0.0, high: float = 100.0, places: int = 2) -> Column:
-    return F.least(F.greatest(F.round(_c(value).cast("double"), places), F.lit(low)), F.lit(high))
+    v = F.round(_c(value).cast("double"), places)
+    return F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(low)), F.lit(high)))  # least and greatest skip missing values
 
 
 def money(text: Col) -> Column:

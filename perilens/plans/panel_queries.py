@@ -8,27 +8,12 @@ from pyspark.sql import functions as F
 from perilens.functions import scalars as S
 from perilens.operators import compliance, panel
 
-from .standins import sql, view
+from .standins import rounded, section, view
 
 ITEMS = {"personnel": ("personnel_actual", "personnel_budget"), "material": ("material_actual", "material_budget")}
 EARLIEST = {"income": 1995, "other": 1996}
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(oracle: str | None = None, *views: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = sql(oracle, *views)
-        return f
-
-    return add
-
-
-def rounded(df: DataFrame, places: int = 4) -> DataFrame:
-    """Doubles rounded, -0 as 0, so that another summation order gives the same row."""
-    return df.select(*[(F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+QUERIES, ORACLE, query = section()
 
 
 def features(df: DataFrame) -> DataFrame:
@@ -195,13 +180,13 @@ def f16_yoy(spark: SparkSession, d: str) -> DataFrame:
 @query(
     f"""WITH {LONG_SQL}, h AS (SELECT *, avg(value) OVER w AS m, stddev_samp(value) OVER w AS s, avg(value) OVER (PARTITION BY id, metric ORDER BY year ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS mm
         FROM long WHERE year >= CASE category WHEN 'income' THEN 1995 ELSE 1996 END WINDOW w AS (PARTITION BY id, metric ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-    SELECT id, year, metric, round(m, 3) AS history_mean, round(s, 3) AS history_std, round(mm, 3) AS moving_mean,
+    SELECT id, year, metric, round(m, 6) AS history_mean, round(s, 3) AS history_std, round(mm, 6) AS moving_mean,
     round((value - m) / CASE WHEN s > 1e-12 * greatest(abs(m), 1e-12) THEN s END, 4) + 0.0 AS z FROM h""",
     "panel",
 )
 def f6_f7_history_z(spark: SparkSession, d: str) -> DataFrame:
     out = panel.history_z(_long(spark, d), ["id", "metric"], "year", "value", "category", EARLIEST)
-    two = [F.round(c, 3).alias(c) for c in ("history_mean", "history_std", "moving_mean")]
+    two = [F.round(c, n).alias(c) for c, n in (("history_mean", 6), ("history_std", 3), ("moving_mean", 6))]
     return out.select("id", "year", "metric", *two, (F.round("z", 4) + 0.0).alias("z"))
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: One SQL text for both engines where they agree; it names only tables of the test data.
 SQL = {
@@ -45,8 +48,6 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _bound(text: str, tables: list[str]) -> str:
-    import re
-
     for t in tables:
         text = re.sub(rf"\b(FROM|JOIN)\s+{t}\b", rf"\1 {{{t}}}", text)
     return text
@@ -60,3 +61,24 @@ def sql(query: str, *views: str) -> str:
     if body.upper().startswith("WITH "):
         return f"{head.rstrip()}, {body[5:]}" if head else body
     return head + body
+
+
+def section() -> tuple[dict, dict, object]:
+    """Two registries and the decorator that fills them: ``@query(oracle_sql, *views)`` on a query function."""
+    queries, oracle = {}, {}
+
+    def query(text: str | None = None, *views: str):
+        def add(f):
+            queries[f.__name__] = f
+            if text:
+                oracle[f.__name__] = sql(text, *views)
+            return f
+
+        return add
+
+    return queries, oracle, query
+
+
+def rounded(df: DataFrame, places: int = 4) -> DataFrame:
+    """Doubles rounded, -0 as 0, so that another summation order gives the same row."""
+    return df.select(*[(F.round(c, places) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
