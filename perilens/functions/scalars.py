@@ -159,7 +159,7 @@ def distance_km(lat1: Col, lng1: Col, lat2: Col, lng2: Col) -> Column:
     """Great-circle distance in kilometres on a sphere of radius 6371."""
     a = F.pow(F.sin(F.radians(_c(lat2) - _c(lat1)) / 2), 2)
     b = F.cos(F.radians(_c(lat1))) * F.cos(F.radians(_c(lat2))) * F.pow(F.sin(F.radians(_c(lng2) - _c(lng1)) / 2), 2)
-    return 2 * 6371.0 * F.asin(F.sqrt(F.least(a + b, F.lit(1.0))))
+    return F.when((a + b).isNotNull(), 2 * 6371.0 * F.asin(F.sqrt(F.least(a + b, F.lit(1.0)))))
 
 
 def geo_score(lat1: Col, lng1: Col, lat2: Col, lng2: Col) -> Column:

@@ -16,7 +16,7 @@ SQL = {
     "report": """SELECT event_id AS id, user_id AS institution_id, ts AS created_at, value,
         CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'submitted' WHEN 'signup' THEN 'investigating' WHEN 'purchase' THEN 'closed' ELSE 'rejected' END AS status,
         CASE WHEN event_id % 3 = 0 THEN NULL ELSE concat('staff', CAST(user_id % 7 AS VARCHAR(9))) END AS assignee FROM events""",
-    "scan": """SELECT event_id AS id, user_id AS institution_id, ts AS finished_at, value AS opinion_score,
+    "scan": """SELECT event_id AS id, user_id AS institution_id, ts AS finished_at, CAST(floor(value) AS DOUBLE) AS opinion_score,
         CASE WHEN event_type IN ('purchase', 'view') THEN 'done' WHEN event_type = 'error' THEN 'failed' ELSE 'searching' END AS status FROM events""",
     "review": """SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey AS institution_id, l_partkey AS place_id, l_linenumber AS rating, l_returnflag AS author,
         CAST(l_shipdate AS DATE) AS publish_date, l_quantity AS helpful FROM lineitem""",
