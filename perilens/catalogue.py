@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perilens.plans import listing_queries, panel_queries, text_queries
+from perilens.plans import listing_queries, panel_queries, record_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "m3_compliance_scoring"
-SECTIONS = (panel_queries, listing_queries, text_queries)
+SECTIONS = (panel_queries, listing_queries, text_queries, record_queries)
 
 
 def queries() -> dict[str, Query]:
