@@ -140,7 +140,7 @@ DIRECTIONS = {"HIGH": "high", "LOW": "low", "SHIFT": "shift"}
 
 def directions(codes: Col) -> Column:
     """Known codes of a '+'-joined list, in order, as an array."""
-    parts = F.transform(F.split(F.upper(F.coalesce(_c(codes), F.lit(""))), r"\+"), F.trim)
+    parts = F.transform(F.split(F.upper(F.coalesce(_c(codes), F.lit(""))), r"\+"), lambda p: F.trim(p))
     return F.filter(parts, lambda p: p.isin(*DIRECTIONS))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENCODINGS = ("UTF-8", "Big5")
+STANDARD = ("UTF-8", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "US-ASCII", "ISO-8859-1")
 
 
 def pick(df: DataFrame, names: Sequence[str]) -> Column:
@@ -21,6 +22,8 @@ def read_csv(spark: SparkSession, path: str, aliases: Mapping[str, Sequence[str]
     known = {n for names in aliases.values() for n in names}
     df = None
     for encoding in encodings:
+        if encoding.upper() not in STANDARD:  # Spark reads other charsets only with this setting, which stays on
+            spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         df = spark.read.option("header", True).option("encoding", encoding).csv(path)
         df = df.withColumnsRenamed({c: c.lstrip("﻿").strip() for c in df.columns})
         if known & set(df.columns):

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
@@ -14,11 +15,10 @@ from perilens.operators.upsert import touch
 
 
 def _snapshots(spark: SparkSession, table: str) -> tuple[DataFrame | None, int]:
-    """The newest complete snapshot below a folder, and its number; 0 and none before the first."""
+    """The newest finished snapshot below a folder, and its number; 0 and none before the first."""
     try:
-        done = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "_SUCCESS").load(table)
-        newest = done.select(F.max(F.regexp_extract("path", r"/v(\d+)/", 1).cast("long"))).first()[0]
-    except Exception:  # noqa: BLE001 - no folder yet
+        newest = spark.read.schema("number long").json(f"{table}/log").agg(F.max("number")).first()[0]
+    except AnalysisException:  # no folder yet
         newest = None
     return (spark.read.parquet(f"{table}/v{newest}"), newest) if newest else (None, 0)
 
@@ -38,6 +38,7 @@ def keep_reviews(stream: DataFrame, table: str, checkpoint: str, key: str = "con
         new = rows if old is None else rows.select(*old.columns)
         empty = spark.createDataFrame([], new.schema) if old is None else old
         touch(empty, new, key, first, last).write.mode("overwrite").parquet(f"{table}/v{number + 1}")
+        spark.range(number + 1, number + 2).toDF("number").write.mode("append").json(f"{table}/log")  # only now it counts
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
