@@ -95,7 +95,7 @@ WEIGHT_SQL = "CASE tag " + " ".join(f"WHEN '{t}' THEN {w}" for t, (w, _) in RULE
 
 @query(
     f"""WITH {SCAN_SQL}, b AS (SELECT scan_id, tag, max({WEIGHT_SQL} * CASE WHEN verified THEN 1.0 ELSE 0.4 + 0.6 * coalesce(negative_score, 0.5) END) AS v FROM (SELECT *, unnest(tags) AS tag FROM it WHERE attribution = 'confirmed') GROUP BY 1, 2)
-    SELECT s.scan_id, coalesce(round(least(100.0, sum(v)), 2), 0.0) AS opinion_score FROM (SELECT DISTINCT scan_id FROM it) s LEFT JOIN b ON b.scan_id = s.scan_id GROUP BY 1"""
+    SELECT s.scan_id, round(least(100.0, coalesce(sum(v), 0.0)), 2) AS opinion_score FROM (SELECT DISTINCT scan_id FROM it) s LEFT JOIN b ON b.scan_id = s.scan_id GROUP BY 1"""
 )
 def e15_opinion_score(spark: SparkSession, d: str) -> DataFrame:
     """E15, I21."""
