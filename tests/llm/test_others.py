@@ -117,6 +117,7 @@ def test_pipeline_stages_and_decisions(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     out = corpus_pipeline.run(spark, DIR).collect()
     ids = [r.doc_id for r in out]
+    assert all(r.round_trip and len(r.piece_ids) > 0 for r in out)
     assert len(set(ids)) == len(ids) and 0 < len(ids) < docs.count()
     kept = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -124,8 +125,8 @@ def test_pipeline_stages_and_decisions(spark):
         assert kept.columns == docs.columns, name
     texts = {r.doc_id: r.text for r in kept.collect()}
     assert set(texts) == set(ids)
-    prints = [simhash.fingerprint(t, 5) for t in texts.values()]
-    assert all((a ^ b).bit_count() > 2 for i, a in enumerate(prints) for b in prints[:i])
+    runs = [decontamination.shingles(decontamination.loose_words(t), 5) for t in texts.values()]
+    assert not any(a and len(a & b) >= 0.9 * len(a | b) for i, a in enumerate(runs) for b in runs[:i])
     items = spark.read.parquet(f"{DIR}/benchmark.parquet").select("item_id", "text")
     for r in items.collect():
         own = decontamination.shingles(decontamination.loose_words(r.text), 5)
@@ -139,3 +140,32 @@ def test_stages_on_odd_rows(spark):
         for _, stage in corpus_pipeline.STAGES:
             frame = stage(spark, frame, DIR)
             frame.collect()
+
+
+def test_similar_documents_find_near_copies_and_leave_others(spark):
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    texts, group = [], []
+    for g in range(80):
+        base = list(rng.choice(words, int(rng.integers(60, 400))))
+        for copy in range(1 + 3 * (g % 2)):
+            own = list(base)
+            for _ in range(copy * len(base) // 150):
+                own[int(rng.integers(len(own)))] = "new" + str(rng.integers(999))
+            texts.append(" ".join(own).upper() if copy == 1 else " ".join(own))
+            group.append(g)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shard in (4096, 8):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, shard_rows=shard).collect()}
+        first = {}
+        for i, g in enumerate(group):
+            first.setdefault(g, i)
+        assert all(got[i] == first[g] for i, g in enumerate(group))
+
+
+def test_similar_documents_on_odd_rows(spark):
+    rows = [(1, ""), (2, None), (3, " *** "), (None, "some words that have no id at all"), (5, "long " * 20_000), (6, "Long, " * 20_000), (7, "one"), (7, "one")]
+    frame = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, prints string, component_id string")
+    got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_documents(frame).collect()), key=str)
+    assert got == sorted([(1, 1), (2, 1), (3, 1), (None, None), (5, 5), (6, 5), (7, 7), (7, 7)], key=str)
+    assert simhash.similar_documents(frame.limit(0)).count() == 0
