@@ -275,3 +275,19 @@ def test_cooldown_state(spark):
     first = next(p.handleInputRows((7,), iter([rows]), None))
     second = next(p.handleInputRows((7,), iter([rows.assign(id=[4, 5, 6], at=[at(500), at(900), at(2000)], status="queued")]), None))
     assert list(first.decision) == ["start", "cooldown", "start"] and list(second.decision) == ["cooldown", "start", "start"]
+
+
+def test_cooldown_stream(spark, tmp_path):
+    source = str(tmp_path / "in")
+    schema = "id long, institution_id long, at timestamp, status string"
+    spark.sql(
+        "select * from values (1L, 7L, timestamp'2024-01-01 00:00:00', 'done'), (2L, 7L, timestamp'2024-01-01 00:05:00', 'queued'), (3L, 8L, timestamp'2024-01-01 00:05:00', 'queued') as t(id, institution_id, at, status)"
+    ).write.parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = jobs.cooldown(spark.readStream.schema(schema).parquet(source), "institution_id")
+        query = out.writeStream.format("memory").queryName("decisions").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert {(r.id, r.decision) for r in spark.table("decisions").collect()} == {(1, "start"), (2, "cooldown"), (3, "start")}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
