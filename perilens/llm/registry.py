@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontamination, embeddings, html_text, language_model, licences, sentencepiece, sharding, simhash, token_counts, toxicity
-from .shared import fold, table
+from .shared import EDGE, fold, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,5 +99,21 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
+_WORDS = "list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: lower(trim(w, '{edge}'))), lambda w: w <> '')"
+_EDGE = EDGE.replace("'", "''")
+
+OP4_SQL = f"""WITH d AS (SELECT DISTINCT doc_id, {_WORDS.format(edge=_EDGE)} AS w FROM documents), b AS (SELECT DISTINCT item_id, {_WORDS.format(edge=_EDGE)} AS w FROM benchmark WHERE item_id IS NOT NULL),
+    i AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM (SELECT *, least(5, len(w)) AS n FROM b WHERE len(w) > 0))),
+    x AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
+    m AS (SELECT doc_id, item_id, count(*) AS c FROM x JOIN i ON i.n = x.n AND i.s = x.s GROUP BY 1, 2), t AS (SELECT item_id, count(*) AS c FROM i GROUP BY 1)
+    SELECT m.doc_id, m.item_id, CAST(m.c AS DOUBLE) / t.c AS containment, CAST(m.c AS INT) AS n_shared, CAST(t.c AS INT) AS n_shingles FROM m JOIN t ON t.item_id = m.item_id WHERE m.c >= 0.8 * t.c - 1e-9"""
+
+OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    p AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.98),
+    r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, p.y FROM r JOIN p ON p.x = r.y)
+    SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) c ON c.x = v.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM p GROUP BY 1) n ON n.x = v.vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express; hashes, models, DOM trees and permutations are tested against brute force instead."""
+    return {"op4_decontamination": OP4_SQL, "op8_embeddings": OP8_SQL}

@@ -169,3 +169,10 @@ def test_similar_documents_on_odd_rows(spark):
     got = sorted(((r.doc_id, r.component_id) for r in simhash.similar_documents(frame).collect()), key=str)
     assert got == sorted([(1, 1), (2, 1), (3, 1), (None, None), (5, 5), (6, 5), (7, 7), (7, 7)], key=str)
     assert simhash.similar_documents(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_sql_twins(spark, name):
+    from tests.oracle import connect, difference
+
+    assert difference(registry.queries()[name](spark, DIR), connect(DIR), registry.oracle_sql()[name]) == ""
