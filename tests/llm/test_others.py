@@ -150,7 +150,7 @@ def test_similar_documents_find_near_copies_and_leave_others(spark):
         base = list(rng.choice(words, int(rng.integers(60, 400))))
         for copy in range(1 + 3 * (g % 2)):
             own = list(base)
-            for _ in range(copy * len(base) // 150):
+            for _ in range(copy * len(base) // 300):
                 own[int(rng.integers(len(own)))] = "new" + str(rng.integers(999))
             texts.append(" ".join(own).upper() if copy == 1 else " ".join(own))
             group.append(g)
