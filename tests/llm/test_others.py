@@ -171,6 +171,16 @@ def test_similar_documents_on_odd_rows(spark):
     assert simhash.similar_documents(frame.limit(0)).count() == 0
 
 
+def test_pairs_at_the_threshold_meet_whatever_the_number_of_rows():
+    rng = np.random.default_rng(8)
+    missed = 0
+    for _ in range(2000):
+        pool = rng.integers(0, 2**63, 220, dtype=np.int64).view(np.uint64)
+        a, b = pool[:200], np.concatenate((pool[:178], pool[200:]))  # 178 of 222, Jaccard 0.8 and a little
+        missed += not np.any(simhash.bands(a) == simhash.bands(b))
+    assert missed == 0 and len(simhash.bands(pool)) == simhash.BANDS
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql_twins(spark, name):
     from tests.oracle import connect, difference
