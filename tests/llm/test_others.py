@@ -171,6 +171,36 @@ def test_similar_documents_on_odd_rows(spark):
     assert simhash.similar_documents(frame.limit(0)).count() == 0
 
 
+def brute_groups(texts, similarity=0.8):
+    runs = [decontamination.shingles(decontamination.loose_words(t), 5) for t in texts]
+    root = list(range(len(runs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(runs):
+        for j, b in enumerate(runs[:i]):
+            if len(a & b) >= similarity * len(a | b) - 1e-9:
+                hi, lo = sorted((find(i), find(j)), reverse=True)
+                root[hi] = lo
+    return {i: find(i) for i in range(len(runs))}
+
+
+def near_copies(rng, bases, change):
+    """Texts and copies of them: scattered words changed, a passage changed, a passage added, by ``change`` of their words."""
+    words = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(3000)]
+    for g in range(bases):
+        base = list(rng.choice(words, int(rng.integers(60, 400))))
+        yield base
+        n = max(1, int(change(g) * len(base)))
+        at = int(rng.integers(len(base) - n))
+        yield [f"new{g}" if i % 50 == 7 and i // 50 < n // 5 + 1 else w for i, w in enumerate(base)]
+        yield base[:at] + list(rng.choice(words, n)) + base[at + n :]
+        yield base[:at] + list(rng.choice(words, n)) + base[at:]
+
+
 def test_pairs_at_the_threshold_meet_whatever_the_number_of_rows():
     rng = np.random.default_rng(8)
     missed = 0
@@ -181,6 +211,16 @@ def test_pairs_at_the_threshold_meet_whatever_the_number_of_rows():
     assert missed == 0 and len(simhash.bands(pool)) == simhash.BANDS
 
 
+def test_similar_documents_equal_brute_force_at_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(t) for t in near_copies(rng, 120, lambda g: 0.04 + 0.002 * g)]
+    want = brute_groups(texts)
+    assert 150 < len(set(want.values())) < len(texts) - 50
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for options in ({}, {"shard_rows": 2}, {"shard_rows": 2, "most_shards": 1}):
+        assert {r.doc_id: r.component_id for r in simhash.similar_documents(frame, **options).collect()} == want, options
+
+
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_sql_twins(spark, name):
     from tests.oracle import connect, difference
