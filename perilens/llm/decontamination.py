@@ -113,7 +113,7 @@ def contaminated(
                     text = text.as_py()
                     if not text:
                         continue
-                    hashes = memo.of(text.encode("utf-8", "surrogatepass").split())
+                    hashes = memo.of([w.encode("utf-8", "surrogatepass") for w in text.split()])  # cut as loose_words does
                     hits = tables.candidates(hashes[hashes != 0])
                     if hits:
                         words = loose_words(text)

@@ -177,6 +177,17 @@ def test_decontamination_edges_and_blocks(spark, edges, empty):
     assert decontamination.contaminated(edges, table.limit(0)).count() == 0
 
 
+def test_decontamination_with_other_white_space(spark):
+    """No-break, ideographic, thin and line-separating spaces are white space in documents and items alike."""
+    item = "the quick brown fox jumps over one lazy dog near a river bank today"
+    spaces = ["\u00a0", "\u3000", "\u2009", "\u2028", "\u0085", "\x1f"]
+    rows = [(i, "before " + s.join(item.split()) + " after") for i, s in enumerate(spaces)] + [(90, "before " + item.replace("fox ", "fox\u00a0") + " after"), (91, "none of it")]
+    items = [(1, item), (2, "\u3000".join(item.split()))]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_shingles) for r in got.collect()}
+    assert got == brute_contained(rows, items) and len(got) == 14
+
+
 # 5 ---------------------------------------------------------------------------------------------------------
 
 
