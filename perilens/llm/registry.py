@@ -42,7 +42,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.scores(table(spark, sf_dir, "documents"))
+    return language_model.scores(table(spark, sf_dir, "documents"), least=1)
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from perilens.llm import language_model as lm
+from perilens.llm import registry
 
 TABLE = "/root/testdata/sf0.001/documents.parquet"
 
@@ -94,3 +95,10 @@ def test_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lm.scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 0, 0)
+
+
+def test_query_keeps_pairs_seen_once(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(TABLE).collect()]
+    want = {w[0]: w[-1] for w in brute(rows, least=1)}
+    got = {r.doc_id: r.score for r in registry.op6_language_model(spark, "/root/testdata/sf0.001").collect()}
+    assert len(want) == len(rows) and got == pytest.approx(want, rel=1e-9, abs=1e-9)
