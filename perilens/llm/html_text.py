@@ -30,7 +30,9 @@ CLOSES = {
     "th": {"td", "th", "p"}, "tbody": {"td", "th", "tr", "thead", "p"}, "body": {"head"},
 }
 #: Elements that never hold the article, and words of class, id and role names that say the same.
-APART = frozenset("head nav footer aside form menu dialog fieldset".split())
+APART = frozenset("head nav footer".split())
+#: Elements that mostly don't; like the words below they never cover the article or the bulk of a text.
+MOSTLY_APART = frozenset("aside form menu dialog fieldset".split())
 APART_WORDS = re.compile(
     r"(?<![a-z])(nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|banner|cookies?|consent|gdpr|notices?|ads?|advert|adverts|advertisement|adsbygoogle"
     r"|sponsor|sponsored|promo|promotion|popup|modal|overlay|comments?|disqus|reply|replies|respond|share|sharing|social|newsletter|subscribe|subscription|signup|login"
@@ -41,10 +43,10 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("name", "up", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "apart")
+    __slots__ = ("name", "up", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "apart", "mark")
 
-    def __init__(self, name: str, up: Node | None, apart: bool):
-        self.name, self.up, self.apart = name, up, apart
+    def __init__(self, name: str, up: Node | None, mark: int):
+        self.name, self.up, self.mark, self.apart = name, up, mark, False
         self.parts: list[Node | str] = []
         self.chars = self.link_chars = self.link_tags = 0
         self.tags = 1
@@ -52,8 +54,8 @@ class Node:
 
 
 def dom(page: str) -> Node:
-    """The block tree of a page; scripts, styles and comments are left out, boilerplate is marked ``apart``."""
-    root = node = Node("html", None, False)
+    """The block tree of a page; scripts, styles and comments are left out, ``mark`` is 2 for boilerplate, 1 for what may be."""
+    root = node = Node("html", None, 0)
     at, links, in_article = 0, 0, 0
     for m in TOKEN.finditer(page):
         if m.start() > at:
@@ -92,18 +94,18 @@ def dom(page: str) -> Node:
         if name == "html" or (name == "body" and any(isinstance(x, Node) and x.name == "body" for x in root.parts)):
             continue
         if name in VOID:
-            node.parts.append(Node(name, node, False))
+            node.parts.append(Node(name, node, 0))
             continue
         while node.up is not None and (node.name == "p" or node.name in CLOSES.get(name, ())):
             node = node.up
         inside, up = False, node
         while up is not None and not inside:
             inside, up = up.name in ("article", "main"), up.up
-        apart = node.apart or name in APART or (name == "header" and not inside)
-        if not apart and m[4] and name not in ("body", "article", "main"):
+        mark = 2 if name in APART or (name == "header" and not inside) else int(name in MOSTLY_APART)
+        if not mark and m[4] and name not in ("body", "article", "main"):
             words = " ".join(v.strip("\"'") for v in NAMED.findall(m[4]))
-            apart = bool(words) and APART_WORDS.search(CAMEL.sub("-", words).lower().replace("_", "-")) is not None
-        child = Node(name, node, apart)
+            mark = int(bool(words) and APART_WORDS.search(CAMEL.sub("-", words).lower().replace("_", "-")) is not None)
+        child = Node(name, node, mark)
         node.parts.append(child)
         node = child
     if at < len(page):
@@ -112,6 +114,46 @@ def dom(page: str) -> Node:
     return root
 
 
+def set_apart(root: Node) -> Node:
+    """Decides what is ``apart``: marked 2, or marked 1 unless that would cover the article.
+
+    A mark of 1 doesn't count if the node holds an article or main element and none with text is outside all marks, or
+    if it holds more than half of the text of the article that it is in (of the page, where no such element is
+    outside all marks). Where all text is apart, marks of 1 don't count at all.
+    """
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [x for x in reversed(node.parts) if isinstance(x, Node) and x.mark < 2]
+    size = {id(n): n.chars for n in order}
+    holds = {id(n): False for n in order}
+    for n in reversed(order):
+        holds[id(n)] |= n.name in ("article", "main") and size[id(n)] > 0
+        if n.up is not None:
+            size[id(n.up)] += size[id(n)]
+            holds[id(n.up)] |= holds[id(n)]
+    clear, free = {id(None)}, False
+    for n in order:
+        if n.mark == 0 and id(n.up) in clear:
+            clear.add(id(n))
+            free |= n.name in ("article", "main") and size[id(n)] > 0
+    within: dict[int, Node | None] = {id(None): None}
+    text = False
+    for n in order:
+        holder = within[id(n.up)]
+        bulk = 2 * size[id(n)] > size[id(holder or root)] and (holder is not None or not free)
+        n.apart = (n.up is not None and n.up.apart) or (n.mark == 1 and not bulk and not (holds[id(n)] and not free))
+        within[id(n)] = n if n.name in ("article", "main") else holder
+        text |= n.chars > 0 and not n.apart
+    for n in order:
+        n.apart &= text
+        for x in n.parts:
+            if isinstance(x, Node) and x.mark == 2:
+                x.apart = True
+    return root
+
+
 def weigh(root: Node) -> list[Node]:
     """Fills composite densities and their sums over children; gives the nodes that aren't boilerplate, top first."""
     order, stack = [], [root]
@@ -208,7 +250,7 @@ def main_text(page: str | None) -> str:
     """The article of one page: its blocks in page order, joined by line ends; empty if there is none."""
     if not page:
         return ""
-    return "\n".join(b for node in chosen(weigh(dom(page))) for b in blocks(node) if b)
+    return "\n".join(b for node in chosen(weigh(set_apart(dom(page)))) for b in blocks(node) if b)
 
 
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:

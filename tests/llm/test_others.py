@@ -44,6 +44,26 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+BODY = "<h1>Title</h1><p>A first paragraph of the article, long enough to count.</p><p>And a second one that goes on for a while.</p>"
+ARTICLE = "Title\nA first paragraph of the article, long enough to count.\nAnd a second one that goes on for a while."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='content-sidebar-wrap'><article>{BODY}</article><div class=sidebar>links</div></div>", ARTICLE),
+        (f"<div id='page' class='right-sidebar'><main>{BODY}</main></div>", ARTICLE),
+        (f"<div class='no-comments'><div>{BODY}</div></div>", ARTICLE),
+        (f"<form action=x><nav>menu</nav><article>{BODY}</article><footer>end</footer></form>", ARTICLE),
+        (f"<article><div class='search'>{BODY}</div><div class=related>more</div></article>", ARTICLE),
+        (f"<article>{BODY}</article><div class=comments><article><p>{'I like it. ' * 50}</p></article></div>", ARTICLE),
+        (f"<div class=side><p>One.</p></div><div class=alert><p>Two.</p></div>", "One.\nTwo."),
+    ],
+)
+def test_names_and_forms_do_not_cover_the_article(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, "old"), (None, None, "<p>" + "word " * 50_000, "old"), (2, "u", "<p>a</p>", "old"), (2, "u", "<p>a</p>", "old")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
