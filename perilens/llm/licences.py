@@ -7,20 +7,34 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Licences that are read from a lone SPDX identifier; other tags and expressions give SPDX-tag.
+SPDX = (
+    "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later"
+    " AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause MPL-2.0 ISC Zlib EPL-1.0 EPL-2.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0"
+).split()
+
 #: Known licence sentences. (identifier, pattern that a whole normalised sentence must match).
 SENTENCES = [
-    ("MITnamed", r"(.* )?(released|licensed|distributed|available|provided|published) under (the )?(terms of the )?(mit|expat) licen[sc]e"),
+    ("MITnamed", r"(.* )?(released|licensed|distributed|available|provided|published) under (the )?(terms of the )?(mit|expat) licen[sc]e([ ;,:(].*)?"),
     ("MITgrant", r"(.* )?permission is hereby granted, free of charge, to any person obtaining a copy of this software.*"),
     ("MITnotice", r"(.* )?the above copyright notice and this permission notice shall be included in all copies.*"),
     ("MITasis", r"(.* )?the software is provided as is, without warranty of any kind.*"),
-    ("Apache2named", r"(.* )?licensed under (the )?(terms of the )?apache licen[sc]e,? (version |v)?2(\.0)?( \(the licen[sc]e\))?"),
+    ("Apache2named", r"(.* )?licensed under (the )?(terms of the )?apache licen[sc]e,? (version |v)?2(\.0)?([ ;,:(].*)?"),
     ("ApacheComply", r"(.* )?you may not use (this file|these files) except in compliance with the licen[sc]e"),
     ("ApacheCopyAt", r"(.* )?you may obtain a copy of the licen[sc]e at.*"),
     ("ApacheAsIs", r"(.* )?unless required by applicable law or agreed to in writing, software.*"),
-    ("GPL3only", r"(.* )?licensed under (the )?(terms of the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?3(\.0)?( only)?"),
-    ("GPL2only", r"(.* )?licensed under (the )?(terms of the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?2(\.0)?( only)?"),
+    ("GPL3plus", r"(.* )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?3(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
+    ("GPL2plus", r"(.* )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?2(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
+    ("GPL3only", r"(.* )?licensed under (the )?(terms of the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?3(\.0)?( only)?([ ;,:(].*)?"),
+    ("GPL2only", r"(.* )?licensed under (the )?(terms of the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?2(\.0)?( only)?([ ;,:(].*)?"),
     ("LGPLnamed", r"(.* )?licensed under (the )?(terms of the )?(gnu (lesser|library) general public licen[sc]e|lgpl).*"),
     ("AGPLnamed", r"(.* )?licensed under (the )?(terms of the )?(gnu affero general public licen[sc]e|agpl).*"),
+    ("GPLfree2plus", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e,? as published by the free software foundation[;,]? either version 2(\.0)? of the licen[sc]e, or.*"),
+    ("GPLfree2only", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e,? as published by the free software foundation[;,]? version 2(\.0)?( of the licen[sc]e)?( only)?"),
+    ("GPLfree3plus", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e,? as published by the free software foundation[;,]? either version 3(\.0)? of the licen[sc]e, or.*"),
+    ("GPLfree3only", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e,? as published by the free software foundation[;,]? version 3(\.0)?( of the licen[sc]e)?( only)?"),
+    ("LGPLfree", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu (lesser|library) general public licen[sc]e.*"),
+    ("AGPLfree", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e.*"),
     ("GPLfree", r"(.* )?is free software(;|:)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation.*"),
     ("GPLver2plus", r"(.* )?either version 2 of the licen[sc]e, or \(at your option\) any later version"),
     ("GPLver3plus", r"(.* )?either version 3 of the licen[sc]e, or \(at your option\) any later version"),
@@ -38,6 +52,14 @@ SENTENCES = [
     ("BSDendorse", r"(.* )?neither the name of .* may be used to endorse or promote products.*"),
     ("BSDnamed", r"(.* )?(released|licensed|distributed) under (the |a )?(terms of the )?((modified|new|revised|simplified|[23]-clause) )?bsd (2-clause |3-clause )?licen[sc]e"),
     ("MPL2named", r"(.* )?subject to the terms of the mozilla public licen[sc]e,? (version |v\. ?|v)?2(\.0)?"),
+    ("ISCgrant", r"(.* )?permission to use, copy, modify,? (and|and/or) distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("ISCnamed", r"(.* )?(released|licensed|distributed|available) under (the )?(terms of the )?isc licen[sc]e([ ;,:(].*)?"),
+    ("ZlibAsIs", r"(.* )?this software is provided as-is, without any express or implied warranty.*"),
+    ("ZlibNamed", r"(.* )?(released|licensed|distributed|available) under (the )?(terms of the )?zlib(/libpng)? licen[sc]e([ ;,:(].*)?"),
+    ("EPL2named", r"(.* )?under the terms of the eclipse public licen[sc]e,?( -)? (version |v\. ?|v)?2(\.0)?([ ;,:(].*)?"),
+    ("EPL1named", r"(.* )?under the terms of the eclipse public licen[sc]e,?( -)? (version |v\. ?|v)?1(\.0)?([ ;,:(].*)?"),
+    ("Unlicense", r"(.* )?this is free and unencumbered software released into the public domain"),
+    *[(f"SPDX-{x}", rf"(.* )?spdx-licen[sc]e-identifier: ?{x.lower().replace('.', '[.]')}(?![a-z0-9.+-])(?! (or|and|with) ).*") for x in SPDX],
     ("SPDX", r"(.* )?spdx-licen[sc]e-identifier: ?[a-z0-9.+-]+.*"),
     ("AllRights", r"(.* )?all rights reserved"),
 ]
@@ -48,13 +70,15 @@ RULES = [
     ("BSD-2-Clause", r"BSDpre,BSDsource,BSDbinary,"),
     ("MIT", r"MITgrant,(MITnotice,)?(MITasis,)?"),
     ("Apache-2.0", r"Apache2named,(ApacheComply,)?(ApacheCopyAt,)?(ApacheAsIs,)?"),
-    ("GPL-2.0-or-later", r"GPLfree,GPLver2plus,(GPLnowarranty,)?"),
-    ("GPL-3.0-or-later", r"GPLfree,GPLver3plus,(GPLnowarranty,)?"),
+    ("GPL-2.0-or-later", r"(GPLfree2plus|GPLfree,GPLver2plus),(GPLnowarranty,)?"),
+    ("GPL-3.0-or-later", r"(GPLfree3plus|GPLfree,GPLver3plus),(GPLnowarranty,)?"),
     ("MIT", r"MITnamed,"),
-    ("GPL-3.0-only", r"GPL3only,"),
-    ("GPL-2.0-only", r"GPL2only,"),
-    ("LGPL", r"LGPLnamed,"),
-    ("AGPL", r"AGPLnamed,"),
+    ("GPL-3.0-or-later", r"GPL3plus,"),
+    ("GPL-2.0-or-later", r"GPL2plus,"),
+    ("GPL-3.0-only", r"(GPL3only|GPLfree3only),(GPLnowarranty,)?"),
+    ("GPL-2.0-only", r"(GPL2only|GPLfree2only),(GPLnowarranty,)?"),
+    ("LGPL", r"LGPLnamed,|LGPLfree,(GPLnowarranty,)?"),
+    ("AGPL", r"AGPLnamed,|AGPLfree,(GPLnowarranty,)?"),
     ("CC-BY-NC-SA", r"CCBYNCSA,"),
     ("CC-BY-NC-ND", r"CCBYNCND,"),
     ("CC-BY-NC", r"CCBYNC,"),
@@ -64,12 +88,18 @@ RULES = [
     ("CC0-1.0", r"CC0,"),
     ("BSD", r"BSDnamed,"),
     ("MPL-2.0", r"MPL2named,"),
+    ("ISC", r"ISCgrant,|ISCnamed,"),
+    ("Zlib", r"ZlibAsIs,|ZlibNamed,"),
+    ("EPL-2.0", r"EPL2named,"),
+    ("EPL-1.0", r"EPL1named,"),
+    ("Unlicense", r"Unlicense,"),
+    *[(x, rf"SPDX-{x.replace('.', '[.]')},") for x in SPDX],
     ("SPDX-tag", r"SPDX,"),
     ("Proprietary", r"AllRights,"),
 ]
 
 #: A sentence without any of these is no licence sentence; one with them that no pattern knows is reported.
-HINT = r"(?i)licen[sc]e|permission is hereby|permission notice|warranty|redistribution|endorse or promote|free software|of the licen|creative commons|all rights reserved|\bcc0\b"
+HINT = r"(?i)licen[sc]e|permission is hereby|permission notice|warranty|redistribution|endorse or promote|free software|of the licen|creative commons|all rights reserved|unencumbered|\bcc0\b"
 
 
 @dataclass(frozen=True)

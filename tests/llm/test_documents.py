@@ -347,6 +347,36 @@ def test_licence_rules(spark, text, want):
     assert list(row.licences) == want
 
 
+FSF = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+def test_standard_notices_are_recognised(spark):
+    cases = [
+        (FSF, "GPL-3.0-or-later"), (FSF.replace("\n", " "), "GPL-3.0-or-later"), (FSF.replace("version 3", "version 2").replace(",\neither", ";\neither"), "GPL-2.0-or-later"),
+        (FSF.replace("GNU General", "GNU Lesser General"), "LGPL"), (APACHE, "Apache-2.0"), (APACHE.replace("\n", " "), "Apache-2.0"),
+        ("Licensed under the MIT License (see LICENSE).", "MIT"), ("Released under the MIT license and maintained by us.", "MIT"),
+        ("Licensed under the GNU General Public License, version 3 or later.", "GPL-3.0-or-later"), ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0-or-later"), ("SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-tag"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        ("This software is provided 'as-is', without any express or implied\nwarranty.", "Zlib"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("made available under the terms of the Eclipse Public License 2.0 which accompanies it", "EPL-2.0"),
+    ]
+    out = licences.licence_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.licences) for r in out} == {i: [want] for i, (_, want) in enumerate(cases)}
+
+
 def test_licence_scan_equals_a_loop(spark, docs):
     """The same tables with Python's regular expressions, over all documents."""
     got = {r.doc_id: (list(r.sentence_ids), list(r.licences)) for r in licences.licence_scan(docs).collect()}
