@@ -98,9 +98,13 @@ def merged_directory(old: DataFrame, new: DataFrame, keys: Sequence[str], key_id
 def catalogue_filled(entities: DataFrame, catalogue: DataFrame, stored: DataFrame, keys: Sequence[str], item: str, level: str, score: str) -> DataFrame:
     """Every item of a fixed catalogue for every entity, stored values where there are any, else N/A and 0.
 
-    The catalogue is a short parameter table, exploded from a literal array, so this is no join of two data sets.
+    The catalogue is a short parameter table, exploded from a literal array, so this is no join of two data sets; one of over 1,000
+    items is an error.
     """
-    items = F.array(*[F.lit(r[0]) for r in catalogue.select(item).orderBy(item).limit(1000).collect()])
+    known = [r[0] for r in catalogue.select(item).orderBy(item).limit(1001).collect()]
+    if len(known) > 1000:
+        raise ValueError("a catalogue of over 1,000 items is no parameter table")
+    items = F.array(*[F.lit(i) for i in known])
     grid = entities.select(*keys).withColumn(item, F.explode(items))
     out = grid.join(stored, [*keys, item], "left")
     return out.withColumns({level: F.coalesce(level, F.lit("N/A")), score: F.coalesce(score, F.lit(0))})

@@ -291,3 +291,14 @@ def test_cooldown_stream(spark, tmp_path):
         assert {(r.id, r.decision) for r in spark.table("decisions").collect()} == {(1, "start"), (2, "cooldown"), (3, "start")}
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_long_catalogue_is_an_error(spark):
+    import pytest as p
+
+    from perilens.operators.linkage import catalogue_filled
+
+    entities, catalogue = spark.range(1), spark.range(1001).withColumnRenamed("id", "item")
+    stored = spark.createDataFrame([], "id long, item long, level string, score int")
+    with p.raises(ValueError, match="1,000"):
+        catalogue_filled(entities, catalogue, stored, ["id"], "item", "level", "score")
