@@ -1,387 +1,376 @@
-"""Operator 6: a Katz back-off bigram model, counted, normalised and evaluated in key ranges.
+"""Operator 6: a Katz back-off n-gram model, counted, normalised and evaluated in key ranges.
 
-Rows carry arrays: what a chunk of documents has in one key range travels as one row, so a count costs a few bytes
-and no task holds more than a range or a chunk. Words are keyed by 64-bit hashes.
+Texts are cut into chunks of bounded size and stored once, as numbers of the chunk's own words. From then on a chunk
+and a key range of n-grams exchange rows that carry arrays: a chunk tells every range which n-grams it has and how
+often (each once, however often it occurs), the range adds up and answers. No row is made per document and n-gram, so
+a word that every document has, the end included, is one entry a chunk like any other.
 """
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHash, ascii_words, shared_folder
+from .shared import GOLDEN, WordHash, ascii_words, drop_folder, fold, shared_folder
 
-BEGIN, END = np.uint64(0x42), np.uint64(0x45)
-UNIGRAMS, PAIRS, DOCUMENTS = 0, 1, 2
-TOP = 5  # counts above this are not discounted
-HELD = 16384  # added to a document's place in its chunk if it is held out
-CLASSES = TOP + 1
+END, BEGIN = np.uint64(0x45), np.uint64(0x42)
+#: Counts of counts n[1] to n[TOP] that the discounts are fitted on.
+TOP = 8
+#: Fixed points of the sums behind a back-off weight: integers add up to the same whatever the order.
+COUNT_UNIT, SHARE_UNIT = float(1 << 32), float(1 << 48)
 
-PACKED = "kind int, part int, chunk long, keys array<long>, key_n array<int>, nexts array<long>, next_n array<int>, place array<short>, times array<int>"
-_PACKED = pa.schema(
-    [("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.list_(pa.int64())), ("key_n", pa.list_(pa.int32()))]
-    + [("nexts", pa.list_(pa.int64())), ("next_n", pa.list_(pa.int32())), ("place", pa.list_(pa.int16())), ("times", pa.list_(pa.int32()))]
-)
-COUNTED = "what string, part int, chunk long, keys array<long>, nexts array<long>, a array<int>, b array<int>, c array<int>, place array<short>, other_place array<short>, x array<double>"
-_COUNTED = pa.schema(
-    [("what", pa.string()), ("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.list_(pa.int64())), ("nexts", pa.list_(pa.int64()))]
-    + [(n, pa.list_(pa.int32())) for n in "abc"]
-    + [("place", pa.list_(pa.int16())), ("other_place", pa.list_(pa.int16())), ("x", pa.list_(pa.float64()))]
-)
 
+def squeeze(x: np.ndarray) -> bytes:
+    """An array as bytes: first all lowest bytes, then the next ones, compressed."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
 
-def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
 
+def spread(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, len(raw) // size).T).view(kind).reshape(-1)
 
-def _part(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Key range of each key; rises with the key."""
-    return ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
+def squeeze_keys(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
 
-def _starts(*columns: np.ndarray) -> np.ndarray:
-    """Where a run of equal rows starts, in sorted columns."""
-    change = np.ones(len(columns[0]), bool)
-    if len(change):
-        change[1:] = False
-        for x in columns:
-            change[1:] |= x[1:] != x[:-1]
-    return np.flatnonzero(change)
 
+def spread_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(spread(data, np.uint64), dtype=np.uint64)
 
-def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
-    return np.diff(np.append(starts, n))
 
+def mixed(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A 64-bit key for each context key followed by a word key."""
+    with np.errstate(over="ignore"):
+        x = context * GOLDEN + word
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-def let_go(spark: SparkSession) -> None:
-    """Has the driver collect its garbage, so that Spark's cleaner drops the shuffle files of a pass that is over.
 
-    Without it they stay until the driver happens to run short of memory; nothing reads them again.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
-def held_out(doc_id, parts: int, held: int) -> bool:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % parts == held
-
-
-def pack(kind: int, doc_ids: list, texts: list[str | None], chunk: int, parts: int, folds: tuple[int, int], memo: WordHash) -> Iterator[pa.RecordBatch]:
-    """What a chunk of documents adds: for every key range its words or pairs with documents and times."""
-    words = [memo.of(ascii_words(t)) for t in texts]
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1)
-    flat, words = np.concatenate(words), len(words)
-    token = np.full(ends[-1], END)
-    is_word = np.ones(ends[-1], bool)
-    is_word[ends - 1] = False
-    token[is_word] = flat
-    if kind == PAIRS:
-        before = np.full(ends[-1], BEGIN)
-        before[np.roll(is_word, 1)] = flat
-    del flat, is_word
-    held = np.array([held_out(i, *folds) for i in doc_ids])
-    place = np.repeat((np.arange(words) + HELD * held).astype(np.int16), lengths + 1)
-    marks = np.add.reduceat(token * np.arange(1, len(token) + 1, dtype=np.uint64), ends - lengths - 1)
-    spots = (np.arange(words) + HELD * held).astype(np.int16)
-    yield _row(_PACKED, kind=DOCUMENTS, part=chunk % parts, chunk=chunk, keys=doc_ids, key_n=lengths + 1, nexts=marks.view(np.int64), place=spots)
-    key = token if kind == UNIGRAMS else before
-    before = None
-    order = np.argsort(key, kind="stable") if kind == UNIGRAMS else np.lexsort((token, key))
-    k, p = key[order], place[order]
-    nxt = token[order] if kind == PAIRS else k
-    del token, key, order, place
-    runs = _starts(k, nxt, p)  # one (key, next, document)
-    k, nxt, p, times = k[runs], nxt[runs], p[runs], _lengths(runs, len(k))
-    pair = _starts(k, nxt)
-    pair_n = _lengths(pair, len(k))
-    keys = _starts(k[pair])
-    key_n = _lengths(keys, len(pair))
-    cut = np.searchsorted(_part(k[pair][keys], parts), np.arange(parts + 1))
-    pair_at, run_at = np.append(keys, len(pair)), np.append(pair, len(k))
-    for part in range(parts):
-        a, b = cut[part], cut[part + 1]
-        if a == b:
-            continue
-        first, last = pair_at[a], pair_at[b]
-        start, stop = run_at[first], run_at[last]
-        pairs_only = {"key_n": key_n[a:b], "nexts": nxt[pair[first:last]].view(np.int64)} if kind == PAIRS else {"key_n": [], "nexts": []}
-        yield _row(_PACKED, kind=kind, part=part, chunk=chunk, keys=k[pair][keys[a:b]].view(np.int64), next_n=pair_n[first:last], place=p[start:stop], times=times[start:stop], **pairs_only)
-
-
-def _values(table: pa.Table, name: str) -> list[np.ndarray]:
-    return [x.values.to_numpy() for chunk in table.column(name).chunks for x in chunk]
-
-
-def _all(arrays: list[np.ndarray], dtype) -> np.ndarray:
-    return np.concatenate(arrays) if arrays else np.zeros(0, dtype)
-
-
-def _histogram(counts: np.ndarray) -> list[float]:
-    return np.bincount(np.minimum(counts, TOP + 2), minlength=TOP + 3)[1 : TOP + 2].astype(float).tolist()
-
-
-def count_unigrams(part: int, t: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Totals of a word range, its counts of counts, and for every document what its words here need for a score."""
-    chunks = t.column("chunk").to_pylist()
-    keys, next_n, place, times = (_values(t, n) for n in ("keys", "next_n", "place", "times"))
-    words, back = np.unique(_all(keys, np.int64).view(np.uint64), return_inverse=True)
-    where = np.split(back, np.cumsum([len(x) for x in keys])[:-1])
-    totals = np.zeros(len(words), np.int64)
-    owner = [np.repeat(w, n) for w, n in zip(where, next_n)]
-    for w, p, n in zip(owner, place, times):
-        totals += np.bincount(w, n * (p < HELD), minlength=len(words)).astype(np.int64)
-    known = totals > 0
-    yield _row(_COUNTED, what="words", part=part, keys=words[known].view(np.int64), a=totals[known])
-    yield _row(_COUNTED, what="word_stats", part=part, x=[float(totals.sum()), float(known.sum()), *_histogram(totals)])
-    for chunk, w, p, n in zip(chunks, owner, place, times):
-        spot, own = np.unique(p % HELD, return_inverse=True)
-        c = totals[w]
-        kinds = np.bincount(own * (CLASSES + 1) + np.minimum(c, TOP + 1), n, minlength=len(spot) * (CLASSES + 1)).reshape(len(spot), -1)
-        logs = np.bincount(own, n * np.log10(np.maximum(c, 1)), minlength=len(spot))
-        more = np.bincount(own, n * np.log10(c + 1.0), minlength=len(spot))
-        yield _row(_COUNTED, what="doc_words", part=part, chunk=chunk, place=spot.astype(np.int16), a=kinds[:, :CLASSES].astype(np.int32).ravel(), x=np.column_stack((logs, more)).ravel())
-
-
-def count_pairs(part: int, t: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a history range that the model keeps, and the occurrences that their back-off weights and values touch."""
-    chunks = t.column("chunk").to_pylist()
-    keys, key_n, nexts, next_n, place, times = (_values(t, n) for n in ("keys", "key_n", "nexts", "next_n", "place", "times"))
-    history = np.concatenate([np.repeat(k.view(np.uint64), n) for k, n in zip(keys, key_n)])
-    nxt = _all(nexts, np.int64).view(np.uint64)
-    order = np.lexsort((nxt, history))
-    first = _starts(history[order], nxt[order])
-    back = np.empty(len(order), np.int64)
-    back[order] = np.repeat(np.arange(len(first)), _lengths(first, len(order)))
-    history, nxt = history[order[first]], nxt[order[first]]
-    totals = np.zeros(len(first), np.int64)
-    where = np.split(back, np.cumsum([len(x) for x in nexts])[:-1])
-    del order, first, back
-    owner = [np.repeat(w, n) for w, n in zip(where, next_n)]
-    for w, p, n in zip(owner, place, times):
-        totals += np.bincount(w, n * (p < HELD), minlength=len(totals)).astype(np.int64)
-    yield _row(_COUNTED, what="pair_stats", part=part, x=_histogram(totals))
-    head = _starts(history)
-    of_history = np.repeat(np.arange(len(head)), _lengths(head, len(history)))
-    seen = np.bincount(of_history, totals, minlength=len(head)).astype(np.int64)
-    kept = totals >= least
-    n_kept = np.bincount(of_history, kept, minlength=len(head)).astype(np.int64)
-    used = n_kept > 0
-    number, pair_number = np.cumsum(used) - 1, np.cumsum(kept) - 1
-    yield _row(_COUNTED, what="pairs", part=part, keys=history[head][used].view(np.int64), nexts=nxt[kept].view(np.int64), a=n_kept[used], b=seen[used], c=totals[kept])
-    for chunk, w, p, n in zip(chunks, owner, place, times):
-        p = p % HELD
-        own, h = kept[w], of_history[w]
-        other = ~own & used[h]
-        # The occurrences of all other pairs of a history with kept ones only need its weight: one sum a document.
-        cell, at = np.unique(number[h[other]] * HELD + p[other], return_inverse=True)
-        yield _row(
-            _COUNTED, what="uses", part=part, chunk=chunk, a=np.diff(pair_number[w[own]], prepend=0), place=p[own], b=np.concatenate((n[own], np.bincount(at, n[other], minlength=len(cell)).astype(np.int64))),
-            c=np.diff(cell // HELD, prepend=0), other_place=(cell % HELD).astype(np.int16),
-        )
+def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` key ranges starts in sorted keys; one position more than ranges."""
+    return np.searchsorted(((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), np.arange(parts + 1))
 
 
-def discounts(histogram: list[float]) -> np.ndarray:
-    """Good-Turing ratios d[r] for counts r = 0 to TOP (d[0] unused), in Katz's form, which leaves larger counts whole.
+class Level:
+    """The distinct n-grams of one order in a chunk, in key order.
 
-    Where the counts of counts are too thin for it (a zero, or a ratio outside (0, 1]), r is lowered by 0.5 instead.
+    ``of`` has the number of the n-gram at each token; for each n-gram, ``context`` and ``lower`` have the numbers of the
+    (n-1)-grams that it starts and ends with. The context of a text's first token is BEGIN alone, number len(keys).
     """
-    n = [0.0, *histogram]
-    d = np.ones(TOP + 1)
-    tail = (TOP + 1) * n[TOP + 1] / n[1] if n[1] else 1.0
-    for r in range(1, TOP + 1):
-        ratio = ((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) if n[r] and tail < 1 else 0.0
-        d[r] = ratio if 0 < ratio <= 1 and n[r + 1] else (r - 0.5) / r
-    return d
 
+    def __init__(self, keys: np.ndarray, of: np.ndarray, context: np.ndarray | None, lower: np.ndarray | None, at: np.ndarray | None):
+        self.keys, self.of, self.context, self.lower, self.at = keys, of, context, lower, at
+
+
+def levels(vocabulary: np.ndarray, tokens: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[Level]:
+    """Orders 1 to ``order`` of a chunk; ``tokens`` are numbers into the sorted word keys ``vocabulary``."""
+    last = Level(vocabulary, tokens, None, None, None)
+    yield last
+    for n in range(2, order + 1):
+        at = np.empty(len(tokens), np.int64)
+        at[1:] = last.of[:-1]
+        at[np.cumsum(lengths) - lengths] = len(last.keys)
+        found, rep, back = np.unique(at * len(vocabulary) + tokens, return_index=True, return_inverse=True)
+        context = found // len(vocabulary)
+        keys = mixed(np.append(last.keys, BEGIN + np.uint64(n))[context], vocabulary[found % len(vocabulary)])
+        rank = np.argsort(keys)
+        place = np.empty(len(rank), np.int64)
+        place[rank] = np.arange(len(rank))
+        last = Level(keys[rank], place[back], context[rank], last.of[rep[rank]], at)
+        yield last
+
+
+def slope(histogram: list[float]) -> float:
+    """b of the law n[r] = a * r ** b through the counts of counts n[1] to n[TOP], by least squares on the logarithms.
+
+    Half an n-gram, shared out as 1 / (r * (r + 1)), is added to the counts, so that an empty one has a logarithm; b is
+    held between -4 and -1.05, where discounts are between 0 and 1. The law is the same for tables of any size.
+    """
+    r = np.arange(1, TOP + 1)
+    x, y = np.log(r), np.log(np.asarray(histogram) + 0.5 / (r * (r + 1)))
+    return float(np.clip(np.polyfit(x, y, 1)[0], -4.0, -1.05))
 
-class Model:
-    """The global constants: N, V and the discounts; p1 is the unigram level with the unseen mass as one event."""
 
-    def __init__(self, total: float, distinct: float, words: list[float], pairs: list[float], least: int):
-        self.total, self.distinct, self.least = total, distinct, least
-        self.d1, self.d2 = discounts(words), discounts(pairs)
-        lost = sum(n * r * (1 - self.d1[r]) for r, n in enumerate([0.0, *words[:TOP]]) if r)
-        self.unseen = max(lost / total, 1 / (total + distinct + 1)) if total else 1.0
-        self.scale = (1 - self.unseen) / (1 - lost / total) if total and lost < total else 1.0
+def discounted(counts: np.ndarray, b: float) -> np.ndarray:
+    """Good-Turing counts r * d[r] = (r + 1) n[r + 1] / n[r] with the smoothed n: d[r] = (1 + 1 / r) ** (b + 1)."""
+    c = np.maximum(counts, 1).astype(np.float64)
+    return np.where(counts > 0, counts * (1 + 1 / c) ** (b + 1), 0.0)
 
-    def ratio(self, table: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return np.where(counts > TOP, 1.0, table[np.minimum(counts, TOP)])
+
+class Model:
+    """The global constants: N, V, each order's slope, and the mass of the unseen words as one event."""
+
+    def __init__(self, total: int, distinct: int, slopes: list[float], known: float):
+        self.total, self.distinct, self.slopes = total, distinct, slopes
+        self.unseen = 1 - known / total if total else 1.0
 
     def p1(self, counts: np.ndarray) -> np.ndarray:
         """Unigram probability by training count; 0 gives the unseen mass."""
-        return np.where(counts > 0, self.scale * self.ratio(self.d1, counts) * counts / max(1.0, self.total), self.unseen)
+        return np.where(counts > 0, discounted(counts, self.slopes[0]) / max(1, self.total), self.unseen)
+
 
+def _listed(table: pa.Table, *names: str) -> list[list]:
+    return [table.column(n).to_pylist() for n in names]
 
-def weigh(part: int, pairs: pa.Table, replies: pa.Table, uses: pa.Table, model: Model) -> Iterator[pa.RecordBatch]:
-    """log10 sums over the pairs of a history range: kept ones by their own probability, others by the back-off weight.
 
-    alpha(h) = (1 - sum of kept p(w|h)) / (1 - sum of the same words' p1), so all of p(.|h) sums to one.
+def _split(x: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(x, np.cumsum(sizes)[:-1])
+
+
+def count(level: int, bucket: int, table: pa.Table) -> list[dict]:
+    """Training counts of a key range's n-grams, for each chunk in its own order, and how many n-grams have which count.
+
+    Each distinct n-gram is owned by the first chunk that has it, which later speaks for it once.
+    """
+    order = np.argsort(table.column("chunk").to_numpy())
+    chunk, a, b = ([x[i] for i in order] for x in _listed(table, "chunk", "a", "b"))
+    keys = [spread_keys(x) for x in a]
+    sizes = [len(x) for x in keys]
+    distinct, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    totals = np.bincount(back, np.concatenate([spread(x, np.int32) for x in b]), minlength=len(distinct)).astype(np.int64)
+    own = np.zeros(len(back), np.uint8)
+    own[first] = 1
+    values, times = np.unique(totals[totals > 0], return_counts=True)
+    out = [dict(what="stats", level=level, bucket=bucket, a=squeeze(values), b=squeeze(times))]
+    for c, x, o in zip(chunk, _split(totals[back], sizes), _split(own, sizes)):
+        out.append(dict(what="counts", level=level, bucket=bucket, chunk=c, a=squeeze(x), b=squeeze(o)))
+    return out
+
+
+def weigh(row: dict, replies: pa.Table, model: Model, parts: list[int], least: int) -> list[dict]:
+    """A chunk's document sums, what it adds to the back-off weights, and the contexts whose weights it asks for."""
+    lengths, docs = spread(row["a"], np.int32).astype(np.int64), len(row["ids"])
+    vocabulary, tokens = spread_keys(row["c"]), spread(row["d"], np.int32).astype(np.int64)
+    of_level, of_bucket, a, b = _listed(replies, "level", "bucket", "a", "b")
+    doc = np.repeat(np.arange(docs), lengths)
+    out, needs = [], []
+    before = lower = seen = value = None
+    for n, grams in enumerate(levels(vocabulary, tokens, lengths, len(parts)), 1):
+        mine = sorted((of_bucket[i], i) for i in range(len(of_level)) if of_level[i] == n)
+        counts = np.concatenate([spread(a[i], np.int64) for _, i in mine])
+        if n == 1:
+            p = model.p1(counts)
+            value = np.log10(p)[tokens]
+            known = np.bincount(doc, (counts > 0)[tokens], minlength=docs)
+            base = np.bincount(doc, np.log10((counts + 1.0) / (model.total + model.distinct + 1))[tokens], minlength=docs)
+            seen = np.append(counts, counts[np.searchsorted(vocabulary, END)])
+        else:
+            kept = counts >= least
+            left = np.where(kept, discounted(counts, model.slopes[n - 1]), 0.0)
+            p = left / np.maximum(seen[grams.context], 1)
+            used = kept[grams.of]
+            value[used] = np.log10(p[grams.of[used]])
+            # What this chunk's own n-grams take from their contexts, then the contexts that an n-gram falls back from.
+            speak = np.concatenate([spread(b[i], np.uint8) for _, i in mine]).astype(bool) & kept
+            where = grams.context[speak]
+            taken = np.zeros((3, len(seen)), np.int64)
+            np.add.at(taken[0], where, counts[speak])
+            np.add.at(taken[1], where, np.rint((counts[speak] - left[speak]) * COUNT_UNIT).astype(np.int64))
+            np.add.at(taken[2], where, np.rint(lower[grams.lower[speak]] * SHARE_UNIT).astype(np.int64))
+            falls = np.flatnonzero(~used & (seen[grams.at] > 0))
+            cells, times = np.unique(grams.at[falls] * docs + doc[falls], return_counts=True)
+            asked = np.zeros(len(seen), bool)
+            asked[cells // docs] = True
+            # The context BEGIN has key 0 and so comes first.
+            turn = np.concatenate(([len(seen) - 1], np.arange(len(seen) - 1)))
+            turn = turn[asked[turn] | (taken[0][turn] > 0)]
+            keys = np.append(before, np.uint64(0))[turn]
+            edges = cuts(keys, parts[n - 2])
+            for bucket in np.flatnonzero(np.diff(edges)).tolist():
+                s = slice(edges[bucket], edges[bucket + 1])
+                t = turn[s]
+                sums = [squeeze(x) for x in (*taken[:, t], np.where(asked[t], seen[t], 0))]
+                out.append(dict(what="sums", level=n, bucket=bucket, chunk=row["chunk"], a=squeeze_keys(keys[s])) | dict(zip("bcde", sums)))
+            number = np.zeros(len(seen), np.int64)
+            turn = turn[asked[turn]]
+            number[turn] = np.arange(len(turn))
+            needs.append(np.array((np.full(len(cells), n), number[cells // docs], cells % docs, times)))
+            seen = np.append(counts, seen[-1])
+        before, lower = grams.keys, p
+    facts = np.concatenate((lengths, known, base, np.bincount(doc, value, minlength=docs)))
+    asks = np.concatenate([x.ravel() for x in needs]) if needs else np.zeros(0, np.int64)
+    sizes = np.array([x.shape[1] for x in needs], np.int64)
+    return [*out, dict(what="docs", level=0, bucket=row["chunk"] % 2147483647, chunk=row["chunk"], a=squeeze(facts), b=row["b"], c=squeeze(asks), d=squeeze(sizes), ids=row["ids"])]
+
+
+def back_off(level: int, bucket: int, table: pa.Table) -> list[dict]:
+    """log10 alpha of the contexts in a key range, to every chunk that asked, in the chunk's own order.
+
+    alpha(h) = (1 - sum of kept p(w|h)) / (1 - sum of the same words' lower-order p), so all of p(.|h) sums to one.
+    A context without kept n-grams has alpha 1.
     """
-    if not pairs.num_rows:
-        return
-    nexts, n_kept, seen, c = (_all(_values(pairs, x), np.int64) for x in ("nexts", "a", "b", "c"))
-    asked, got = _all(_values(replies, "keys"), np.int64), _all(_values(replies, "a"), np.int32)
-    order = np.argsort(asked)
-    count = got[order][np.searchsorted(asked[order], nexts)] if len(nexts) else np.zeros(0, np.int64)
-    of_history = np.repeat(np.arange(len(n_kept)), n_kept)
-    p = model.ratio(model.d2, c) * c / seen[of_history]
-    p1 = model.p1(count)
-    left = 1 - np.bincount(of_history, p, minlength=len(n_kept))
-    rest = 1 - np.bincount(of_history, p1, minlength=len(n_kept))
-    # A history that was only ever followed by kept, undiscounted pairs has nothing left: it gives one half of a count.
-    short = left <= 1e-12
-    spare = np.where(short, 0.5 / (seen + 0.5), 0.0)
-    p = p * (1 - spare[of_history])
-    alpha = np.log10(np.where(short, spare, left) / np.maximum(rest, 1e-12))
-    gain = np.log10(p) - np.log10(p1)  # the unigram sum has log p1 of every token
-    for r in range(uses.num_rows):
-        a, b, cc, place, other = (uses.column(x)[r].values.to_numpy() for x in ("a", "b", "c", "place", "other_place"))
-        a, cc = np.cumsum(a), np.cumsum(cc)
-        n = np.zeros(HELD)
-        if len(a):
-            n += np.bincount(place, gain[a] * b[: len(a)], minlength=HELD)
-        if len(cc):
-            n += np.bincount(other, alpha[cc] * b[len(a) :], minlength=HELD)
-        spot = np.unique(np.concatenate((place, other)))
-        yield _row(_COUNTED, what="doc_pairs", part=part, chunk=uses.column("chunk")[r].as_py(), place=spot, x=n[spot])
+    chunk, a, *sums = _listed(table, *"chunk a b c d e".split())
+    keys = [spread_keys(x) for x in a]
+    distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
+    where = _split(back, [len(x) for x in keys])
+    kept, lost, share, seen = np.zeros((4, len(distinct)), np.int64)
+    asks = [spread(x, np.int64) for x in sums[3]]
+    for at, x, y, z, ask in zip(where, *sums[:3], asks):
+        for total, part in ((kept, x), (lost, y), (share, z)):
+            total[at] += spread(part, np.int64)
+        seen[at] = np.maximum(seen[at], ask)
+    left = (seen - kept + lost / COUNT_UNIT) / np.maximum(seen, 1)
+    alpha = np.log10(np.where(seen > 0, left, 1.0) / (1 - share / SHARE_UNIT))
+    return [dict(what="alpha", level=level, bucket=bucket, chunk=c, a=squeeze(alpha[at[ask > 0]])) for c, at, ask in zip(chunk, where, asks)]
+
+
+def finish(row: dict, replies: pa.Table) -> tuple:
+    """(ids, held, tokens, known, base, score) of a chunk: the sums so far and the weights that it asked for."""
+    docs = len(row["ids"])
+    lengths, known, base, score = spread(row["a"], np.float64).reshape(4, docs)
+    asks, sizes = spread(row["c"], np.int64), spread(row["d"], np.int64)
+    level, bucket, a = _listed(replies, "level", "bucket", "a")
+    for need in np.split(asks, np.cumsum(4 * sizes)[:-1]) if len(asks) else []:
+        n, number, place, times = need.reshape(4, -1)
+        if len(n):
+            mine = sorted((bucket[i], i) for i in range(len(level)) if level[i] == n[0])
+            alpha = np.concatenate([spread(a[i], np.float64) for _, i in mine])
+            score = score + np.bincount(place, alpha[number] * times, minlength=docs)
+    return row["ids"], spread(row["b"], np.uint8).astype(bool), lengths.astype(np.int64), known.astype(np.int64), base, score
 
 
 def scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: tuple[int, int] = (7, 2), least: int = 2, part_bytes: int = 16 << 20, chunk_bytes: int = 5 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: tuple[int, int] = (7, 2), order: int = 2, least: int = 1, part_grams: int = 1 << 18, chunk_bytes: int = 16 << 20
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
-    Learns from the rows whose crc32(doc_id as text) mod folds[0] isn't folds[1], over whole texts; ``least`` is
-    Katz's cut-off, the training count from which a pair keeps a probability of its own. The words' and pairs'
-    tables are stored in key ranges in the shared checkpoint folder; each token is evaluated by p(w|h) if its pair
-    is kept, else by alpha(h) p1(w), and p1 is Good-Turing discounted with the unseen mass as one event.
+    Learns from the rows whose crc32(doc_id as text) mod folds[0] isn't folds[1], over whole texts, n-grams up to ``order``.
+    Each token is evaluated recursively: by p(w|h) of its n-gram if training has it ``least`` times (Katz's cut-off: 1
+    keeps all), else by alpha(h) times the probability under the context without its first word, down to single words. Counts
+    are Good-Turing discounted by counts of counts smoothed along a line (``slope``); the mass that unseen words get is
+    one event, and probabilities sum to one at every level.
 
-    A null text counts as empty (one token, the end); a null id hashes as the empty text; repeated rows count as often
-    as they come; without training rows every probability is that of the unseen event; an empty table gives an
-    empty one. The input is read once for words and once for pairs, and must give its rows in the same order both times,
-    as files do (it is checked). A range takes about ``part_bytes`` of text, a chunk ``chunk_bytes`` and at most 16,000 documents.
+    The texts are read once and stored in chunks of about ``chunk_bytes`` (a longer text is a chunk of its own); n-grams are
+    counted in key ranges of about ``part_grams`` entries, whose number grows with the table. Chunks and counts are
+    tables in the shared checkpoint folder, bucketed by chunk so that they stay where they are when answers join them, and
+    are dropped when the result is written there: a lost executor costs a task's work.
+
+    A null text counts as empty (one token, the end); a null id hashes as the empty text and stays null; ids keep their type;
+    repeated rows count as often as they come; without training rows every probability is that of the unseen event; an empty
+    table gives an empty one. Other columns are not looked at.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col, folds[0]) == folds[1]).alias("held"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = int(size) // part_bytes + 4
-
-    folder = f"{shared_folder(spark)}/language_model_{uuid.uuid4().hex}"
-
-    def count_all(kind: int) -> None:
-        """One pass: pack, bring each key range together, count, store. Its shuffle files are let go before the next."""
-
-        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo, chunk, ids, texts, held = WordHash(200_000), TaskContext.get().partitionId() << 24, [], [], 0
-            for b in batches:
-                for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    text = text.as_py()
-                    ids.append(doc_id)
-                    texts.append(text)
-                    held += len(text or "")
-                    if held >= chunk_bytes or len(ids) >= 16000:
-                        yield from pack(kind, ids, texts, chunk, parts, folds, memo)
-                        chunk, ids, texts, held = chunk + 1, [], [], 0
-            if ids:
-                yield from pack(kind, ids, texts, chunk, parts, folds, memo)
-
-        def count(key, table):
-            what, part = (k.as_py() for k in key)
-            if what == DOCUMENTS:
-                out = [
-                    _row(_COUNTED, what="docs" if kind == UNIGRAMS else "docs_again", part=part, chunk=r["chunk"], keys=r["keys"], nexts=r["nexts"], a=r["key_n"], place=r["place"])
-                    for r in table.select(["chunk", "keys", "nexts", "key_n", "place"]).to_pylist()
-                ]
-            else:
-                out = list(count_unigrams(part, table) if kind == UNIGRAMS else count_pairs(part, table, least))
-            return pa.Table.from_batches(out, _COUNTED)
-
-        counted = rows.mapInArrow(packed, PACKED).groupBy("kind", "part").applyInArrow(count, COUNTED)
-        counted.write.mode("append").partitionBy("what").parquet(f"{folder}/counted")
-
-    for kind in (UNIGRAMS, PAIRS):
-        count_all(kind)
-        let_go(spark)
-    stored = spark.read.schema(COUNTED).parquet(f"{folder}/counted")
-    of = lambda what: stored.where(F.col("what") == what)
-    add = lambda what, n: [x or 0.0 for x in of(what).agg(*[F.sum(F.col("x")[i]) for i in range(n)]).first()]
-    total, distinct, *words = add("word_stats", TOP + 3)
-    model = Model(total, distinct, words, add("pair_stats", TOP + 1), least)
-
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    name = f"language_model_{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{name}"
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    stored = f"what string, level int, bucket int, chunk long, a binary, b binary, c binary, d binary, e binary, ids array<{id_type}>, n_words long, n_tokens long"
+
+    def rows_of(batch_ids: pa.DataType):
+        fields = [("what", pa.string()), ("level", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), *[(x, pa.binary()) for x in "abcde"]]
+        return pa.schema([*fields, ("ids", pa.list_(batch_ids)), ("n_words", pa.int64()), ("n_tokens", pa.int64())])
+
+    def as_batch(found: list[dict], ids: pa.DataType) -> pa.RecordBatch:
+        schema = rows_of(ids)
+        return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in found], f.type) for f in schema], schema=schema)
+
+    def id_kind(table) -> pa.DataType:
+        return table.schema.field("ids").type.value_type
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, chunk, ids, held, words, size, kind = WordHash(100_000), TaskContext.get().partitionId() << 24, [], [], [], 0, None
+
+        def packed() -> pa.RecordBatch:
+            lengths = np.fromiter(map(len, words), np.int32, len(words)) + np.int32(1)
+            stops = np.cumsum(lengths) - 1
+            flat = np.full(int(lengths.sum()), END)
+            inside = np.ones(len(flat), bool)
+            inside[stops] = False
+            flat[inside] = np.concatenate(words)
+            vocabulary, tokens = np.unique(flat, return_inverse=True)
+            data = squeeze(lengths), squeeze(np.array(held, np.uint8)), squeeze_keys(vocabulary), squeeze(tokens.astype(np.int32))
+            return as_batch([dict(what="chunk", chunk=chunk, ids=ids, n_words=len(vocabulary), n_tokens=len(flat)) | dict(zip("abcd", data))], kind)
+
+        for b in batches:
+            kind = b.schema.field(0).type
+            for doc_id, is_held, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                ids.append(doc_id)
+                held.append(is_held)
+                words.append(memo.of(ascii_words(text.as_py())))
+                size += 6 * len(words[-1]) + 64
+                if size >= chunk_bytes:
+                    yield packed()
+                    chunk, ids, held, words, size = chunk + 1, [], [], [], 0
+        if ids:
+            yield packed()
+
+    buckets = int(size) // (2 * chunk_bytes) + 4
+    rows.mapInArrow(cut, stored).write.bucketBy(buckets, "chunk").option("path", f"{folder}/chunks").saveAsTable(name)
+    chunks = spark.table(name)
+    n_words, n_tokens = (x or 0 for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first())
+    parts = [int(n_words) // part_grams + 4, *[int(n_tokens) // part_grams + 4] * (order - 1)]
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                lengths, training = spread(r["a"], np.int32).astype(np.int64), ~spread(r["b"], np.uint8).astype(bool)
+                weight = np.repeat(training, lengths)
+                for n, grams in enumerate(levels(spread_keys(r["c"]), spread(r["d"], np.int32).astype(np.int64), lengths, order), 1):
+                    times = np.bincount(grams.of, weight, minlength=len(grams.keys)).astype(np.int32)
+                    edges = cuts(grams.keys, parts[n - 1])
+                    found = []
+                    for k in np.flatnonzero(np.diff(edges)).tolist():
+                        s = slice(edges[k], edges[k + 1])
+                        found.append(dict(level=n, bucket=k, chunk=r["chunk"], a=squeeze_keys(grams.keys[s]), b=squeeze(times[s])))
+                    yield as_batch(found, id_kind(b))
+
+    def total(key, table):
+        return pa.Table.from_batches([as_batch(count(*(k.as_py() for k in key), table), id_kind(table))])
+
+    told = chunks.select("chunk", "a", "b", "c", "d", "ids").mapInArrow(tell, stored)
+    told.groupBy("level", "bucket").applyInArrow(total, stored).write.partitionBy("what").parquet(f"{folder}/counted")
+    counted = spark.read.schema(stored).parquet(f"{folder}/counted")
+
+    def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, nexts in zip(b.column(0).to_pylist(), b.column(1)):
-                asked = np.unique(nexts.values.to_numpy().view(np.uint64))
-                cut = np.searchsorted(_part(asked, parts), np.arange(parts + 1))
-                for to in range(parts):
-                    if cut[to] < cut[to + 1]:
-                        yield _row(_COUNTED, what="ask", part=to, chunk=part, keys=asked[cut[to] : cut[to + 1]].view(np.int64))
-
-    def answer(_, table):
-        table = table.combine_chunks()
-        what = table.column("what").to_pylist()
-        keys, counts = _values(table, "keys"), table.column("a")
-        known = [i for i, x in enumerate(what) if x == "words"]
-        words = _all([keys[i] for i in known], np.int64).view(np.uint64)
-        totals = _all([counts[i].values.to_numpy() for i in known], np.int32)
-        out = []
-        for i, x in enumerate(what):
-            if x == "ask":
-                asked = keys[i].view(np.uint64)
-                at = np.minimum(np.searchsorted(words, asked), max(0, len(words) - 1))
-                found = np.where(words[at] == asked, totals[at], 0) if len(words) else np.zeros(len(asked), np.int32)
-                out.append(_row(_COUNTED, what="reply", part=table.column("chunk")[i].as_py(), chunk=0, keys=keys[i], a=found))
-        return pa.Table.from_batches(out, _COUNTED)
-
-    asks = of("pairs").select("part", "nexts").mapInArrow(requests, COUNTED)
-    replies = of("words").unionByName(asks).groupBy("part").applyInArrow(answer, COUNTED)
-
-    def evaluate(key, table):
-        pick = lambda what: table.filter(pc.equal(table.column("what"), what))
-        return pa.Table.from_batches(list(weigh(key[0].as_py(), pick("pairs"), pick("reply"), pick("uses"), model)), _COUNTED)
-
-    by_pairs = of("pairs").unionByName(of("uses")).unionByName(replies).groupBy("part").applyInArrow(evaluate, COUNTED)
-
-    def finish(_, table):
-        pick = lambda what: table.filter(pc.equal(table.column("what"), what))
-        own, again = pick("docs"), pick("docs_again")
-        if [x.tolist() for x in _values(own, "nexts")] != [x.tolist() for x in _values(again, "nexts")]:
-            raise ValueError("the input gave its rows in another order when it was read again; write it to a table first")
-        ids = pa.concat_arrays([x.values for piece in own.column("keys").chunks for x in piece])
-        n_tokens, place = (_all(_values(own, x), np.int64) for x in ("a", "place"))
-        n = len(place)
-        kinds, logs, more, pair_sum = np.zeros((n, CLASSES)), np.zeros(n), np.zeros(n), np.zeros(n)
-        t = pick("doc_words")
-        for p, a, x in zip(_values(t, "place"), _values(t, "a"), _values(t, "x")):
-            kinds[p] += a.reshape(len(p), -1)
-            x = x.reshape(len(p), -1)
-            logs[p] += x[:, 0]
-            more[p] += x[:, 1]
-        t = pick("doc_pairs")
-        for p, x in zip(_values(t, "place"), _values(t, "x")):
-            pair_sum[p] += x
-        known = n_tokens - kinds[:, 0]
-        logs = logs + kinds[:, 1:] @ np.log10(model.d1[1:]) + known * np.log10(model.scale / max(1.0, model.total)) + kinds[:, 0] * np.log10(model.unseen)
-        base = more - n_tokens * np.log10(model.total + model.distinct + 1)
+            for level, a, c in zip(*(b.column(x).to_pylist() for x in range(3))):
+                r, n = spread(a, np.int64), spread(c, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), level, np.int32)), pa.array(r), pa.array(n)], names=["level", "r", "n"])
+
+    stats = counted.where("what = 'stats'").select("level", "a", "b").mapInArrow(histogram, "level int, r long, n long")
+    of_counts = stats.groupBy("level").agg(*[F.sum(F.when(F.col("r") == r, F.col("n")).otherwise(0)).alias(f"n{r}") for r in range(1, TOP + 1)])
+    lines = {x.level: slope([float(x[f"n{r}"]) for r in range(1, TOP + 1)]) for x in of_counts.collect()}
+    slopes = [lines.get(n, slope([0.0] * TOP)) for n in range(1, order + 1)]
+    still = F.col("n") * F.col("r") * F.pow(1 + 1 / F.col("r"), F.lit(slopes[0] + 1))
+    n_train, distinct, known = (x or 0 for x in stats.where("level = 1").agg(F.sum(F.col("r") * F.col("n")), F.sum("n"), F.sum(still)).first())
+    model = Model(int(n_train), int(distinct), slopes, float(known))
+
+    def weighed(key, own, replies):
+        found = [y for x in own.to_pylist() for y in weigh(x, replies, model, parts, least)]
+        return pa.Table.from_batches([as_batch(found, id_kind(own))])
+
+    def answer(key, table):
+        level, bucket = (k.as_py() for k in key)
+        return pa.Table.from_batches([as_batch(back_off(level, bucket, table), id_kind(table))]) if level else table
+
+    def ended(key, table):
+        rows = table.to_pylist()
+        row = next(x for x in rows if x["what"] == "docs")
+        ids, held, tokens, n_known, base, score = finish(row, table.filter(pa.array([x["what"] == "alpha" for x in rows])))
         return pa.table(
             {
-                "doc_id": ids, "held_out": place >= HELD, "n_tokens": n_tokens.astype(np.int64), "n_known": known.astype(np.int64),
-                "train_tokens": np.full(n, int(model.total)), "base_score": base, "score": logs + pair_sum,
+                "doc_id": pa.array(ids, id_kind(table)), "held_out": held, "n_tokens": tokens, "n_known": n_known,
+                "train_tokens": np.full(len(ids), model.total), "base_score": base, "score": score,
             }
         )
 
-    parts_of_docs = of("docs").unionByName(of("docs_again")).unionByName(of("doc_words")).unionByName(by_pairs)
-    return parts_of_docs.groupBy("chunk").applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    replies = counted.where("what = 'counts'").select("chunk", "level", "bucket", "a", "b")
+    own = chunks.select("chunk", "a", "b", "c", "d", "ids")
+    sums = own.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(weighed, stored)
+    answers = sums.groupBy("level", "bucket").applyInArrow(answer, stored)
+    out = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    answers.groupBy("chunk").applyInArrow(ended, out).write.parquet(f"{folder}/scores")
+    spark.sql(f"DROP TABLE {name}")
+    drop_folder(spark, f"{folder}/chunks")
+    drop_folder(spark, f"{folder}/counted")
+    return spark.read.schema(out).parquet(f"{folder}/scores")

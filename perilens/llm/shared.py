@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or context.getCheckpointDir()
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes an intermediate table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, so that a lost executor costs no recomputation."""
     shared_folder(df.sparkSession)

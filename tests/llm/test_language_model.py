@@ -16,74 +16,120 @@ def tokens(text):
     return re.findall("[^\x20\x09-\x0d]+", low) + [None]
 
 
-def brute(rows, least=2):
-    """The same model with dictionaries: p(w|h) recursion per token."""
+def fitted(counts):
+    """The exponent of the counts of counts 1 to 8, by the textbook least-squares formula."""
+    of = Counter(counts.values())
+    xs = [math.log(r) for r in range(1, 9)]
+    ys = [math.log(of.get(r, 0) + 0.5 / (r * (r + 1))) for r in range(1, 9)]
+    mx, my = sum(xs) / 8, sum(ys) / 8
+    b = sum((x - mx) * (y - my) for x, y in zip(xs, ys)) / sum((x - mx) ** 2 for x in xs)
+    return min(-1.05, max(-4.0, b))
+
+
+def brute(rows, least=1, order=2):
+    """The same model with dictionaries: Good-Turing by the smoothed counts of counts, p(w|h) by recursion for each token."""
     train = [tokens(t) for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
-    uni, pairs, hist = Counter(), Counter(), Counter()
-    for ts in train:
-        for h, w in zip(["<s>", *[("w", x) for x in ts[:-1]]], ts):
-            uni[w] += 1
-            pairs[h, w] += 1
-            hist[h] += 1
-    n, v = sum(uni.values()), len(uni)
+    grams = {n: Counter() for n in range(1, order + 1)}
+    contexts = Counter()
 
-    def histogram(c):
-        return [float(sum(x == r for x in c.values())) for r in range(1, lm.TOP + 2)]
+    def before(ts, k, n):
+        return tuple((["<s>"] * (n - 1) + [("w", x) for x in ts[max(0, k - n + 1) : k]])[-(n - 1) :]) if n > 1 else ()
 
-    model = lm.Model(float(n), float(v), histogram(uni), histogram(pairs), least)
+    for ts in train:
+        for k, w in enumerate(ts):
+            for n in grams:
+                grams[n][before(ts, k, n), w] += 1
+                contexts[before(ts, k, n)] += 1
+    b = {n: fitted(c) for n, c in grams.items()}
+    total, distinct = sum(grams[1].values()), len(grams[1])
 
-    def p1(w):
-        c = uni.get(w, 0)
-        if not c:
-            return model.unseen
-        return model.scale * (model.d1[c] if c <= lm.TOP else 1) * c / n
+    def star(c, n):  # r* = (r + 1) n[r + 1] / n[r] on the fitted line
+        return (c + 1) * ((c + 1) / c) ** b[n]
 
+    unseen = 1 - sum(star(c, 1) for c in grams[1].values()) / total if total else 1.0
     kept = defaultdict(dict)
-    for (h, w), c in pairs.items():
-        if c >= least:
-            kept[h][w] = (model.d2[c] if c <= lm.TOP else 1) * c / hist[h]
+    for n in range(2, order + 1):
+        for (h, w), c in grams[n].items():
+            if c >= least:
+                kept[h][w] = star(c, n) / contexts[h]
+
+    def p(h, w):
+        if not h:
+            return star(grams[1][h, w], 1) / total if (h, w) in grams[1] else unseen
+        return kept[h][w] if w in kept.get(h, {}) else weight(h) * p(h[1:], w)
+
     alpha = {}
-    for h, own in kept.items():
-        left = 1 - sum(own.values())
-        if left <= 1e-12:
-            spare = left = 0.5 / (hist[h] + 0.5)
-            kept[h] = own = {w: p * (1 - spare) for w, p in own.items()}
-        alpha[h] = left / (1 - sum(map(p1, own)))
-    total = sum(map(p1, uni)) + model.unseen
-    assert math.isclose(total, 1, rel_tol=1e-9)
-    for h, own in list(kept.items())[:20]:
-        rest = sum(p1(w) for w in uni if w not in own) + model.unseen
-        assert math.isclose(sum(own.values()) + alpha[h] * rest, 1, rel_tol=1e-9)
+
+    def weight(h):
+        if h not in kept:
+            return 1.0
+        if h not in alpha:
+            alpha[h] = (1 - sum(kept[h].values())) / (1 - sum(p(h[1:], w) for w in kept[h]))
+        return alpha[h]
+
+    words = [w for _, w in grams[1]]
+    for h in [(), *list(kept)[:20], *list(kept)[-20:]]:
+        # All words and, as one more, the event of an unseen word.
+        chain, own = 1.0, h
+        while own:
+            chain, own = chain * weight(own), own[1:]
+        assert math.isclose(sum(p(h, w) for w in words) + chain * unseen, 1, rel_tol=1e-9)
     out = []
     for i, t in rows:
         ts = tokens(t)
-        score = base = 0.0
-        for h, w in zip(["<s>", *[("w", x) for x in ts[:-1]]], ts):
-            score += math.log10(kept[h][w] if h in kept and w in kept[h] else alpha.get(h, 1.0) * p1(w))
-            base += math.log10((uni.get(w, 0) + 1) / (n + v + 1)) if n else math.log10(1 / (v + 1))
-        out.append((i, len(ts), sum(w in uni for w in ts), n, base, score))
+        score = sum(math.log10(p(before(ts, k, order), w)) for k, w in enumerate(ts))
+        base = sum(math.log10((grams[1].get(((), w), 0) + 1) / (total + distinct + 1)) for w in ts)
+        out.append((i, len(ts), sum(((), w) in grams[1] for w in ts), total, base, score))
     return out
 
 
-def compare(spark, rows, **options):
+def compare(spark, rows, order=2, least=1, **options):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm.scores(docs, **options).collect()
-    order = lambda r: (r[0] is None, r[0], round(r[-1], 6))
-    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=order)
-    want = sorted(brute(rows), key=order)
+    got = lm.scores(docs, order=order, least=least, **options).collect()
+    by = lambda r: (r[0] is None, r[0], round(r[-1], 6))
+    got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in got), key=by)
+    want = sorted(brute(rows, least, order), key=by)
     assert [g[:4] for g in got] == [w[:4] for w in want]
     for g, w in zip(got, want):
         assert g[4:] == pytest.approx(w[4:], rel=1e-9, abs=1e-9)
 
 
-def test_equals_brute_force_on_the_documents(spark):
+@pytest.mark.parametrize("order, least", [(2, 1), (3, 1), (2, 2)])
+def test_equals_brute_force_on_the_documents(spark, order, least):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(TABLE).collect()]
-    compare(spark, rows, chunk_bytes=100_000, part_bytes=100_000)
+    compare(spark, rows, order, least, chunk_bytes=100_000, part_grams=10_000)
 
 
 def test_nulls_empties_and_repeats(spark):
-    rows = [(1, "a b a b A"), (1, "a b a b A"), (None, None), (3, ""), (4, "a b c " * 50), (5, "x"), (9, " \t\n"), (10, "é É z")]
+    rows = [(1, "a b a b A"), (1, "a b a b A"), (None, None), (3, ""), (4, "a b c " * 50), (5, "x"), (9, " \t\n"), (10, "é É z")]
     compare(spark, rows)
+    compare(spark, rows, order=3, chunk_bytes=100)
+
+
+def test_very_long_texts_text_ids_and_other_columns(spark):
+    long = " ".join(f"w{i * i % 977}" for i in range(200_000))
+    rows = [("x", long, 1.0, "s"), ("y", long, 2.0, None), ("z", "w1 w4 w9", None, "t"), (None, "w1", 0.5, "u")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, score double, what string")
+    got = {r.doc_id: r for r in lm.scores(docs, chunk_bytes=1 << 20).collect()}
+    want = {w[0]: w for w in brute([r[:2] for r in rows])}
+    assert set(got) == set(want)
+    for k, w in want.items():
+        assert (got[k].n_tokens, got[k].n_known, got[k].train_tokens) == w[1:4]
+        assert (got[k].base_score, got[k].score) == pytest.approx(w[4:], rel=1e-9)
+
+
+def test_a_table_that_gives_its_rows_in_another_order_each_time(spark):
+    rows = [(i, f"a b c{i % 5} d{i % 3} " * (i % 7)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).orderBy("text")
+    want = {w[0]: w[-1] for w in brute(rows)}
+    assert {r.doc_id: r.score for r in lm.scores(docs, chunk_bytes=2000).collect()} == pytest.approx(want, rel=1e-9)
+
+
+def test_intermediate_tables_are_dropped(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    before = set(spark.catalog.listTables())
+    lm.scores(docs).collect()
+    assert set(spark.catalog.listTables()) == before
 
 
 def test_empty_table(spark):
@@ -94,11 +140,11 @@ def test_empty_table(spark):
 def test_no_training_rows(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = lm.scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
-    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens) == (True, 3, 0, 0)
+    assert (row.held_out, row.n_tokens, row.n_known, row.train_tokens, row.score) == (True, 3, 0, 0, 0.0)
 
 
 def test_query_keeps_pairs_seen_once(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(TABLE).collect()]
-    want = {w[0]: w[-1] for w in brute(rows, least=1)}
+    want = {w[0]: w[-1] for w in brute(rows)}
     got = {r.doc_id: r.score for r in registry.op6_language_model(spark, "/root/testdata/sf0.001").collect()}
     assert len(want) == len(rows) and got == pytest.approx(want, rel=1e-9, abs=1e-9)
