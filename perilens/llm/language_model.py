@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import GOLDEN, WordHash, ascii_words, drop_folder, fold, shared_folder
+from .shared import GOLDEN, WordHash, ascii_words, drop_folder, fold, shared_folder, tidied, tidy
 
 END, BEGIN = np.uint64(0x45), np.uint64(0x42)
 #: Counts of counts n[1] to n[TOP] that the discounts are fitted on.
@@ -239,7 +239,7 @@ def finish(row: dict, replies: pa.Table) -> tuple:
 
 
 def scores(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: tuple[int, int] = (7, 2), order: int = 2, least: int = 1, part_grams: int = 1 << 18, chunk_bytes: int = 16 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: tuple[int, int] = (7, 2), order: int = 2, least: int = 1, part_grams: int = 1 << 18, chunk_bytes: int = 6 << 20
 ) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``docs``.
 
@@ -277,6 +277,7 @@ def scores(
     def id_kind(table) -> pa.DataType:
         return table.schema.field("ids").type.value_type
 
+    @tidied
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, chunk, ids, held, words, size, kind = WordHash(100_000), TaskContext.get().partitionId() << 24, [], [], [], 0, None
 
@@ -310,6 +311,7 @@ def scores(
     n_words, n_tokens = (x or 0 for x in chunks.agg(F.sum("n_words"), F.sum("n_tokens")).first())
     parts = [int(n_words) // part_grams + 4, *[int(n_tokens) // part_grams + 4] * (order - 1)]
 
+    @tidied
     def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -347,6 +349,7 @@ def scores(
 
     def weighed(key, own, replies):
         found = [y for x in own.to_pylist() for y in weigh(x, replies, model, parts, least)]
+        tidy()
         return pa.Table.from_batches([as_batch(found, id_kind(own))])
 
     def answer(key, table):
