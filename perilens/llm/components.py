@@ -25,10 +25,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         if before == tuple(now) or now[0] == 0:
             break
         before = tuple(now)
+        # A table of its own for what is joined back: the other side, where one node may have most rows, can then be split.
         least = links.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m"))
-        large = links.join(least, F.col("lo") == F.col("k"), "left").select("hi", F.coalesce("m", "lo").alias("lo"))
+        low = cut_lineage(links.select("lo").distinct().join(least, F.col("lo") == F.col("k")).select("lo", "m"))
+        large = links.join(low, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
         large = cut_lineage(large.distinct())
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        down = cut_lineage(large.groupBy("hi").agg(F.min("lo").alias("m")))
         rest = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         links = cut_lineage(down.select("hi", F.col("m").alias("lo")).union(rest).distinct())
     else:

@@ -55,6 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
         F.size("spans").alias("n_spans"),
+        F.to_json(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.round(s["p"], 6).alias("p")))).alias("spans"),
     )
 
 

@@ -11,11 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidied
+
 SPACE = "▁"
 #: Segments end where a piece never continues: before a space that follows a word, and around line ends.
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 LONG = 48
+#: Bits of the table that remembers which pieces may follow each other.
+SLOTS = 18
 START, UNKNOWN = -1, -2
+NEVER = 1 << 30  # the infinite weight
 
 
 def default_model() -> str:
@@ -23,27 +28,40 @@ def default_model() -> str:
     return os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
-class Numbers(dict):
-    """Segment to its number; unseen segments get the next one and wait in ``new``."""
+class Memory(dict):
+    """Segment to its number, and each number's piece ids; new segments wait in ``new``. Forgets all beyond ``most`` characters."""
 
-    def __init__(self):
-        self.new: list[str] = []
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.chars, self.new, self.blobs = most, 0, [], []
 
     def __missing__(self, segment: str) -> int:
         self[segment] = number = len(self)
         self.new.append(segment)
+        self.chars += len(segment)
         return number
 
+    def forget(self) -> None:
+        if self.chars > self.most:
+            self.clear()
+            self.chars, self.blobs = 0, []
+
 
 class Transducer:
     """The compiled machine: normaliser, piece trie, byte fallback and the weights of following pieces.
 
-    Normaliser: a space before the text, and every space as U+2581. Piece arcs come from the trie of all pieces;
-    a character that no piece starts with takes its UTF-8 bytes as arcs. A state is (position, last piece). An arc
-    weighs 1 if its piece may follow the last one and infinity if not, so the tropical shortest path is the only
-    finite one: for a merge-based model a piece sequence is the model's own output exactly if every piece alone,
-    and every two neighbours together, are merged back into themselves. Hence one last piece per position
-    is enough, and equality with the merge procedure is a property of the weights, not of the search.
+    Normaliser: a space before the text, and every space as U+2581. Piece arcs come from the trie of all pieces; a character
+    that no piece starts with takes its UTF-8 bytes as arcs. A state is (position, last piece). An arc weighs 1, the
+    tropical weight of one more piece, if its piece may follow the last one, and infinity if not; ``paths`` relaxes all
+    arcs into a position by (min, +) and keeps the least sum with the arc that gave it.
+
+    Why this is the model's own output. Let a sequence of pieces be *stable* if every piece alone, and every two neighbours
+    joined, are merged back into themselves by the model's merges. (1) The model's output is stable: its merges inside a
+    piece, or inside two neighbours, are made in the same order as in the whole text, as a merge across the border of two output
+    pieces was never the best one while it was open. (2) No other sequence is: take the first merge by which the merging of
+    the text leaves the sequence's pieces; it joins symbols on both sides of a border between two of them, and as it is
+    the best one of the whole text then, it is the best one of those two pieces joined, which are thus not merged back into
+    themselves. So there is exactly one path of finite weight, one last piece at each position that it can reach is enough
+    (a prefix of a stable sequence is stable, and unique for its text), and the least sum is its number of pieces.
     """
 
     def __init__(self, pieces: list[str], scores: list[float], special: set[int], byte_ids: list[int]):
@@ -66,16 +84,15 @@ class Transducer:
                     piece_at.append(-1)
                 node = nxt
             piece_at[node] = i if i in self.alone else -1
-        self.children, self.piece_list = children, piece_at
         self.piece_at = np.array(piece_at, np.int32)
-        keys = np.array([(n << 21) | ord(ch) for n, ch in children], np.int64)
+        self.child, self.piece_list = {(n << 21) | ord(ch): to for (n, ch), to in children.items()}, piece_at
+        keys = np.fromiter(self.child, np.int64, len(children))
         order = np.argsort(keys)
         self.keys, self.next = keys[order], np.fromiter(children.values(), np.int64)[order]
         self.longest = max(map(len, self.ids))
         self.width = np.array([len(p) for p in pieces], np.int64)
-        self.cache_key = np.full(1 << 21, -1, np.int64)
-        self.cache_ok = np.zeros(1 << 21, bool)
-        self.known, self.blobs = Numbers(), []
+        self.cache_key = np.full(1 << SLOTS, -1, np.int64)
+        self.cache_ok = np.zeros(1 << SLOTS, bool)
 
     @classmethod
     def load(cls, model: str) -> Transducer:
@@ -106,14 +123,14 @@ class Transducer:
         ok = self.follows.get((last, piece))
         if ok is None:
             a, b = self.pieces[last], self.pieces[piece]
-            if len(self.follows) > 500_000:
+            if len(self.follows) > 50_000:
                 self.follows.clear()
             ok = self.follows[last, piece] = self.merged([*a, *b]) == [a, b]
         return ok
 
     def may_follow_all(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
         key = last.astype(np.int64) * len(self.pieces) + piece
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
         ok = self.cache_ok[slot]
         missing = np.flatnonzero((self.cache_key[slot] != key) & (last >= 0))
         ok[last < 0] = True
@@ -129,20 +146,20 @@ class Transducer:
         return ok
 
     def path(self, segment: str) -> bytes:
-        """The shortest path for one segment (spaces already as U+2581), as int32 piece ids."""
-        n = len(segment)
-        last, back = [START] + [None] * n, [0] * (n + 1)
+        """The shortest path for one segment (spaces already as U+2581) of any length, as int32 piece ids."""
+        n, child = len(segment), self.child.get
+        least, last, back = [0] + [NEVER] * n, [START] + [UNKNOWN] * n, [0] * (n + 1)
         for i in range(n):
-            if last[i] is None:
+            if least[i] == NEVER:
                 continue
             node, j = 0, i
-            while j < n and (node := self.children.get((node, segment[j]))) is not None:
+            while j < n and (node := child((node << 21) | ord(segment[j]))) is not None:
                 j += 1
                 p = self.piece_list[node]
-                if p >= 0 and last[j] is None and self.may_follow(last[i], p):
-                    last[j], back[j] = p, i
-            if segment[i] not in self.ids and last[i + 1] is None:
-                last[i + 1], back[i + 1] = UNKNOWN, i
+                if p >= 0 and least[i] + 1 < least[j] and self.may_follow(last[i], p):
+                    least[j], last[j], back[j] = least[i] + 1, p, i
+            if segment[i] not in self.ids and least[i] + 1 < least[i + 1]:
+                least[i + 1], last[i + 1], back[i + 1] = least[i] + 1, UNKNOWN, i
         out, j = [], n
         while j:
             i = back[j]
@@ -170,26 +187,26 @@ class Transducer:
             arcs[d, at] = self.piece_at[node]
             more = left[at] > d + 1
             at, node = at[more], node[more]
-        known = np.ones(len(segments), bool)
         last = np.full(len(chars) + 1, UNKNOWN, np.int32)  # of the prefix that ends before this position + 1
+        least = np.full(len(chars) + 1, NEVER, np.int64)
         order = np.argsort(-lengths, kind="stable")
         falling = lengths[order]
         for j in range(1, int(lengths.max()) + 1):
             words = order[: np.searchsorted(-falling, -j, "right")]
-            open_ = np.arange(len(words))
+            here = begin[words] + j - 1
             for k in range(1, min(j, len(arcs)) + 1):
-                if not len(open_):
-                    break
-                w = words[open_]
-                piece = arcs[k - 1, begin[w] + j - k]
-                before = np.where(j == k, START, last[begin[w] + j - k - 1])
-                fits = np.flatnonzero((piece >= 0) & ((before >= 0) | (j == k)))
-                ok = fits[self.may_follow_all(before[fits], piece[fits])]
-                last[begin[w[ok]] + j - 1] = piece[ok]
-                keep = np.ones(len(open_), bool)
-                keep[ok] = False
-                open_ = open_[keep]
-            known[words[open_]] = False  # holds a character that no piece has: byte fallback, one by one
+                piece = arcs[k - 1, here - k + 1]
+                some = np.flatnonzero(piece >= 0)
+                if k < j:
+                    some = some[least[here[some] - k] < NEVER]
+                if not len(some):
+                    continue
+                at, piece = here[some], piece[some]
+                before = last[at - k] if k < j else np.full(len(at), START, np.int32)
+                cost = np.where(self.may_follow_all(before, piece), (least[at - k] if k < j else 0) + 1, NEVER)
+                better = cost < least[at]
+                least[at[better]], last[at[better]] = cost[better], piece[better]
+        known = least[ends - 1] < NEVER  # else byte fallback, one by one
         words = np.flatnonzero(known)
         pos, owner, place, ids = lengths[words].copy(), [], [], []
         while len(words):
@@ -214,23 +231,20 @@ class Transducer:
             out[i] = self.path(segments[i])
         return out
 
-    def encode(self, texts: list[str | None], most_known: int = 300_000) -> Iterator[np.ndarray]:
-        """Piece ids of each text; segments already seen are remembered (up to ``most_known``, then forgotten)."""
-        if len(self.known) > most_known:
-            self.known, self.blobs = Numbers(), []
-        known = self.known
-        cut = [list(map(known.__getitem__, SEGMENT.findall(" " + t.replace(SPACE, " ")))) if t else [] for t in texts]
-        new = known.new
-        known.new = []
+    def encode(self, texts: list[str | None], memory: Memory) -> Iterator[np.ndarray]:
+        """Piece ids of each text; ``memory`` is the task's own, for segments that recur."""
+        memory.forget()
+        cut = [list(map(memory.__getitem__, SEGMENT.findall(" " + t.replace(SPACE, " ")))) if t else [] for t in texts]
+        new, memory.new = memory.new, []
         blobs: list[bytes | None] = [None] * len(new)
         short = [i for i, s in enumerate(new) if len(s) <= LONG and s != "\n"]
-        for at in range(0, len(short), 20_000):
-            part = short[at : at + 20_000]
+        for at in range(0, len(short), 10_000):
+            part = short[at : at + 10_000]
             for i, blob in zip(part, self.paths([new[i].replace(" ", SPACE) for i in part])):
                 blobs[i] = blob
-        self.blobs += [self.path(s.replace(" ", SPACE)) if blob is None else blob for s, blob in zip(new, blobs)]
+        memory.blobs += [self.path(s.replace(" ", SPACE)) if blob is None else blob for s, blob in zip(new, blobs)]
         for numbers in cut:
-            yield np.frombuffer(b"".join(map(self.blobs.__getitem__, numbers)), np.int32)
+            yield np.frombuffer(b"".join(map(memory.blobs.__getitem__, numbers)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids, without the space that encoding put first; bad byte runs give U+FFFD."""
@@ -268,8 +282,9 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids",
     at = [c.lower() for c in rows.columns].index(text_col.lower())
     shipped = _shipped(docs.sparkSession, model or default_model())
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = _machine(shipped)
+        machine, memory = _machine(shipped), Memory()
         for b in batches:
             size = np.cumsum(np.concatenate(([0], _bytes(b.column(at)))))
             start = 0
@@ -277,7 +292,7 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids",
                 stop = max(start + 1, int(np.searchsorted(size, size[start] + chunk, "right")) - 1)
                 part = b.slice(start, stop - start)
                 texts = part.column(at).to_pylist()
-                ids = list(machine.encode(texts))
+                ids = list(machine.encode(texts, memory))
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 mask = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), mask=mask)
@@ -304,6 +319,7 @@ def decode(rows: DataFrame, ids_col: str = "piece_ids", out_col: str = "decoded"
     at = [c.lower() for c in rows.columns].index(ids_col.lower())
     shipped = _shipped(rows.sparkSession, model or default_model())
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = _machine(shipped)
         for b in batches:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import ctypes
+import functools
+import gc
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -17,12 +20,18 @@ GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, as in tests, a new temporary folder."""
+    """The folder of ``spark.checkpoint.dir``, or that of ``setCheckpointDir``; without either there is no shared folder."""
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir")
-    if folder is None and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return folder or context.getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        folder = tempfile.mkdtemp(prefix="spark-")  # one machine, as in tests
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:
@@ -52,22 +61,46 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system, so that a Python worker that waits for its next task is small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; nothing depends on it
+        pass
+
+
+def tidied(run: Callable) -> Callable:
+    """A function over a task's batches whose own memory, caches included, goes back when the task ends."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return task
+
+
 class WordHash(dict):
-    """Word to 64-bit hash, remembered for the words that recur; it forgets all when it holds ``most``."""
+    """Word to 64-bit hash, remembered for the words that recur: up to ``most`` of at most 64 bytes, then it forgets all."""
 
-    def __init__(self, most: int = 400_000, loose: bool = False):
+    def __init__(self, most: int = 100_000, loose: bool = False):
         super().__init__()
         self.most, self.loose = most, loose
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
         if self.loose:
             text = word.decode("utf-8", "replace").strip(EDGE).lower()
             value = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 7) if text else 0
         else:
             value = xxhash.xxh64_intdigest(word, 7)
-        self[word] = value
+        if len(word) <= 64:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import components
-from .shared import GOLDEN, Groups, WordHash, ascii_words, cut_lineage, rolling
+from .shared import GOLDEN, Groups, WordHash, ascii_words, cut_lineage, rolling, tidied, tidy
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int32)
 
@@ -103,14 +103,16 @@ def connect(keys: np.ndarray, radius: int) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp): the fingerprint of every row's whole text as a signed 64-bit number."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = np.fromiter((fingerprint(t.as_py(), width, seed) for t in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, f"doc_id {id_type}, fp long")
 
 
 def in_pieces(rows: DataFrame) -> DataFrame:
@@ -263,65 +265,76 @@ def verified(places: DataFrame, runs: DataFrame, similarity: float) -> DataFrame
                 moved = np.flatnonzero(roots != np.arange(b - a))
                 first.append(node[a + roots[moved]])
                 second.append(node[a + moved])
+        del lists, flat
+        tidy()
         none = [np.zeros(0, np.int64)]
         return pa.table({"a": np.concatenate(first or none), "b": np.concatenate(second or none)})
 
     return places.join(runs, "node").groupBy("bucket", "x", "y").applyInArrow(search, "a long, b long")
 
 
-def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, shard_rows: int = 4096, most_shards: int = BANDS
-) -> DataFrame:
-    """(doc_id, component_id) for every row: groups of documents whose sets of ``width``-word runs are alike.
+def _run_sets(texts: pa.Array, width: int, memo: WordHash) -> Iterator[np.ndarray]:
+    for text in texts:
+        hashes = memo.of((text.as_py() or "").encode("utf-8", "surrogatepass").split())
+        yield np.unique(rolling(hashes[hashes != 0], width))
 
-    Two documents are linked if the Jaccard similarity of their sets of runs is at least ``similarity``: each link is
-    checked on the runs themselves (as 64-bit hashes). Candidates share one of BANDS keys of BAND_ROWS MinHash values,
-    whatever the number of rows: a pair at 0.8 does but for 6 in a million, one at 0.9 but for less than one in 10 ** 12.
-    The candidates' own groups go to pieces of bounded size: small ones are packed, larger ones are cut into shards of about
-    ``shard_rows`` or SHARD_RUNS that meet in pairs, and one of over ``most_shards`` is cut along its keys instead.
-    ``docs`` is read twice, the second time for what has a candidate, and must give the same rows both times.
 
-    Words are compared in lower case and without punctuation at their ends. Texts with equal runs are one node. Texts
-    without words (null, empty, white space, punctuation alone) are alike and form one group. Repeated ids are rows
-    of their own; a null id never is a component's smallest; an empty table gives an empty one.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int32))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
 
-    def run_sets(texts: pa.Array, memo: WordHash) -> Iterator[np.ndarray]:
-        for text in texts:
-            hashes = memo.of((text.as_py() or "").encode("utf-8", "surrogatepass").split())
-            yield np.unique(rolling(hashes[hashes != 0], width))
 
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int32))).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
+def _names(own: np.ndarray) -> tuple[int, int]:
+    """Two hashes that stand for a set of runs."""
+    return xxhash.xxh64_intdigest(own.tobytes(), 1), xxhash.xxh64_intdigest(own.tobytes(), 2)
 
-    def names(own: np.ndarray) -> tuple[int, int]:
-        return xxhash.xxh64_intdigest(own.tobytes(), 1), xxhash.xxh64_intdigest(own.tobytes(), 2)
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """``docs`` with the names k1 and k2 of each text's set of runs."""
+    at = [c.lower() for c in docs.columns].index(text_col.lower())
+
+    @tidied
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash(loose=True)
         for b in batches:
-            keys, sizes, found = np.zeros((b.num_rows, 2), np.uint64), np.zeros(b.num_rows, np.int64), []
-            for i, own in enumerate(run_sets(b.column(1), memo)):
-                keys[i], sizes[i] = names(own), len(own)
-                found.append(bands(own))
-            k1, k2 = (pa.array(np.ascontiguousarray(k).view(np.int64)) for k in keys.T)
-            yield pa.RecordBatch.from_arrays([b.column(0), k1, k2, pa.array(sizes), lists(found)], names=["doc_id", "k1", "k2", "n_runs", "bands"])
+            keys = np.array([_names(x) for x in _run_sets(b.column(at), width, memo)], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(k)) for k in keys.T)], names=[*b.schema.names, "k1", "k2"])
+
+    return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")).schema)
+
 
+def _classes(rows: DataFrame, width: int, similarity: float, shard_rows: int, most_shards: int) -> tuple[DataFrame, DataFrame]:
+    """(prints, classes) of rows (doc_id, text): k1 and k2 for each row; for each (k1, k2) its least id and its group c."""
+
+    @tidied
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHash(loose=True)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                keys, sizes, found = np.zeros((b.num_rows, 2), np.uint64), np.zeros(b.num_rows, np.int64), []
+                for i, own in enumerate(_run_sets(b.column(1), width, memo)):
+                    keys[i], sizes[i] = _names(own), len(own)
+                    found.append(bands(own))
+                k1, k2 = (pa.array(np.ascontiguousarray(k).view(np.int64)) for k in keys.T)
+                yield pa.RecordBatch.from_arrays([b.column(0), k1, k2, pa.array(sizes), _lists(found)], names=["doc_id", "k1", "k2", "n_runs", "bands"])
+
+    @tidied
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHash(loose=True)
         for whole in batches:
             for start in range(0, whole.num_rows, 500):
-                own = list(run_sets(whole.column(1).slice(start, 500), memo))
-                keys = np.array([names(x)[0] for x in own], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), lists(own)], names=["node", "runs"])
+                own = list(_run_sets(whole.column(1).slice(start, 500), width, memo))
+                keys = np.array([_names(x)[0] for x in own], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), _lists(own)], names=["node", "runs"])
 
-    prints = cut_lineage(rows.mapInArrow(sign, "doc_id long, k1 long, k2 long, n_runs long, bands array<long>"))
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    prints = cut_lineage(rows.mapInArrow(sign, f"doc_id {id_type}, k1 long, k2 long, n_runs long, bands array<long>"))
     nodes = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.any_value("n_runs").alias("n_runs"), F.any_value("bands").alias("bands"))
     nodes = cut_lineage(nodes)
     keyed = nodes.select(F.col("k1").alias("node"), F.explode("bands").alias("bucket"))
-    met = keyed.withColumn("a", F.min("node").over(Window.partitionBy("bucket"))).where("a <> node")
+    met = keyed.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a")
+    met = keyed.join(met, "bucket").where("a <> node")
     group = components(met.select("a", F.col("node").alias("b")))
     members = group.join(nodes.select(F.col("k1").alias("node"), "n_runs", "least"), "node")
     size = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("n_runs").alias("runs"))
@@ -343,5 +356,51 @@ def similar_documents(
     runs = texts.mapInArrow(again, "node long, runs array<long>").groupBy("node").agg(F.any_value("runs").alias("runs"))
     member = components(verified(places, runs, similarity))
     joined = nodes.join(member, nodes.k1 == member.node, "left").select("k1", "k2", "least", F.coalesce("component", "k1").alias("c"))
+    return prints.select("doc_id", "k1", "k2"), joined
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, shard_rows: int = 4096, most_shards: int = BANDS
+) -> DataFrame:
+    """(doc_id, component_id) for every row: groups of documents whose sets of ``width``-word runs are alike.
+
+    Two documents are linked if the Jaccard similarity of their sets of runs is at least ``similarity``: each link is
+    checked on the runs themselves (as 64-bit hashes). Candidates share one of BANDS keys of BAND_ROWS MinHash values,
+    whatever the number of rows: a pair at 0.8 does but for 6 in a million, one at 0.9 but for less than one in 10 ** 12.
+    The candidates' own groups go to pieces of bounded size: small ones are packed, larger ones are cut into shards of about
+    ``shard_rows`` or SHARD_RUNS that meet in pairs, and one of over ``most_shards`` is cut along its keys instead.
+    ``docs`` is read twice, the second time for what has a candidate, and must hold the same rows both times, in any order.
+
+    Words are compared in lower case and without punctuation at their ends. Texts with equal runs are one node. Texts
+    without words (null, empty, white space, punctuation alone) are alike and form one group. Ids may be of any ordered
+    type; repeated ids are rows of their own; a null id never is a component's smallest; an empty table gives an empty one.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints, joined = _classes(rows, width, similarity, shard_rows, most_shards)
     least = joined.groupBy("c").agg(F.min("least").alias("component_id"))
     return prints.join(joined.join(least, "c").select("k1", "k2", "component_id"), ["k1", "k2"]).select("doc_id", "component_id")
+
+
+def distinct_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, shard_rows: int = 4096, most_shards: int = BANDS
+) -> DataFrame:
+    """The rows of ``docs`` that stay if each group of ``similar_documents`` keeps exactly one: its smallest id.
+
+    All columns are kept as they are. A null id comes after all others, so a group of null ids alone keeps one of them.
+    Where a group's smallest id occurs in several of its rows, or in rows of other groups, the row is found by its text
+    and, between texts of equal words, by the least hash of the whole row; of rows that are equal in all columns one stays.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    prints, joined = _classes(rows, width, similarity, shard_rows, most_shards)
+    order = F.struct(F.col("least").isNull(), F.col("least"), "k1", "k2")
+    keepers = cut_lineage(joined.groupBy("c").agg(F.min_by(F.struct("k1", "k2", "least"), order).alias("k")).select("k.*"))
+    # An id of one row decides by itself; only rows whose id is null or repeated are named by their texts again.
+    ids = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
+    repeated = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    single = keepers.join(ids.where("n = 1"), F.col("least") == F.col("doc_id")).select(F.col("least").alias("_id"))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("r._id"))
+    clear = docs.alias("d").join(single.alias("r"), F.col(f"d.{id_col}") == F.col("r._id"), "left_semi")
+    named = _named(docs.alias("d").join(repeated.alias("r"), same, "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "text", width)
+    found = named.join(keepers, ["k1", "k2"]).where(F.col("_id").eqNullSafe(F.col("least")))
+    place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.xxhash64("row"), F.to_json("row")))
+    return clear.unionByName(found.withColumn("_k", place).where("_k = 1").select("row.*"))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import EDGE, fold
+from .shared import EDGE, fold, tidied
 
 SPANS = "array<struct<start:int,end:int,p:double>>"
 STEP = 64
@@ -57,16 +57,21 @@ class Field:
 
     def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray, calibration: tuple[float, float], prior: float):
         self.weights, self.bias, self.trans, self.calibration, self.prior = weights, bias, trans, calibration, prior
-        self.memo: dict[str, float] = {}
 
-    def unary(self, words: list[str]) -> np.ndarray:
-        memo, get = self.memo, self.weights.get
-        if len(memo) > 400_000:
+    def unary(self, words: list[str], memo: dict[str, float], most: int = 60_000) -> np.ndarray:
+        """Weights of the words; ``memo`` is the caller's, for words that recur, and is emptied at ``most``."""
+        get = self.weights.get
+        if len(memo) > most:
             memo.clear()
+        out = []
         for w in words:
-            if w not in memo:
-                memo[w] = self.bias + sum(get(f, 0.0) for f in features(w))
-        return np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
+            u = memo.get(w)
+            if u is None:
+                u = self.bias + sum(get(f, 0.0) for f in features(w))
+                if len(w) <= 64:
+                    memo[w] = u
+            out.append(u)
+        return np.array(out, np.float64)
 
     @staticmethod
     def ratios(u: np.ndarray, first: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,20 +148,12 @@ def copies(cut: list[list[str]], hashes: int = 3) -> np.ndarray:
     return out
 
 
-def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60, tokens: int = 800_000, ridge: float = 0.05) -> Field:
-    """A field from labelled texts; at most ``tokens`` tokens, whole texts in the order given."""
+def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60, ridge: float = 0.05, batch_tokens: int = 1 << 18) -> Field:
+    """A field from labelled texts, all of them whole; gradients are summed over batches of about ``batch_tokens`` tokens."""
     y_doc = np.array(toxic, bool)
     if not y_doc.any() or y_doc.all():
         return Field({}, 0.0, np.zeros((2, 2)), None, prior)
-    cut, kept, seen = [], [], 0
-    for i, text in enumerate(texts):
-        words = (text or "").split()
-        if seen and seen + len(words) > tokens:
-            continue
-        seen += len(words)
-        cut.append(words)
-        kept.append(i)
-    y_doc = y_doc[kept]
+    cut = [(text or "").split() for text in texts]
     vocab: dict[str, int] = {}
     word_id: dict[str, int] = {}
     names: list[tuple[str, ...]] = []
@@ -179,35 +176,45 @@ def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60, to
         found = [vocab[f] for f in own if f in vocab]
         table[i, : len(found)] = found
     hot = np.array([any(f in marked for f in own) for own in names] or [False])
-    lengths = np.array([len(x) for x in ids])
-    owner = np.repeat(np.arange(len(ids)), lengths)
-    flat = np.concatenate(ids)
-    first = np.zeros(len(flat), bool)
-    first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
-    y = hot[flat] & y_doc[owner]
-    inner = ~first
-    pair = 2 * y[:-1].astype(int) + y[1:]
-    seen_pairs = np.bincount(pair[inner[1:]], minlength=4).reshape(2, 2)
+    del cut
+    batches = []  # (word numbers, document of each, whether it begins one, label)
+    start = size = 0
+    for stop in range(1, len(ids) + 1):
+        size += len(ids[stop - 1])
+        if size >= batch_tokens or stop == len(ids):
+            lengths = np.array([len(x) for x in ids[start:stop]])
+            flat, owner = np.concatenate(ids[start:stop]), np.repeat(np.arange(start, stop), lengths)
+            first = np.zeros(len(flat), bool)
+            first[(np.cumsum(lengths) - lengths)[lengths > 0]] = True
+            batches.append((flat.astype(np.int32), owner.astype(np.int32), first, hot[flat] & y_doc[owner]))
+            start, size = stop, 0
+    seen_pairs = np.zeros((2, 2))
+    for _, _, first, y in batches:
+        pair = 2 * y[:-1].astype(int) + y[1:]
+        seen_pairs += np.bincount(pair[~first[1:]], minlength=4).reshape(2, 2)
     w, bias, trans = np.zeros(none + 1), np.array([-4.0]), np.log((seen_pairs + 1.0) / (seen_pairs + 1.0).sum(1, keepdims=True))
     gathered = [np.zeros_like(x) for x in (w, bias, trans)]
     for _ in range(rounds):
-        u = w[table].sum(1)[flat] + bias[0]
-        fwd, bwd = Field.ratios(u, first, trans)
-        odds = fwd * bwd
-        gap = y - odds / (1 + odds)
-        per_word = np.bincount(flat, gap, minlength=len(table))
+        per_word, expected, per_type = np.zeros(len(table)), np.zeros((2, 2)), w[table].sum(1) + bias[0]
+        for flat, _, first, y in batches:
+            u = per_type[flat]
+            fwd, bwd = Field.ratios(u, first, trans)
+            odds = fwd * bwd
+            per_word += np.bincount(flat, y - odds / (1 + odds), minlength=len(table))
+            e, t = np.exp(np.clip(u[1:], -40, 40)), np.exp(trans)
+            parts = np.array([np.full(len(e), t[0, 0]), t[0, 1] * e * bwd[1:], t[1, 0] * fwd[:-1], t[1, 1] * fwd[:-1] * e * bwd[1:]])
+            expected += (parts / parts.sum(0))[:, ~first[1:]].sum(1).reshape(2, 2)
         grad_w = np.bincount(table.ravel(), np.repeat(per_word, 4), minlength=none + 1) - ridge * w
         grad_w[none] = 0
-        e, t = np.exp(np.clip(u[1:], -40, 40)), np.exp(trans)
-        parts = np.array([np.full(len(e), t[0, 0]), t[0, 1] * e * bwd[1:], t[1, 0] * fwd[:-1], t[1, 1] * fwd[:-1] * e * bwd[1:]])
-        parts = (parts / parts.sum(0))[:, inner[1:]].sum(1).reshape(2, 2)
-        grads = grad_w, np.array([gap.sum()]), seen_pairs - parts - ridge * trans
+        grads = grad_w, np.array([per_word.sum()]), seen_pairs - expected - ridge * trans
         for x, g, total, rate in zip((w, bias, trans), grads, gathered, (1.0, 0.3, 0.3)):
             total += g * g
             x += rate * g / (np.sqrt(total) + 1e-9)
     weights = {f: float(w[i]) for f, i in vocab.items() if abs(w[i]) > 1e-3}
     field = Field(weights, float(bias[0]), trans, (1.0, 0.0), prior)
-    evidence = _evidence(field.marginals(field.bias + w[table].sum(1)[flat], first), owner, len(ids))
+    per_type, evidence = field.bias + w[table].sum(1), np.zeros(len(ids))
+    for flat, owner, first, _ in batches:
+        evidence += _evidence(field.marginals(per_type[flat], first), owner, len(ids))
     x, target = _logit(evidence), y_doc.astype(float)
     a, b = 1.0, 0.0
 
@@ -229,26 +236,24 @@ def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60, to
     share = y_doc.mean()
     b += np.log(prior / (1 - prior)) - np.log(share / (1 - share)) if 0 < prior < 1 else 0
     field.calibration = (float(max(a, 1e-3)), float(b))
-    field.memo = {}
     return field
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = 1500, most_clean: int = 4500, longest: int = 200_000
-) -> Field:
-    """A field learned from ``labels`` (doc_id, toxic): a sample of at most most_toxic and most_clean of the labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_toxic: int = 1000, most_clean: int = 3000) -> Field:
+    """A field learned from ``labels`` (doc_id, toxic): a sample of at most most_toxic and most_clean of the labelled ids.
 
-    The bound is this function's documented sample bound: the smallest hashes of the ids are taken, and texts of
-    over ``longest`` characters aren't learned from (they are scored like all others). Repeated labels of an id count
-    as their largest. The sampled ids are a broadcast of bounded size; only the sampled texts come to the driver.
+    The bound on rows is this function's documented sample bound: the ids with the least hashes are taken, with all of
+    their text, whatever its length. Repeated labels of an id count as their largest; a repeated document counts once
+    for each text. Labels without an id or a value, or whose document isn't there, count for nothing. Ids may be of any type.
+    The sampled ids are a broadcast of bounded size; only the sampled texts come to the driver.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = known.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0)).alias("t")).first()
     order = F.xxhash64("doc_id", F.lit("sample"))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).union(known.where("toxic <> 1").orderBy(order, "doc_id").limit(most_clean))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = rows.where(F.length("text") <= longest).collect()
-    rows = sorted(rows, key=lambda r: (hash((r.doc_id * 2654435761) % (1 << 32)), r.doc_id))
+    rows = rows.select("text", "toxic", F.xxhash64("doc_id", F.lit("order")).alias("at"), F.xxhash64("text").alias("h")).distinct().collect()
+    rows.sort(key=lambda r: (r.at, r.h))
     return train([r.text for r in rows], [r.toxic for r in rows], counts.t / counts.n if counts.n else 0.0)
 
 
@@ -266,15 +271,16 @@ def toxicity(docs: DataFrame, field: Field, text_col: str = "text", threshold: f
     model = docs.sparkSession.sparkContext.broadcast(field)
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crf = model.value
+        crf, memo = model.value, {}
         for whole in batches:
             for start in range(0, whole.num_rows, 400):
                 b = whole.slice(start, 400)
                 texts = b.column(at).to_pylist()
                 cut = [t.split() if t else [] for t in texts]
                 lengths = np.fromiter(map(len, cut), np.int64, len(cut))
-                u = np.concatenate([crf.unary(words) for words in cut]) if len(cut) else np.zeros(0)
+                u = np.concatenate([crf.unary(words, memo) for words in cut]) if len(cut) else np.zeros(0)
                 owner = np.repeat(np.arange(len(cut)), lengths)
                 begin = np.cumsum(lengths) - lengths
                 first = np.zeros(len(u), bool)

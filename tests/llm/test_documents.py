@@ -1,5 +1,6 @@
 """Brute-force twins and edge cases of the operators on documents (1, 2, 4, 5, 7, 9, 10)."""
 
+import json
 import random
 import re
 import zlib
@@ -279,10 +280,47 @@ def test_toxicity_edges(spark, edges, empty, docs):
     assert {r.score for r in toxicity.toxicity(edges, one_kind).collect()} == {1.0}
 
 
+def test_fit_on_odd_rows_and_text_ids(spark):
+    rng = random.Random(3)
+    rows = [(f"d{i}", " ".join(rng.choice(["tree", "house", "river", "stone"]) for _ in range(30)) + (" zorkel" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(200)]
+    rows += [rows[0], rows[1], ("long", "tree house " * 150_000, 0), ("none", None, 0), ("empty", "", 0), (None, "tree", 1)]
+    table = spark.createDataFrame(rows, "doc_id string, text string, toxic int")
+    labels = table.select("doc_id", "toxic").union(spark.createDataFrame([("gone", 1), ("d1", None)], "doc_id string, toxic int"))
+    field = toxicity.fit(table.drop("toxic"), labels)
+    out = {r.doc_id: r for r in toxicity.toxicity(table, field).collect()}
+    assert len(out) == 204 and all((out[f"d{i}"].score >= 0.3) == (i % 4 == 0) for i in range(200))
+    assert out["long"].score < 0.3 and out["none"].score == out["empty"].score
+    assert all(r.text[s.start : s.end] == "zorkel" for r in out.values() for s in r.spans)
+
+
+def test_score_equals_a_plain_forward_backward(spark, docs):
+    """The score of the query's field by sums over both states, one token after the other."""
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    field = toxicity.fit(docs, toxicity.training(labels))
+    a, b = field.calibration
+    for r in toxicity.toxicity(docs.limit(60), field).collect():
+        u = [field.bias + sum(field.weights.get(f, 0.0) for f in toxicity.features(w)) for w in (r.text or "").split()]
+        fwd, bwd = [], [(1.0, 1.0)] * len(u)
+        for t, x in enumerate(u):
+            before = fwd[-1] if fwd else None
+            now = [sum(before[i] * np.exp(field.trans[i, y]) for i in (0, 1)) if before else 1.0 for y in (0, 1)]
+            now[1] *= np.exp(x)
+            fwd.append((now[0] / sum(now), now[1] / sum(now)))
+        for t in range(len(u) - 2, -1, -1):
+            now = [np.exp(field.trans[y, 0]) * bwd[t + 1][0] + np.exp(field.trans[y, 1] + u[t + 1]) * bwd[t + 1][1] for y in (0, 1)]
+            bwd[t] = (now[0] / sum(now), now[1] / sum(now))
+        clean = [f[0] * g[0] / (f[0] * g[0] + f[1] * g[1]) for f, g in zip(fwd, bwd)]
+        evidence = min(30.0, max(1e-9, -sum(np.log(max(c, 1e-12)) for c in clean)))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(a * np.log(np.expm1(evidence)) + b))), rel=1e-6)
+        spans = [i for i, c in enumerate(clean) if 1 - c >= 0.5]
+        assert [(s.start, s.end) for s in r.spans] == [m.span() for i, m in enumerate(re.finditer(r"\S+", r.text or "")) if i in spans]
+
+
 def test_toxicity_query(spark, docs):
     out = registry.op7_toxicity(spark, DIR).collect()
     assert len(out) == docs.count() and all(r.predicted == int(r.score >= 0.3) for r in out)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    assert all(len(json.loads(r.spans)) == r.n_spans for r in out)
 
 
 # 9 ---------------------------------------------------------------------------------------------------------
@@ -304,7 +342,9 @@ def test_pieces_equal_the_library_and_come_back(docs, edges, empty):
 def test_path_is_the_only_finite_one():
     """The lattice of a short segment has exactly one path whose neighbours may follow each other, and it is the result."""
     machine = sentencepiece.Transducer.load(sentencepiece.default_model())
-    for word in ("▁thereouing", "entz", "aaaa", "▁▁▁x", "naïve"):
+    rng = random.Random(4)
+    made = ["".join(rng.choice("▁aeinorstlmué") for _ in range(rng.randint(1, 11))) for _ in range(300)]
+    for word in ("▁thereouing", "entz", "aaaa", "▁▁▁x", "naïve", *made):
         paths = [[]]
         found = []
         while paths:
