@@ -96,15 +96,15 @@ def merged_directory(old: DataFrame, new: DataFrame, keys: Sequence[str], key_id
 
 
 def catalogue_filled(entities: DataFrame, catalogue: DataFrame, stored: DataFrame, keys: Sequence[str], item: str, level: str, score: str) -> DataFrame:
-    """Every item of a fixed catalogue for every entity, stored values where there are any, else N/A and 0.
+    """Every item of a catalogue for every entity, stored values where there are any, else N/A and 0.
 
-    The catalogue is a short parameter table, exploded from a literal array, so this is no join of two data sets; one of over 1,000
-    items is an error.
+    The result is entities times items. The items travel in lists of about a thousand, and each entity meets each list by its
+    number, an equi-join; a short catalogue is one list, which Spark broadcasts by its size.
     """
-    known = [r[0] for r in catalogue.select(item).orderBy(item).limit(1001).collect()]
-    if len(known) > 1000:
-        raise ValueError("a catalogue of over 1,000 items is no parameter table")
-    items = F.array(*[F.lit(i) for i in known])
-    grid = entities.select(*keys).withColumn(item, F.explode(items))
+    known = catalogue.select(item).distinct()
+    lists = known.count() // 1000 + 1
+    known = known.groupBy(F.pmod(F.xxhash64(item), F.lit(lists)).alias("_list")).agg(F.collect_list(item).alias("_items"))
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lists - 1).cast("long"))).alias("_list")
+    grid = entities.select(*keys, numbers).join(known, "_list").select(*keys, F.explode("_items").alias(item))
     out = grid.join(stored, [*keys, item], "left")
     return out.withColumns({level: F.coalesce(level, F.lit("N/A")), score: F.coalesce(score, F.lit(0))})

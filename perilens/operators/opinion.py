@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from perilens.functions.text import any_of, canonical_url, compact, strip_tags, tag_weights, verified
+from perilens.operators.rounds import first_come
 
 #: Topic words, and the risk tags with weights and keywords.
 TOPIC_WORDS = (
@@ -62,28 +63,15 @@ def prepared(items: DataFrame, topic: Sequence[str] = TOPIC_WORDS) -> DataFrame:
     )
 
 
-def deduplicated(items: DataFrame, scan: str = "scan_id", order: str = "seq", salt: Column | None = None) -> DataFrame:
+def deduplicated(items: DataFrame, scan: str = "scan_id", order: str = "seq") -> DataFrame:
     """First-come deduplication within a scan: by URL, then topic, then title.
 
-    A row that drops out for its topic or title doesn't block its URL, so the rule depends on order and has
-    no set form. Off-topic rows, and repeats of a (url, title) pair, can never be kept or block anything; they go first,
-    in SQL, so that a scan's group holds only its distinct pairs (a scan has some hundred).
+    A row that drops out for its topic or title doesn't block its URL, so the rule depends on order; it is settled in
+    rounds over the (scan, url) and (scan, title) keys of all scans at once, and no scan is gathered in one task.
     """
-    firsts = items.where("on_topic").withColumn("_k", F.row_number().over(Window.partitionBy(scan, "url_hash", "title_hash").orderBy(order))).where("_k = 1")
-    keys = firsts.select(scan, order, "url_hash", "title_hash")
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        urls, titles, kept = set(), set(), []
-        for row in rows.sort_values(order).itertuples(index=False):
-            if row.url_hash in urls or row.title_hash in titles:
-                continue
-            urls.add(row.url_hash)
-            titles.add(row.title_hash)
-            kept.append(getattr(row, order))
-        return pd.DataFrame({scan: rows[scan].iloc[:1].tolist() * len(kept), order: kept})
-
-    chosen = keys.groupBy(scan).applyInPandas(keep, keys.select(scan, order).schema)
-    return firsts.drop("_k").join(chosen, [scan, order], "left_semi")
+    keys = items.where("on_topic").select(scan, order, "url_hash", "title_hash")
+    chosen = first_come(keys, [[scan, "url_hash"], [scan, "title_hash"]], order)
+    return items.where("on_topic").join(chosen.select(scan, order), [scan, order], "left_semi")
 
 
 def attribution(forced: Column, name_hit: Column) -> Column:
@@ -152,23 +140,51 @@ def with_sentiment(items: DataFrame, sentiment: DataFrame, on: Sequence[str]) ->
     return items.join(s, list(on), "left").withColumn("negative_score", F.when(wanted, F.coalesce("_n", "negative_score")).otherwise(F.col("negative_score"))).drop("_n")
 
 
-def mentions(texts: DataFrame, entities: DataFrame, text_key: str, text: str, entity_key: str, alias_col: str = "aliases", gram: int = 4) -> DataFrame:
+def mentions(texts: DataFrame, entities: DataFrame, text_key: str, text: str, entity_key: str, alias_col: str = "aliases", gram: int = 4, scan_bytes: int = 8 << 20) -> DataFrame:
     """(text_key, entity_key) where the compacted text holds an alias of the entity.
 
-    An equi-join, whatever the sizes: the rarest-looking block of an alias, its first ``gram`` characters, is joined
-    with the distinct ``gram``-grams of the texts, and only those pairs are verified by containment. Aliases must
-    have at least ``gram`` characters (as ``functions.text.aliases`` gives them).
+    The aliases' bytes are counted first. Up to ``scan_bytes`` of them go to every task as one automaton, and each text is read
+    once, whatever the number of aliases. More are joined: the overlapping blocks of ``gram`` characters of a text, cut out in one
+    pass, with the blocks that aliases start with, and only those pairs are verified by containment. Aliases must have
+    at least ``gram`` characters (as ``functions.text.aliases`` gives them).
     """
     t = texts.select(text_key, compact(text).alias("_text"))
-    starts = F.when(F.length("_text") >= gram, F.sequence(F.lit(1), F.length("_text") - gram + 1))
-    grams = t.select(text_key, F.explode(F.array_distinct(F.transform(starts, lambda i: F.substr("_text", i, F.lit(gram))))).alias("_gram"))
     a = entities.select(entity_key, F.explode(alias_col).alias("_alias")).where(F.length("_alias") >= gram).distinct()
+    total = a.agg(F.coalesce(F.sum(F.octet_length("_alias")), F.lit(0))).first()[0]
+    if total <= scan_bytes and (found := scanned(t, a, text_key)) is not None:
+        return found.join(a, "_alias").select(text_key, entity_key).distinct()
+    grams = t.select(text_key, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)))).alias("_gram"))
     a = a.withColumn("_gram", F.left("_alias", F.lit(gram)))
     # Only keys go through the exploded side; the texts join again for the candidates that are left.
-    candidates = grams.join(a, "_gram").select(text_key, entity_key, "_alias")
+    candidates = grams.join(a.select("_gram").distinct(), "_gram", "left_semi").join(a, "_gram").select(text_key, entity_key, "_alias")
     return candidates.join(t, text_key).where(F.col("_text").contains(F.col("_alias"))).select(text_key, entity_key).distinct()
 
 
+def scanned(texts: DataFrame, aliases: DataFrame, text_key: str) -> DataFrame | None:
+    """(text_key, _alias) for the aliases that each _text holds, by one automaton a task; None where the library for it is absent."""
+    try:
+        import ahocorasick  # noqa: F401
+    except ImportError:
+        return None
+    words = sorted(r[0] for r in aliases.select("_alias").distinct().collect())  # their bytes were counted
+    shipped = texts.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for w in shipped.value:
+            machine.add_word(w, w)
+        if len(machine):
+            machine.make_automaton()
+        for b in batches:
+            held = [sorted({w for _, w in machine.iter(x)}) if x and len(machine) else [] for x in b["_text"]]
+            out = pd.DataFrame({text_key: b[text_key], "_alias": held}).explode("_alias").dropna(subset=["_alias"])
+            yield out.astype({"_alias": str})
+
+    return texts.mapInPandas(run, texts.select(text_key, F.lit("").alias("_alias")).schema)
+
+
 def linked(texts: DataFrame, found: DataFrame, text_key: str, entity_key: str) -> DataFrame:
     """One mention links; several leave the link missing and list the candidates in order."""
     c = found.groupBy(text_key).agg(F.array_sort(F.collect_set(entity_key)).alias("candidates"))

@@ -184,11 +184,14 @@ def keyword_count(text: Column, keyword: str) -> Column:
     return (gone / len(keyword)).cast("int")
 
 
-def note_keywords(notes: DataFrame, keys: Sequence[str], text: str, order: str, keywords: Sequence[str]) -> DataFrame:
-    """Keyword counts over all notes of an entity and year, joined in order by a line end."""
-    ordered = F.array_sort(F.collect_list(F.struct(order, text)))
-    joined = notes.groupBy(*keys).agg(F.array_join(F.transform(ordered, lambda x: x[text]), "\n").alias("_text"))
-    return joined.select(*keys, *[keyword_count(F.col("_text"), k).alias(f"n_{k}") for k in keywords])
+def note_keywords(notes: DataFrame, keys: Sequence[str], text: str, keywords: Sequence[str]) -> DataFrame:
+    """Keyword counts over all notes of an entity and year.
+
+    Counted note by note and summed: a keyword holds no line end, so it can't span two notes of a joined text. A
+    missing note counts for nothing.
+    """
+    counts = {k: F.sum(F.coalesce(keyword_count(F.col(text), k), F.lit(0))).cast("int") for k in keywords}
+    return notes.groupBy(*keys).agg(*[c.alias(f"n_{k}") for k, c in counts.items()])
 
 
 def series_z(df: DataFrame, column: str, least: int = 2, out: str = "z") -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from perilens.operators.rounds import first_come
+
 
 def last_per_key(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row per key, the last by ``order``: what a sequence of overwrites would leave."""
@@ -51,16 +53,18 @@ def overwrite_some(existing: DataFrame, new: DataFrame, keys: Sequence[str], col
 
 
 def insert_ignore(existing: DataFrame, new: DataFrame, unique: Sequence[str], order: str) -> DataFrame:
-    """Rows that clash with no unique key of the table; of those that clash among themselves the first by ``order``.
+    """Rows that go in one after the other by ``order``, each unless it clashes on a unique key with the table or with one that went in.
 
-    Each key is settled in turn, so a row that loses on one key doesn't block others on the next.
+    What clashes with the table goes first, on every key; a row that doesn't go in blocks no other.
     """
     for key in unique:
-        taken = existing.where(F.col(key).isNotNull()).select(key)
-        new = new.join(taken, key, "left_anti")
-        place = F.row_number().over(Window.partitionBy(key).orderBy(order))
-        new = new.withColumn("_k", place).where((F.col("_k") == 1) | F.col(key).isNull()).drop("_k")
-    return new
+        new = new.join(existing.where(F.col(key).isNotNull()).select(key).distinct(), key, "left_anti")
+    return first_come(new, [[k] for k in unique], order)
+
+
+def with_parent(children: DataFrame, parents: DataFrame, key: str, label: str) -> DataFrame:
+    """Child rows of the parents that went in, each (parent, label) once: the tags that an insert-ignore writes with its rows."""
+    return children.join(parents.select(key), key, "left_semi").dropDuplicates([key, label])
 
 
 def replace_slice(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -255,7 +255,7 @@ def e21_e22_execution_rates(spark: SparkSession, d: str) -> DataFrame:
     SELECT source, lang, CAST((length(t) - length(replace(t, 'the', ''))) / 3 AS INT) AS n_the, CAST((length(t) - length(replace(t, 'licen', ''))) / 5 AS INT) AS n_licen FROM n"""
 )
 def e23_note_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return panel.note_keywords(view(spark, d, "documents"), ["source", "lang"], "text", "doc_id", ["the", "licen"])
+    return panel.note_keywords(view(spark, d, "documents"), ["source", "lang"], "text", ["the", "licen"])
 
 
 @query(

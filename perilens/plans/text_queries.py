@@ -162,13 +162,13 @@ def m5_opinion_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT p_partkey, lower(replace(p_name, ' ', '')) AS alias FROM part WHERE p_partkey < 400), t AS (SELECT doc_id, lower(regexp_replace(text, '[\\s]+', '', 'g')) AS t FROM documents),
-    w AS (SELECT DISTINCT substr(alias, 1, 5) AS alias FROM a WHERE length(alias) >= 4 UNION SELECT unnest(['oninge', 'thentio', 'idiot']))
+    """WITH t AS (SELECT doc_id, lower(regexp_replace(text, '[\\s]+', '', 'g')) AS t FROM documents),
+    w AS (SELECT DISTINCT lower(replace(p_name, ' ', '')) AS alias FROM part WHERE length(replace(p_name, ' ', '')) >= 4 UNION SELECT unnest(['oninge', 'thentio', 'idiot']))
     SELECT doc_id, alias AS entity FROM t, w WHERE contains(t, alias)"""
 )
 def d11_entity_mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Aliases found in texts by an equi-join on their first characters, verified by containment."""
-    names = view(spark, d, "part").where("p_partkey < 400").select(F.substr(T.compact("p_name"), F.lit(1), F.lit(5)).alias("alias"))
+    """Whole aliases of all parts found in all texts, each text read once."""
+    names = view(spark, d, "part").select(T.compact("p_name").alias("alias"))
     extra = spark.createDataFrame([("oninge",), ("thentio",), ("idiot",)], "alias string")
     entities = names.union(extra).distinct().select(F.col("alias").alias("entity"), F.array("alias").alias("aliases"))
     return O.mentions(view(spark, d, "documents"), entities, "doc_id", "text", "entity")
@@ -201,10 +201,10 @@ def c13_json_gate(spark: SparkSession, d: str) -> DataFrame:
     return df.select("event_id", F.from_json("props", "k int")["k"].alias("k")).where("k > 50")
 
 
-@query("SELECT conv_id, turn, try_cast(regexp_extract(json_extract_string(t, '$.body'), '^(\\w+)', 1) AS VARCHAR) AS first_word FROM (SELECT conv_id, turn, json_object('body', text) AS t FROM conversations) WHERE conv_id % 4 = 0")
+@query("SELECT conv_id, turn, try_cast(regexp_extract(json_extract_string(t, '$.body'), '^(\\w+)', 1) AS VARCHAR) AS first_word FROM (SELECT conv_id, turn, json_object('body', text) AS t FROM conversations)")
 def a20_json_in_text(spark: SparkSession, d: str) -> DataFrame:
     """An object inside other text, found between the outermost braces."""
-    df = view(spark, d, "conversations").where("conv_id % 4 = 0")
+    df = view(spark, d, "conversations")
     wrapped = F.concat(F.lit("answer:\n```json\n"), F.to_json(F.struct(F.col("text").alias("body"))), F.lit("\n```"))
     return df.select("conv_id", "turn", F.regexp_extract(T.json_in(wrapped, "body string")["body"], r"^(\w+)", 1).alias("first_word"))
 

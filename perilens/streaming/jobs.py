@@ -14,31 +14,44 @@ from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from perilens.operators.upsert import touch
 
 
-def _snapshots(spark: SparkSession, table: str) -> tuple[DataFrame | None, int]:
-    """The newest finished snapshot below a folder, and its number; 0 and none before the first."""
+PART = "part_of_key"
+
+
+def _versions(spark: SparkSession, table: str) -> dict[int, int]:
+    """Each part's newest finished version; the log has a line for every part that a batch wrote, a bounded number of parts."""
     try:
-        newest = spark.read.schema("number long").json(f"{table}/log").agg(F.max("number")).first()[0]
+        log = spark.read.schema(f"number long, {PART} int").json(f"{table}/log")
+        return {r[0]: r[1] for r in log.groupBy(PART).agg(F.max("number")).collect()}
     except AnalysisException:  # no folder yet
-        newest = None
-    return (spark.read.parquet(f"{table}/v{newest}"), newest) if newest else (None, 0)
+        return {}
+
+
+def _snapshots(spark: SparkSession, table: str, parts: set[int] | None = None) -> tuple[DataFrame | None, int]:
+    """The newest state of a table (of some ``parts``), and the number of its newest version; none and 0 before the first."""
+    newest = _versions(spark, table)
+    paths = [f"{table}/v{v}/{PART}={p}" for p, v in sorted(newest.items()) if parts is None or p in parts]
+    return (spark.read.parquet(*paths) if paths else None), max(newest.values(), default=0)
 
 
-def keep_reviews(stream: DataFrame, table: str, checkpoint: str, key: str = "content_hash", first: str = "first_seen_at", last: str = "last_seen_at") -> StreamingQuery:
+def keep_reviews(stream: DataFrame, table: str, checkpoint: str, key: str = "content_hash", first: str = "first_seen_at", last: str = "last_seen_at", parts: int = 64) -> StreamingQuery:
     """Reviews as they come: unknown hashes are added, a known one only moves its last time.
 
-    Each batch writes a new snapshot beside the old ones; one that is run again starts from the same older snapshot, so
-    its outcome is the same.
+    The table is cut by the key's hash into ``parts``. A batch writes a new version of the parts that it touches beside the
+    older ones, which stay as they are; a batch that is run again starts from the same older versions, so its outcome is the same.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        old, newest = _snapshots(spark, table)
-        if newest > number:  # this batch was written before a restart
+        part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+        touched = {r[0] for r in rows.select(part).distinct().collect()}
+        old, newest = _snapshots(spark, table, touched)
+        if newest > number or not touched:  # this batch was written before a restart, or is empty
             return
         new = rows if old is None else rows.select(*old.columns)
         empty = spark.createDataFrame([], new.schema) if old is None else old
-        touch(empty, new, key, first, last).write.mode("overwrite").parquet(f"{table}/v{number + 1}")
-        spark.range(number + 1, number + 2).toDF("number").write.mode("append").json(f"{table}/log")  # only now it counts
+        touch(empty, new, key, first, last).withColumn(PART, part).write.mode("overwrite").partitionBy(PART).parquet(f"{table}/v{number + 1}")
+        done = spark.createDataFrame([(number + 1, p) for p in sorted(touched)], f"number long, {PART} int")
+        done.coalesce(1).write.mode("append").json(f"{table}/log")  # only now it counts
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -128,6 +128,31 @@ def test_insert_ignore(spark):
     table = spark.createDataFrame([(1, "u1", "t1")], "seq int, u string, t string")
     new = spark.createDataFrame([(2, "u1", "t2"), (3, "u2", "t1"), (4, "u3", "t3"), (5, "u3", "t4"), (6, "u4", "t5")], table.schema)
     assert sorted(r.seq for r in upsert.insert_ignore(table, new, ["u", "t"], "seq").collect()) == [4, 6]
+    # A row that clashes with the table on its second key blocks nobody on its first one.
+    table = spark.createDataFrame([(0, "z", "t0")], table.schema)
+    new = spark.createDataFrame([(1, "x", "t0"), (2, "x", "t9"), (3, None, "t9"), (4, None, None), (5, None, None), (2, "x", "t9")], table.schema)
+    kept = upsert.insert_ignore(table, new, ["u", "t"], "seq")
+    assert sorted(r.seq for r in kept.collect()) == [2, 4, 5]
+    tags = spark.createDataFrame([(2, "a"), (2, "a"), (3, "b")], "seq int, tag string")
+    assert [(r.seq, r.tag) for r in upsert.with_parent(tags, kept, "seq", "tag").collect()] == [(2, "a")]
+    assert upsert.insert_ignore(table, new.limit(0), ["u", "t"], "seq").count() == 0
+
+
+def test_insert_ignore_equals_a_loop(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(i, f"u{rng.randint(0, 60)}" if rng.random() < 0.9 else None, f"t{rng.randint(0, 60)}" if rng.random() < 0.9 else None) for i in range(500)]
+    old, new = rows[:40], rows[40:]
+    urls, titles, want = {u for _, u, _ in old if u}, {t for _, _, t in old if t}, []
+    for i, u, t in new:
+        if u not in urls and t not in titles:
+            urls |= {u} - {None}
+            titles |= {t} - {None}
+            want.append(i)
+    schema = "seq int, u string, t string"
+    got = upsert.insert_ignore(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema).repartition(5), ["u", "t"], "seq")
+    assert sorted(r.seq for r in got.collect()) == want
 
 
 def test_paging_parameters():
@@ -293,12 +318,25 @@ def test_cooldown_stream(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def test_long_catalogue_is_an_error(spark):
-    import pytest as p
-
+def test_long_catalogue_is_whole(spark):
     from perilens.operators.linkage import catalogue_filled
 
-    entities, catalogue = spark.range(1), spark.range(1001).withColumnRenamed("id", "item")
-    stored = spark.createDataFrame([], "id long, item long, level string, score int")
-    with p.raises(ValueError, match="1,000"):
-        catalogue_filled(entities, catalogue, stored, ["id"], "item", "level", "score")
+    entities, catalogue = spark.range(2), spark.range(1500).withColumnRenamed("id", "item")
+    stored = spark.createDataFrame([(1, 1400, "RED", 7)], "id long, item long, level string, score int")
+    rows = catalogue_filled(entities, catalogue, stored, ["id"], "item", "level", "score").collect()
+    assert len(rows) == 3000 and [(r.id, r.item, r.score) for r in rows if r.level == "RED"] == [(1, 1400, 7)]
+    assert all((r.level, r.score) == ("N/A", 0) for r in rows if r.level != "RED")
+
+
+def test_mentions_both_ways_equal_a_loop(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abc é") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 300))) for i in range(60)] + [(90, None), (91, ""), (92, "abca" * 20_000)]
+    entities = [(k, sorted({w for w in ("".join(word(6).split()) for _ in range(3)) if len(w) >= 4})) for k in range(40)]
+    t, e = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(entities, "entity int, aliases array<string>")
+    want = {(i, k) for i, x in texts for k, own in entities if x and any(a in "".join(x.split()) for a in own)}
+    for scan_bytes in (1 << 20, -1):
+        got = opinion.mentions(t, e, "id", "text", "entity", scan_bytes=scan_bytes)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
