@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Groups, cut_lineage
+from .shared import Groups, cut_lineage, tidied
 
 
 def codebook(points: np.ndarray, size: int, rounds: int = 12, seed: int = 8) -> np.ndarray:
@@ -23,7 +23,7 @@ def codebook(points: np.ndarray, size: int, rounds: int = 12, seed: int = 8) ->
         centres = np.vstack((centres, points[rng.choice(len(points), p=far / far.sum())]))
         far = np.minimum(far, ((points - centres[-1]) ** 2).sum(1))
     for _ in range(rounds):
-        own = distances(points, centres).argmin(1)
+        own = np.concatenate([distances(points[at : at + 1024], centres).argmin(1) for at in range(0, len(points), 1024)])
         sums = np.zeros_like(centres)
         np.add.at(sums, own, points)
         counts = np.bincount(own, minlength=len(centres))[:, None]
@@ -73,8 +73,9 @@ class MultiIndex:
         d1, d2 = distances(unit[:, : self.half], self.first), distances(unit[:, self.half :], self.second)
         i, j = np.divmod(home, len(self.second))
         rows = np.arange(len(unit))
-        cost = d1[rows, i] + d2[rows, j]
-        ranks = np.array([int((d1[k][:, None] + d2[k] <= cost[k]).sum()) for k in rows])
+        cost, d2 = d1[rows, i] + d2[rows, j], np.sort(d2, 1)
+        # Cells at most as far as the partner's own: for each first half, how many second halves still fit.
+        ranks = np.array([np.searchsorted(d2[k], cost[k] - d1[k] + 1e-12, "right").sum() for k in rows])
         self.visits = int(max(1, np.quantile(ranks, recall, method="higher")))
 
 
@@ -93,45 +94,55 @@ def near_vectors(
     label_col: str = "label",
     cosine: float = 0.98,
     recall: float = 0.999,
-    sample: int = 4096,
+    cell_rows: int = 64,
+    sample: int = 65_536,
     chunk: int = 2048,
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``.
 
     Rows are linked when their labels are equal and not null and their cosine, in double precision, is at least
     ``cosine``. Equal vectors of a label become one entry with a count before anything else, so a vector that
-    a third of all rows repeat costs one entry. The index (both codebooks, and the number of cells to visit for the
-    target ``recall``) is fitted on at most ``sample`` entries; all entries are indexed, and each visits its nearest
+    a third of all rows repeat costs one entry. The product grid has about one cell for ``cell_rows`` entries, so the number of
+    comparisons grows with the table, not with its square; the codebooks (its square root each) are fitted on eight sampled
+    entries a centre, 4,096 at least and ``sample`` at most (the documented bound: it serves 4 billion entries), and the
+    number of cells to visit for the target ``recall`` on 1,024 of them. All entries are indexed, and each visits its nearest
     cells, where every candidate is verified exactly. A cell is dealt out in blocks of ``chunk`` entries by
     ``4 * chunk`` visitors, so a crowded cell becomes many tasks; a block gives one row per linked entry.
 
     Vectors that are null, empty, zero, or hold null or non-finite components, and rows without a label or an id,
-    link with nothing: n_links 0 and a component of their own. Vectors of different lengths never link.
-    An empty table gives an empty one.
+    link with nothing: n_links 0 and a component of their own. Vectors of different lengths never link. Ids may be of any
+    ordered type; rows that repeat an id are vectors of their own, and each links by its own components. An empty table gives an empty one.
     """
     x = F.col(vector_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), x.cast("array<double>").alias("v"))
+    single = "array<float>" in vectors.select(x).dtypes[0][1]
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), (x if single else x.cast("array<double>")).alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & finite & F.exists("v", lambda c: c != 0), F.lit(False))
-    rows = rows.withColumn("v", F.when(usable, F.col("v")))
+    # -0.0 and 0.0 are one value, with one hash.
+    rows = rows.withColumn("v", F.when(usable, F.transform("v", lambda c: c + F.lit(0.0).cast("float" if single else "double"))))
     rows = rows.withColumns({"k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit(1), "v")})
     keys = ["label", "k1", "k2"]
-    entries = rows.where("v is not null").groupBy(*keys).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
-    entries = cut_lineage(entries.withColumn("dims", F.size("v")))
+    entries = rows.where("v is not null").groupBy(*keys).agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value("v").alias("v"))
+    # An entry's number is its node: ids can repeat. It stands once the table is written.
+    entries = cut_lineage(entries.select("*", F.size("v").alias("dims"), F.monotonically_increasing_id().alias("rep")))
     n, dims = entries.agg(F.count("*"), F.max("dims")).first()
     blank = rows.select("vec_id", *keys)
     if not n:
         return blank.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    picked = entries.select("v").orderBy(F.xxhash64("k1", "k2"), "rep").limit(sample).collect()
+    size = max(2, round(math.sqrt(n / cell_rows)))
+    picked = entries.select("v").orderBy(F.xxhash64("k1", "k2"), "rep").limit(min(sample, max(4096, 8 * size))).collect()
     unit = unit_rows([r.v for r in picked], dims)
-    index = MultiIndex(unit, int(min(64, max(2, round(n**0.25)))))
-    index.calibrate(unit, cosine, recall)
+    index = MultiIndex(unit, size)
+    index.calibrate(unit[:1024], cosine, recall)
     shipped = vectors.sparkSession.sparkContext.broadcast(index)
 
+    @tidied
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         multi = shipped.value
-        for b in batches:
-            if b.num_rows:
+        rows = max(1, (1 << 20) // max(len(multi.first), len(multi.second)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, rows):
+                b = whole.slice(start, rows)
                 cells = multi.order(unit_rows(b.column("v").to_pylist(), dims), multi.visits)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, cells.size + 1, cells.shape[1]), pa.int32()), pa.array(cells.astype(np.int32).ravel()))
                 yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, "cells"])
@@ -154,8 +165,8 @@ def near_vectors(
         member = block.column("member").to_numpy()
         reps, copies = block.column("rep").to_numpy(), block.column("copies").to_numpy()
         flat = block.column("v").combine_chunks()
-        unit = flat.flatten().to_numpy().reshape(len(reps), -1)
-        unit = unit / np.linalg.norm(unit, axis=1, keepdims=True)
+        unit = flat.flatten().to_numpy().astype(np.float64).reshape(len(reps), -1)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         m, v = np.flatnonzero(member), np.flatnonzero(~member)
         nodes, at = np.unique(reps, return_inverse=True)
         counts, groups = np.zeros(len(nodes), np.int64), Groups(len(nodes))
@@ -172,10 +183,9 @@ def near_vectors(
     found = cut_lineage(both.groupBy(*cell, "m_part", "v_part").applyInArrow(verify, "rep long, n long, root long"))
     member = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    facts = placed.select("label", "rep", "copies").join(links, "rep", "left").join(member, F.col("rep") == F.col("node"), "left")
-    facts = entries.select(*keys, "rep").join(
-        facts.select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")), "rep"
-    )
-    out = blank.join(facts.drop("rep"), keys, "left")
+    facts = entries.select(*keys, "rep", "least", "copies").join(links, "rep", "left").join(member, F.col("rep") == F.col("node"), "left")
+    facts = facts.select(*keys, "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("c"))
+    least = facts.groupBy("c").agg(F.min("least").alias("component_id"))
+    out = blank.join(facts.join(least, "c").drop("c", "least"), keys, "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
