@@ -29,24 +29,48 @@ CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"td", "th", "tr", "p"}, "td": {"td", "th", "p"},
     "th": {"td", "th", "p"}, "tbody": {"td", "th", "tr", "thead", "p"}, "body": {"head"},
 }
-#: Elements that never hold the article, and words of class, id and role names that say the same.
+#: Elements that never hold the article.
 APART = frozenset("head nav footer".split())
-#: Elements that mostly don't; like the words below they never cover the article or the bulk of a text.
+#: Elements that mostly don't, and words of class, id and role names that say the same; neither covers the bulk of a text.
 MOSTLY_APART = frozenset("aside form menu dialog fieldset".split())
-APART_WORDS = re.compile(
-    r"(?<![a-z])(nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|footer|masthead|banner|cookies?|consent|gdpr|notices?|ads?|advert|adverts|advertisement|adsbygoogle"
-    r"|sponsor|sponsored|promo|promotion|popup|modal|overlay|comments?|disqus|reply|replies|respond|share|sharing|social|newsletter|subscribe|subscription|signup|login"
-    r"|related|recommended|pagination|pager|widgets?|toolbar|skip|search|complementary|contentinfo|alert|disclaimer)(?![a-z])"
+APART_WORDS = frozenset(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead banner cookie cookies consent gdpr notice notices ad ads advert adverts advertisement adsbygoogle"
+    " sponsor sponsored promo promotion popup modal overlay comment comments disqus reply replies respond share sharing social newsletter subscribe subscription signup login"
+    " related recommended pagination pager widget widgets toolbar skip search complementary contentinfo alert disclaimer".split()
 )
+#: Words at a name's end that say nothing about what is inside.
+WRAPPERS = frozenset("wrap wrapper container outer inner box block area section list slot unit group row col column panel holder region zone".split())
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+#: Share of link characters from which a name that holds such a word somewhere is believed.
+LINKED = 1 / 3
+
+
+def named(names: str) -> int:
+    """1 if a name is that of boilerplate, 3 if it may be, else 0.
+
+    A compound name is about its last word (``reader-comments`` are comments, ``related-work`` is work), wrapper words
+    aside; a word of the list further in front only makes it likely, and the block's links then decide.
+    """
+    mark = 0
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", CAMEL.sub("-", name).lower()) if w]
+        while len(words) > 1 and words[-1] in WRAPPERS:
+            words.pop()
+        if words and words[-1] in APART_WORDS:
+            return 1
+        if any(w in APART_WORDS for w in words):
+            mark = 3
+    return mark
+
+
 class Node:
-    __slots__ = ("name", "up", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "apart", "mark")
+    __slots__ = ("name", "up", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "apart", "mark", "links")
 
     def __init__(self, name: str, up: Node | None, mark: int):
-        self.name, self.up, self.mark, self.apart = name, up, mark, False
+        self.name, self.up, self.mark, self.apart, self.links = name, up, mark, False, 0
         self.parts: list[Node | str] = []
         self.chars = self.link_chars = self.link_tags = 0
         self.tags = 1
@@ -54,28 +78,32 @@ class Node:
 
 
 def dom(page: str) -> Node:
-    """The block tree of a page; scripts, styles and comments are left out, ``mark`` is 2 for boilerplate, 1 for what may be."""
+    """The block tree of a page; scripts, styles and comments are left out, ``mark`` is 2 for boilerplate, else as ``named`` says."""
     root = node = Node("html", None, 0)
-    at, links, in_article = 0, 0, 0
+    at = links = 0
+
+    def add(raw: str) -> None:
+        text = html.unescape(raw)
+        node.parts.append(text)
+        size = len("".join(text.split()))
+        node.chars += size
+        if links:
+            node.link_chars += size
+
     for m in TOKEN.finditer(page):
         if m.start() > at:
-            text = html.unescape(page[at : m.start()])
-            node.parts.append(text)
-            size = len("".join(text.split()))
-            node.chars += size
-            if links:
-                node.link_chars += size
+            add(page[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
             continue
         if name not in BLOCKS:
             if m[2]:
-                links -= name == "a" and links > 0
+                links = 0 if name == "a" else links
                 continue
             node.tags += 1
-            if name == "a":
-                links += 1
+            if name == "a":  # a link ends where the next one starts
+                links = 1
                 node.link_tags += 1
             elif name == "br":
                 node.parts.append(" ")
@@ -86,36 +114,33 @@ def dom(page: str) -> Node:
             up = node
             while up is not None and up.name != name:
                 up = up.up
-            if up is not None and up.up is not None:
-                node = up.up
-            links = 0
+            if up is not None and up.up is not None:  # a link goes on into blocks and past them, but not out of the block it began in
+                node, links = up.up, up.links
             continue
-        links = 0
         if name == "html" or (name == "body" and any(isinstance(x, Node) and x.name == "body" for x in root.parts)):
             continue
         if name in VOID:
             node.parts.append(Node(name, node, 0))
             continue
         while node.up is not None and (node.name == "p" or node.name in CLOSES.get(name, ())):
-            node = node.up
+            node, links = node.up, node.links
         inside, up = False, node
         while up is not None and not inside:
             inside, up = up.name in ("article", "main"), up.up
         mark = 2 if name in APART or (name == "header" and not inside) else int(name in MOSTLY_APART)
         if not mark and m[4] and name not in ("body", "article", "main"):
-            words = " ".join(v.strip("\"'") for v in NAMED.findall(m[4]))
-            mark = int(bool(words) and APART_WORDS.search(CAMEL.sub("-", words).lower().replace("_", "-")) is not None)
+            mark = named(" ".join(v.strip("\"'") for v in NAMED.findall(m[4])))
         child = Node(name, node, mark)
+        child.links = links
         node.parts.append(child)
         node = child
     if at < len(page):
-        node.parts.append(html.unescape(page[at:]))
-        node.chars += len("".join(page[at:].split()))
+        add(page[at:])
     return root
 
 
 def set_apart(root: Node) -> Node:
-    """Decides what is ``apart``: marked 2, or marked 1 unless that would cover the article.
+    """Decides what is ``apart``: marked 2, or marked 1 (by 3 if a third of it is link text) unless that would cover the article.
 
     A mark of 1 doesn't count if the node holds an article or main element and none with text is outside all marks, or
     if it holds more than half of the text of the article that it is in (of the page, where no such element is
@@ -125,14 +150,17 @@ def set_apart(root: Node) -> Node:
     while stack:
         node = stack.pop()
         order.append(node)
-        stack += [x for x in reversed(node.parts) if isinstance(x, Node) and x.mark < 2]
-    size = {id(n): n.chars for n in order}
+        stack += [x for x in reversed(node.parts) if isinstance(x, Node) and x.mark != 2]
+    size, linked = {id(n): n.chars for n in order}, {id(n): n.link_chars for n in order}
     holds = {id(n): False for n in order}
     for n in reversed(order):
         holds[id(n)] |= n.name in ("article", "main") and size[id(n)] > 0
         if n.up is not None:
             size[id(n.up)] += size[id(n)]
+            linked[id(n.up)] += linked[id(n)]
             holds[id(n.up)] |= holds[id(n)]
+        if n.mark == 3:
+            n.mark = int(size[id(n)] > 0 and linked[id(n)] >= LINKED * size[id(n)])
     clear, free = {id(None)}, False
     for n in order:
         if n.mark == 0 and id(n.up) in clear:

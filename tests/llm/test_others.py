@@ -64,6 +64,59 @@ def test_names_and_forms_do_not_cover_the_article(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article>{BODY}<div class='related-work'><p>What others did.</p></div><div id='search-algorithms'>How to find.</div></article>", ARTICLE + "\nWhat others did.\nHow to find."),
+        (f"<article>{BODY}<div class='related-posts'><a href=1>One post</a> and <a href=2>another post</a></div></article>", ARTICLE),
+        (f"<article>{BODY}<div class='related-posts'><a href=1><div>One post</div></a></div></article>", ARTICLE),
+        (f"<article>{BODY}<div class='adSlot'>buy</div><div class=ad_box>buy</div><div class='cookie-notice'>We use them.</div></article>", ARTICLE),
+        (f"<div><div>{BODY}</div></div><div><a href=1>Home</a> <a href=2>About</a></div>", ARTICLE),
+        (f"<div><div>{BODY}</div><ul><li><a href=1>Home</a><li><a href=2>About us and all others</a></ul></div>tail &amp; end", ARTICLE),
+    ],
+)
+def test_names_inside_an_article_need_evidence(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_densities_equal_a_plain_recursion(spark):
+    """Composite densities and their sums by recursion over the same tree, and the greatest sum by trying every node."""
+    import math
+
+    def count(node):
+        own = [node.chars, node.tags, node.link_chars, node.link_tags]
+        return [a + sum(x) for a, *x in zip(own, *(count(c) for c in node.parts if isinstance(c, html_text.Node) and not c.apart))]
+
+    def density(node, page):
+        c, t, lc, lt = count(node)
+        if not c:
+            return 0.0
+        base = math.log(c / max(1, c - lc) * lc + page[2] / max(1, page[0]) * c + math.e)
+        return max(0.0, c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt)) + 1e-9) / max(1.0, math.log(base) if base > math.e else 1.0))
+
+    rng = np.random.default_rng(3)
+    made = []
+    for _ in range(40):
+        parts = []
+        for _ in range(30):
+            kind = rng.choice(["<div>", "</div>", "<p>", "<a href=x>", "</a>", "<section>", "</section>", "<ul><li>", "</ul>", "<b>"])
+            parts.append(kind + " ".join("w" * int(k) for k in rng.integers(1, 9, int(rng.integers(0, 20)))))
+        made.append("".join(parts))
+    for page in [*(r.html for r in spark.read.parquet(f"{DIR}/pages.parquet").limit(15).collect()), *made]:
+        root, twin = html_text.set_apart(html_text.dom(page)), html_text.set_apart(html_text.dom(page))
+        order, plain, stack, total = html_text.weigh(root), [], [twin], count(twin)
+        while stack:
+            node = stack.pop()
+            if not node.apart:
+                plain.append(node)
+                stack += [c for c in reversed(node.parts) if isinstance(c, html_text.Node)]
+        assert len(order) == len(plain)
+        for a, b in zip(order, plain):
+            assert a.density == pytest.approx(density(b, total))
+            inner = [density(c, total) for c in b.parts if isinstance(c, html_text.Node) and not c.apart]
+            assert a.total == pytest.approx(sum(inner) if inner else density(b, total))
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None, "old"), (None, None, "<p>" + "word " * 50_000, "old"), (2, "u", "<p>a</p>", "old"), (2, "u", "<p>a</p>", "old")]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
@@ -126,6 +179,14 @@ def test_vector_edges(spark):
     assert embeddings.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_vectors_of_their_own(spark):
+    rows = [(5, [1.0, 0.0], 1), (5, [0.0, 1.0], 1), (6, [1.0, 0.01], 1), (7, [0.0, 1.0], 2), (8, [-0.0, 1.0], 2), (5, [0.0, 2.0], 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = sorted(tuple(r) for r in embeddings.near_vectors(frame).collect())
+    # The first and third rows link, and so do the second and the last, which share an id; 7 and 8 are one vector.
+    assert got == sorted([(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 7, True), (8, 1, 7, False), (5, 1, 5, True)])
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (102, 101), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
