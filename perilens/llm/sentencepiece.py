@@ -17,8 +17,6 @@ SPACE = "▁"
 #: Segments end where a piece never continues: before a space that follows a word, and around line ends.
 SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 LONG = 48
-#: Bits of the table that remembers which pieces may follow each other.
-SLOTS = 18
 START, UNKNOWN = -1, -2
 NEVER = 1 << 30  # the infinite weight
 
@@ -31,7 +29,7 @@ def default_model() -> str:
 class Memory(dict):
     """Segment to its number, and each number's piece ids; new segments wait in ``new``. Forgets all beyond ``most`` characters."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 3 << 19):
         self.most, self.chars, self.new, self.blobs = most, 0, [], []
 
     def __missing__(self, segment: str) -> int:
@@ -71,7 +69,21 @@ class Transducer:
         special_text = {i: bytes([byte_ids.index(i)]) if i in byte_ids else b"" for i in special}
         self.output = [special_text[i] if i in special else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
         self.follows: dict[tuple[int, int], bool] = {}
-        self.alone = {i for p, i in self.ids.items() if len(p) == 1 or self.merged(list(p)) == [p]}
+        # Merges by turn: characters first, then pieces, the best one first; what each alone was last merged from.
+        turns = sorted(self.ids, key=lambda p: (len(p) > 1, self.rank[p] if len(p) > 1 else (0, self.ids[p])))
+        at = {p: k for k, p in enumerate(turns)}
+        self.turn = np.full(len(pieces), -1, np.int64)
+        self.turn[[self.ids[p] for p in turns]] = np.arange(len(turns))
+        self.first, self.second = np.arange(len(pieces)), np.arange(len(pieces))
+        self.alone, joins = set(), []
+        for p, i in self.ids.items():
+            parts = [p] if len(p) == 1 else self.merged(list(p), 2)
+            if len(p) == 1 or (len(parts) == 2 and self.merged(list(p)) == [p] and parts[0] in at and parts[1] in at):
+                self.alone.add(i)
+                if len(p) > 1:
+                    self.first[at[p]], self.second[at[p]] = at[parts[0]], at[parts[1]]
+                    joins.append((at[parts[0]] * len(pieces) + at[parts[1]], at[p]))
+        self.joins, self.joined = np.array(sorted(joins), np.int64).reshape(-1, 2).T.copy()
         # The trie, as one sorted table of (node, character) keys.
         children: dict[tuple[int, str], int] = {}
         piece_at = [-1]
@@ -91,8 +103,6 @@ class Transducer:
         self.keys, self.next = keys[order], np.fromiter(children.values(), np.int64)[order]
         self.longest = max(map(len, self.ids))
         self.width = np.array([len(p) for p in pieces], np.int64)
-        self.cache_key = np.full(1 << SLOTS, -1, np.int64)
-        self.cache_ok = np.zeros(1 << SLOTS, bool)
 
     @classmethod
     def load(cls, model: str) -> Transducer:
@@ -104,9 +114,9 @@ class Transducer:
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], special, byte_ids)
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """What the model's merges make of a list of symbols: the best-ranked neighbours first, left before right."""
-        while len(symbols) > 1:
+    def merged(self, symbols: list[str], most: int = 1) -> list[str]:
+        """What the model's merges make of a list of symbols: the best-ranked neighbours first, left before right; stops at ``most``."""
+        while len(symbols) > most:
             best, at = None, -1
             for i in range(len(symbols) - 1):
                 rank = self.rank.get(symbols[i] + symbols[i + 1])
@@ -122,27 +132,37 @@ class Transducer:
             return True
         ok = self.follows.get((last, piece))
         if ok is None:
-            a, b = self.pieces[last], self.pieces[piece]
             if len(self.follows) > 50_000:
                 self.follows.clear()
-            ok = self.follows[last, piece] = self.merged([*a, *b]) == [a, b]
+            ok = self.follows[last, piece] = bool(self.may_follow_all(np.array([last]), np.array([piece]))[0])
         return ok
 
     def may_follow_all(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        key = last.astype(np.int64) * len(self.pieces) + piece
-        slot = ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
-        ok = self.cache_ok[slot]
-        missing = np.flatnonzero((self.cache_key[slot] != key) & (last >= 0))
-        ok[last < 0] = True
-        if len(missing):
-            new, back = np.unique(key[missing], return_inverse=True)
-            found = np.fromiter((self.may_follow(*divmod(k, len(self.pieces))) for k in new.tolist()), bool, len(new))
-            ok[missing] = found[back]
-            at = slot[missing]
-            self.cache_key[at], self.cache_ok[at] = key[missing], ok[missing]
-            # Two keys that share a slot in one write could leave a mixed entry; drop those.
-            mixed = self.cache_key[at] != key[missing]
-            self.cache_key[at[mixed]] = -1
+        """Whether two neighbours joined are merged back into themselves, for arrays of them.
+
+        Goes back through the merges that made both, latest first: the symbols that face each other at the border at a time
+        are the last piece's right parts and the next one's left parts. The border holds unless two of them make a piece whose
+        merge comes before the merges that took them away.
+        """
+        n = len(self.turn)
+        ok = np.ones(len(last), bool)
+        live = np.flatnonzero(last >= 0)
+        a, b = self.turn[last[live]], self.turn[piece[live]]
+        limit = np.full(len(live), n, np.int64)
+        while len(live):
+            key = a * n + b
+            slot = np.searchsorted(self.joins, key)
+            slot[slot == len(self.joins)] = 0
+            early = (self.joins[slot] == key) & (self.joined[slot] < limit)
+            ok[live[early]] = False
+            left, right = self.first[b], self.second[a]
+            no_left, no_right = left == b, right == a
+            undo_a = np.where(a > b, ~no_right, no_left & ~no_right)
+            undo_b = ~undo_a & ~no_left
+            limit = np.where(undo_a, a, b + 1)
+            a, b = np.where(undo_a, right, a), np.where(undo_b, left, b)
+            go = ~early & (undo_a | undo_b)
+            live, a, b, limit = live[go], a[go], b[go], limit[go]
         return ok
 
     def path(self, segment: str) -> bytes:
@@ -196,7 +216,7 @@ class Transducer:
             here = begin[words] + j - 1
             for k in range(1, min(j, len(arcs)) + 1):
                 piece = arcs[k - 1, here - k + 1]
-                some = np.flatnonzero(piece >= 0)
+                some = np.flatnonzero((piece >= 0) & (least[here] == NEVER))  # a finite sum is the only one (see above)
                 if k < j:
                     some = some[least[here[some] - k] < NEVER]
                 if not len(some):
@@ -238,8 +258,8 @@ class Transducer:
         new, memory.new = memory.new, []
         blobs: list[bytes | None] = [None] * len(new)
         short = [i for i, s in enumerate(new) if len(s) <= LONG and s != "\n"]
-        for at in range(0, len(short), 10_000):
-            part = short[at : at + 10_000]
+        for at in range(0, len(short), 40_000):
+            part = short[at : at + 40_000]
             for i, blob in zip(part, self.paths([new[i].replace(" ", SPACE) for i in part])):
                 blobs[i] = blob
         memory.blobs += [self.path(s.replace(" ", SPACE)) if blob is None else blob for s, blob in zip(new, blobs)]
