@@ -149,17 +149,46 @@ def in_buckets(rows: DataFrame, radius: int, shard_rows: int = 4096) -> DataFram
     return rows.groupBy("bucket", "x", "y").applyInArrow(search, "a long, b long")
 
 
-def linked(distinct: DataFrame, radius: int = 2, shard_rows: int = 4096) -> DataFrame:
+def masks(radius: int, levels: int) -> list[list[int]]:
+    """For each level the bits that a bucket of each path agrees on; path p has the paths p * (radius + 1) + j below it.
+
+    A level cuts the bits that are left into radius + 1 blocks, and two fingerprints within the radius agree on one of them.
+    """
+    out, blocks = [[0]], radius + 1
+    for _ in range(levels):
+        deeper = []
+        for mask in out[-1]:
+            left = [b for b in range(64) if not mask >> b & 1]
+            cut = [left[len(left) * i // blocks : len(left) * (i + 1) // blocks] for i in range(blocks)]
+            deeper += [mask | sum(1 << b for b in own) for own in cut]
+        out.append(deeper)
+    return out[1:]
+
+
+def linked(distinct: DataFrame, radius: int = 2, shard_rows: int = 4096, levels: int = 3) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect exactly what lies within ``radius``.
 
     Two fingerprints within the radius agree on at least one of radius + 1 bit blocks, so each goes to that many
-    buckets (block number, block value), and only what shares one is compared.
+    buckets, and only what shares one is compared. A bucket of over ``shard_rows`` is cut again by the bits that are left,
+    and again, so that its size grows by a factor and not by its square; what then still agrees on most bits goes to
+    the pieces of ``in_buckets``.
     """
-    blocks = radius + 1
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    keys = [F.shiftrightunsigned("fp", cuts[i]).bitwiseAND((1 << (cuts[i + 1] - cuts[i])) - 1) * blocks + i for i in range(blocks)]
-    rows = distinct.select(F.col("fp").alias("node"), F.explode(F.array(*keys)).alias("bucket"), F.array("fp").alias("fp"))
-    return in_buckets(rows, radius, shard_rows)
+    blocks, done = radius + 1, None
+    rows = distinct.select(F.col("fp").alias("node"), F.lit(0).alias("path"))
+    for level, table in enumerate(masks(radius, levels)):
+        of = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in table])
+        below = F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.col("path") * blocks + j))
+        rows = rows.select("node", below.alias("path"))
+        rows = rows.withColumn("bucket", F.xxhash64("path", F.col("node").bitwiseAND(F.element_at(of, F.col("path") + 1))))
+        sizes = rows.groupBy("bucket").count().where("count > 1")
+        rows = cut_lineage(rows.join(sizes, "bucket"))
+        final = rows if level == levels - 1 else rows.where(f"count <= {shard_rows}")
+        final = final.select("node", "bucket")
+        done = final if done is None else done.unionByName(final)
+        rows = rows.where(f"count > {shard_rows}").select("node", "path")
+        if level < levels - 1 and rows.isEmpty():
+            break
+    return in_buckets(done.withColumn("fp", F.array("node")), radius, shard_rows)
 
 
 def near_duplicates(

@@ -121,11 +121,20 @@ def test_simhash_edges(edges, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def test_links_in_split_buckets(spark):
+def test_masks_leave_no_pair_apart():
+    rng = np.random.default_rng(7)
+    for level in simhash.masks(2, 3):
+        for _ in range(200):
+            a, b = rng.choice(64, 2, replace=False).tolist()
+            assert any(not m >> a & 1 and not m >> b & 1 for m in level)
+
+
+@pytest.mark.parametrize("shard_rows", [16, 3])
+def test_links_in_split_buckets(spark, shard_rows):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 12, dtype=np.int64)
     keys = np.unique(np.concatenate([base ^ (1 << np.int64(i)) ^ (1 << np.int64(j)) for i in range(0, 60, 7) for j in range(0, 60, 9)] + [base]))
-    links = simhash.linked(spark.createDataFrame([(int(k),) for k in keys], "fp long"), 2, shard_rows=16).collect()
+    links = simhash.linked(spark.createDataFrame([(int(k),) for k in keys], "fp long"), 2, shard_rows=shard_rows).collect()
     parent = {int(k): int(k) for k in keys}
 
     def find(x):
