@@ -15,24 +15,41 @@ SPDX = (
 
 #: Known licence sentences. (identifier, pattern that a whole normalised sentence must match).
 SENTENCES = [
-    ("MITnamed", r"(.* )?(released|licensed|distributed|available|provided|published) under (the )?(terms of the )?(mit|expat) licen[sc]e([ ;,:(].*)?"),
+    ("MITnamed", r"(.* )?under (the )?(terms of the )?(mit|expat) licen[sc]e([ ;,:(].*)?"),
+    ("BoostGrant", r"(.* )?permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation.*"),
+    ("BoostNamed", r"(.* )?under (the )?(terms of the )?boost software licen[sc]e,?( -)?( version| v)? ?1\.0([ ;,:(].*)?"),
     ("MITgrant", r"(.* )?permission is hereby granted, free of charge, to any person obtaining a copy of this software.*"),
     ("MITnotice", r"(.* )?the above copyright notice and this permission notice shall be included in all copies.*"),
     ("MITasis", r"(.* )?the software is provided as is, without warranty of any kind.*"),
-    ("Apache2named", r"(.* )?licensed under (the )?(terms of the )?apache licen[sc]e,? (version |v)?2(\.0)?([ ;,:(].*)?"),
+    ("Apache2text", r"(.* )?apache licen[sc]e version 2\.0, january 2004.*"),
+    ("Apache2named", r"(.* )?under (the )?(terms of the )?apache licen[sc]e,? (version |v)?2(\.0)?([ ;,:(].*)?"),
     ("ApacheComply", r"(.* )?you may not use (this file|these files) except in compliance with the licen[sc]e"),
     ("ApacheCopyAt", r"(.* )?you may obtain a copy of the licen[sc]e at.*"),
     ("ApacheAsIs", r"(.* )?unless required by applicable law or agreed to in writing, software.*"),
-    ("GPL3plus", r"(.* )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?3(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
-    ("GPL2plus", r"(.* )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?2(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
-    ("GPL3only", r"(.* )?licensed under (the )?(terms of the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?3(\.0)?( only)?([ ;,:(].*)?"),
-    ("GPL2only", r"(.* )?licensed under (the )?(terms of the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?2(\.0)?( only)?([ ;,:(].*)?"),
+    ("AGPL3text", r"(.* )?gnu affero general public licen[sc]e version 3, 19 november 2007.*"),
+    ("LGPL21text", r"(.* )?gnu lesser general public licen[sc]e version 2\.1, february 1999.*"),
+    ("LGPL3text", r"(.* )?gnu lesser general public licen[sc]e version 3, 29 june 2007.*"),
+    ("GPL2text", r"(.* )?gnu general public licen[sc]e version 2, june 1991.*"),
+    ("GPL3text", r"(.* )?gnu general public licen[sc]e version 3, 29 june 2007.*"),
+    ("GPL3plus", r"(.* )?(gnu general public licen[sc]e|gnu gpl|(?<!l|a)gpl),? ?(version |v)?3(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
+    ("GPL2plus", r"(.* )?(gnu general public licen[sc]e|gnu gpl|(?<!l|a)gpl),? ?(version |v)?2(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
+    ("GPL3only", r"(.* )?under (the )?(terms of the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?3(\.0)?( only)?([ ;,:(].*)?"),
+    ("GPL2only", r"(.* )?under (the )?(terms of the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?2(\.0)?( only)?([ ;,:(].*)?"),
+    ("LGPL21plus", r"(.* )?(gnu (lesser|library) general public licen[sc]e|gnu lgpl|lgpl),? ?(version |v)?2\.1(\+|,? or (\(at your option\) )?(any )?later).*"),
+    ("LGPL3plus", r"(.* )?(gnu (lesser|library) general public licen[sc]e|gnu lgpl|lgpl),? ?(version |v)?3(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
+    ("LGPL21only", r"(.* )?under (the )?(terms of the )?(gnu (lesser|library) general public licen[sc]e|gnu lgpl|lgpl),? ?(version |v)?2\.1( only)?([ ;,:(].*)?"),
+    ("LGPL3only", r"(.* )?under (the )?(terms of the )?(gnu (lesser|library) general public licen[sc]e|gnu lgpl|lgpl),? ?(version |v)?3(\.0)?( only)?([ ;,:(].*)?"),
+    ("AGPL3plus", r"(.* )?(gnu affero general public licen[sc]e|gnu agpl|agpl),? ?(version |v)?3(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
+    ("AGPL3only", r"(.* )?under (the )?(terms of the )?(gnu affero general public licen[sc]e|gnu agpl|agpl),? ?(version |v)?3(\.0)?( only)?([ ;,:(].*)?"),
     ("LGPLnamed", r"(.* )?licensed under (the )?(terms of the )?(gnu (lesser|library) general public licen[sc]e|lgpl).*"),
     ("AGPLnamed", r"(.* )?licensed under (the )?(terms of the )?(gnu affero general public licen[sc]e|agpl).*"),
     ("GPLfree2plus", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e,? as published by the free software foundation[;,]? either version 2(\.0)? of the licen[sc]e, or.*"),
     ("GPLfree2only", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e,? as published by the free software foundation[;,]? version 2(\.0)?( of the licen[sc]e)?( only)?"),
     ("GPLfree3plus", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e,? as published by the free software foundation[;,]? either version 3(\.0)? of the licen[sc]e, or.*"),
     ("GPLfree3only", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e,? as published by the free software foundation[;,]? version 3(\.0)?( of the licen[sc]e)?( only)?"),
+    ("LGPLfree21plus", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu (lesser|library) general public licen[sc]e,? as published by the free software foundation[;,]? either version 2\.1 of the licen[sc]e, or.*"),
+    ("LGPLfree3plus", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu (lesser|library) general public licen[sc]e,? as published by the free software foundation[;,]? either version 3(\.0)? of the licen[sc]e, or.*"),
+    ("AGPLfree3plus", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e,? as published by the free software foundation[;,]? either version 3(\.0)? of the licen[sc]e, or.*"),
     ("LGPLfree", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu (lesser|library) general public licen[sc]e.*"),
     ("AGPLfree", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e.*"),
     ("GPLfree", r"(.* )?is free software(;|:)? you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e as published by the free software foundation.*"),
@@ -49,16 +66,26 @@ SENTENCES = [
     ("BSDpre", r"(.* )?redistribution and use in source and binary forms, with or without modification, are permitted.*"),
     ("BSDsource", r"(.* )?redistributions of source code must retain the above copyright notice.*"),
     ("BSDbinary", r"(.* )?redistributions in binary form must reproduce the above copyright notice.*"),
+    ("BSDadvert", r"(.* )?all advertising materials mentioning features or use of this software must display the following acknowledge?ment.*"),
     ("BSDendorse", r"(.* )?neither the name of .* may be used to endorse or promote products.*"),
-    ("BSDnamed", r"(.* )?(released|licensed|distributed) under (the |a )?(terms of the )?((modified|new|revised|simplified|[23]-clause) )?bsd (2-clause |3-clause )?licen[sc]e"),
+    ("BSD3named", r"(.* )?under (the |a )?(terms of the )?((bsd )?3-clause|modified|new|revised)( bsd)?( bsd)? licen[sc]e([ ;,:(].*)?"),
+    ("BSD2named", r"(.* )?under (the |a )?(terms of the )?((bsd )?2-clause|simplified)( bsd)? licen[sc]e([ ;,:(].*)?"),
+    ("BSDnamed", r"(.* )?(released|licensed|distributed) under (the |a )?(terms of the )?bsd( style|-style)? licen[sc]e([ ;,:(].*)?"),
+    ("MPL2text", r"(.* )?mozilla public licen[sc]e,?( version| v\.?) 2\.0"),
     ("MPL2named", r"(.* )?subject to the terms of the mozilla public licen[sc]e,? (version |v\. ?|v)?2(\.0)?"),
+    ("0BSDgrant", r"(.* )?permission to use, copy, modify,? (and|and/or) distribute this software for any purpose with or without fee is hereby granted"),
     ("ISCgrant", r"(.* )?permission to use, copy, modify,? (and|and/or) distribute this software for any purpose with or without fee is hereby granted.*"),
-    ("ISCnamed", r"(.* )?(released|licensed|distributed|available) under (the )?(terms of the )?isc licen[sc]e([ ;,:(].*)?"),
+    ("ISCnamed", r"(.* )?under (the )?(terms of the )?isc licen[sc]e([ ;,:(].*)?"),
+    ("PostgreSQLgrant", r"(.* )?permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted.*"),
     ("ZlibAsIs", r"(.* )?this software is provided as-is, without any express or implied warranty.*"),
-    ("ZlibNamed", r"(.* )?(released|licensed|distributed|available) under (the )?(terms of the )?zlib(/libpng)? licen[sc]e([ ;,:(].*)?"),
+    ("ZlibNamed", r"(.* )?under (the )?(terms of the )?zlib(/libpng)? licen[sc]e([ ;,:(].*)?"),
+    ("EPL2text", r"(.* )?eclipse public licen[sc]e,?( -)? (version |v\.? ?)2\.0"),
+    ("EPL1text", r"(.* )?eclipse public licen[sc]e,?( -)? (version |v\.? ?)1\.0"),
     ("EPL2named", r"(.* )?under the terms of the eclipse public licen[sc]e,?( -)? (version |v\. ?|v)?2(\.0)?([ ;,:(].*)?"),
     ("EPL1named", r"(.* )?under the terms of the eclipse public licen[sc]e,?( -)? (version |v\. ?|v)?1(\.0)?([ ;,:(].*)?"),
+    ("EPLagreement", r"(.* )?the accompanying program is provided under the terms of this eclipse public licen[sc]e.*"),
     ("Unlicense", r"(.* )?this is free and unencumbered software released into the public domain"),
+    ("WTFPL", r"(.* )?everyone is permitted to copy and distribute verbatim or modified copies of this licen[sc]e document, and changing it is allowed as long as the name is changed"),
     *[(f"SPDX-{x}", rf"(.* )?spdx-licen[sc]e-identifier: ?{x.lower().replace('.', '[.]')}(?![a-z0-9.+-])(?! (or|and|with) ).*") for x in SPDX],
     ("SPDX", r"(.* )?spdx-licen[sc]e-identifier: ?[a-z0-9.+-]+.*"),
     ("AllRights", r"(.* )?all rights reserved"),
@@ -66,17 +93,34 @@ SENTENCES = [
 
 #: Rules in order of trial. (licence, pattern over the identifiers, each one followed by a comma).
 RULES = [
+    ("AGPL-3.0-only", r"AGPL3text,((A?GPL\w*|[?]),)*"),
+    ("LGPL-2.1-only", r"LGPL21text,((L?GPL\w*|[?]),)*"),
+    ("LGPL-3.0-only", r"LGPL3text,((L?GPL\w*|[?]),)*"),
+    ("GPL-3.0-only", r"GPL3text,((L?GPL\w*|[?]),)*"),
+    ("GPL-2.0-only", r"GPL2text,((L?GPL\w*|[?]),)*"),
+    ("Apache-2.0", r"Apache2text,((Apache\w*|[?]),)*"),
+    ("MPL-2.0", r"MPL2text,((MPL2\w*|[?]),)*"),
+    ("EPL-2.0", r"EPL2text,((EPL\w*|[?]),)*"),
+    ("EPL-1.0", r"EPL1text,((EPL\w*|[?]),)*"),
+    ("BSD-4-Clause", r"BSDpre,BSDsource,BSDbinary,BSDadvert,(BSDendorse,)?"),
     ("BSD-3-Clause", r"BSDpre,BSDsource,BSDbinary,BSDendorse,"),
     ("BSD-2-Clause", r"BSDpre,BSDsource,BSDbinary,"),
+    ("BSL-1.0", r"BoostGrant,|BoostNamed,"),
     ("MIT", r"MITgrant,(MITnotice,)?(MITasis,)?"),
     ("Apache-2.0", r"Apache2named,(ApacheComply,)?(ApacheCopyAt,)?(ApacheAsIs,)?"),
     ("GPL-2.0-or-later", r"(GPLfree2plus|GPLfree,GPLver2plus),(GPLnowarranty,)?"),
     ("GPL-3.0-or-later", r"(GPLfree3plus|GPLfree,GPLver3plus),(GPLnowarranty,)?"),
+    ("LGPL-2.1-or-later", r"(LGPLfree21plus|LGPL21plus),(GPLnowarranty,)?"),
+    ("LGPL-3.0-or-later", r"(LGPLfree3plus|LGPL3plus|LGPLfree,GPLver3plus),(GPLnowarranty,)?"),
+    ("AGPL-3.0-or-later", r"(AGPLfree3plus|AGPL3plus|AGPLfree,GPLver3plus),(GPLnowarranty,)?"),
     ("MIT", r"MITnamed,"),
     ("GPL-3.0-or-later", r"GPL3plus,"),
     ("GPL-2.0-or-later", r"GPL2plus,"),
     ("GPL-3.0-only", r"(GPL3only|GPLfree3only),(GPLnowarranty,)?"),
     ("GPL-2.0-only", r"(GPL2only|GPLfree2only),(GPLnowarranty,)?"),
+    ("LGPL-2.1-only", r"LGPL21only,"),
+    ("LGPL-3.0-only", r"LGPL3only,"),
+    ("AGPL-3.0-only", r"AGPL3only,"),
     ("LGPL", r"LGPLnamed,|LGPLfree,(GPLnowarranty,)?"),
     ("AGPL", r"AGPLnamed,|AGPLfree,(GPLnowarranty,)?"),
     ("CC-BY-NC-SA", r"CCBYNCSA,"),
@@ -86,20 +130,25 @@ RULES = [
     ("CC-BY-ND", r"CCBYND,"),
     ("CC-BY", r"CCBY,"),
     ("CC0-1.0", r"CC0,"),
+    ("BSD-3-Clause", r"BSD3named,"),
+    ("BSD-2-Clause", r"BSD2named,"),
     ("BSD", r"BSDnamed,"),
     ("MPL-2.0", r"MPL2named,"),
+    ("0BSD", r"0BSDgrant,"),
     ("ISC", r"ISCgrant,|ISCnamed,"),
+    ("PostgreSQL", r"PostgreSQLgrant,"),
     ("Zlib", r"ZlibAsIs,|ZlibNamed,"),
     ("EPL-2.0", r"EPL2named,"),
     ("EPL-1.0", r"EPL1named,"),
-    ("Unlicense", r"Unlicense,"),
+    ("Unlicense", r"Unlicense,(MITasis,)?"),
+    ("WTFPL", r"WTFPL,"),
     *[(x, rf"SPDX-{x.replace('.', '[.]')},") for x in SPDX],
     ("SPDX-tag", r"SPDX,"),
     ("Proprietary", r"AllRights,"),
 ]
 
 #: A sentence without any of these is no licence sentence; one with them that no pattern knows is reported.
-HINT = r"(?i)licen[sc]e|permission is hereby|permission notice|warranty|redistribution|endorse or promote|free software|of the licen|creative commons|all rights reserved|unencumbered|\bcc0\b"
+HINT = r"(?i)licen[sc]e|permission is hereby|permission notice|warranty|redistribution|endorse or promote|free software|of the licen|creative commons|all rights reserved|unencumbered|hereby granted|advertising materials|\bcc0\b"
 
 
 @dataclass(frozen=True)
@@ -112,15 +161,15 @@ class Rules:
 
 
 def sentences_of(text: Column) -> Column:
-    """Raw sentences: cut at line ends and after . ! ? before white space; a line that goes on joins the next one.
+    """Raw sentences: cut at line ends and after . ! ? before white space (not after the v. of a version); a line that goes on joins the next one.
 
     A line that ends in a letter, a digit, a comma or a hyphen and is followed by a line that starts with a lower-case
-    letter, a digit or "Version" continues it, as wrapped licence headers do; comment leaders (#, *, //) at a
+    letter, a digit, "Version" or "License" continues it, as wrapped licence headers do; comment leaders (#, *, //) at a
     line's start go.
     """
     text = F.regexp_replace(text, r"(?m)^[ \t]*(?:#+|/?\*+/?|//+|--)[ \t]*", "")
-    text = F.regexp_replace(text, r"(?<=[\p{L}\p{Nd},-])[ \t]*\r?\n[ \t]*(?=\p{Ll}|\p{Nd}|Version)", " ")
-    return F.split(text, r"[\r\n]+|(?<=[.!?])[ \t]+")
+    text = F.regexp_replace(text, r"(?<=[\p{L}\p{Nd},-])[ \t]*\r?\n[ \t]*(?=\p{Ll}|\p{Nd}|Version|Licen[sc]e[ ,.])", " ")
+    return F.split(text, r"[\r\n]+|(?<=[.!?])(?<![ ,][vV][.])[ \t]+")
 
 
 def normalised(sentence: Column) -> Column:
@@ -141,8 +190,7 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
-    def identifier(raw: Column) -> Column:
-        one = normalised(raw)
+    def identifier(one: Column) -> Column:
         return F.coalesce(*[F.when(one.rlike(f"^(?:{p})$"), F.lit(name)) for name, p in known.sentences], F.lit("?"))
 
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in known.rules])
@@ -157,11 +205,13 @@ def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return F.when(F.regexp_like(state["seq"], pattern), hit).otherwise(state)
 
     hinted = F.filter(sentences_of(text), lambda s: s.rlike(known.hint))
-    ids = F.when(text.rlike(known.hint), F.transform(hinted, identifier)).otherwise(F.array().cast("array<string>"))
+    ids = F.when(text.rlike(known.hint), F.transform(F.transform(hinted, normalised), identifier)).otherwise(F.array().cast("array<string>"))
     rows = docs.select(F.col(id_col).alias("doc_id"), ids.alias("sentence_ids"))
     rows = rows.withColumn("_seq", F.concat(F.array_join("sentence_ids", ","), F.lit(",")))
     found = F.when(F.size("sentence_ids") > 0, F.array_distinct(F.aggregate(table, start, apply, lambda s: s["found"])))
     rows = rows.withColumn("licences", F.coalesce(found, F.array().cast("array<string>")))
+    # A reservation of rights stands in the header of most licences; it counts where there is none.
+    rows = rows.withColumn("licences", F.when(F.size("licences") > 1, F.array_remove("licences", "Proprietary")).otherwise(F.col("licences")))
     status = (
         F.when(F.size("sentence_ids") == 0, "NONE")
         .when(F.size("licences") == 0, "UNKNOWN")
