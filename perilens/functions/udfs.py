@@ -6,6 +6,7 @@ import html
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -90,12 +91,98 @@ def name_similarity(a: str, b: str) -> float:
     return max(ratio(sort_a, sort_b), partial(a, b), weighted(a, b))
 
 
+MOST_BITS = 63
+
+
+def _codes(texts: Sequence[str], pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of texts as a matrix padded with ``pad``, and the texts' lengths."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = np.full((len(texts), max(1, int(lengths.max(initial=0)))), pad, np.int32)
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.int32)
+    out[np.arange(out.shape[1]) < lengths[:, None]] = flat
+    return out, lengths
+
+
+def _common(a: np.ndarray, n: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``common_subsequence`` of each row of ``a`` (lengths n, at most MOST_BITS) and of ``b``, one column of ``b`` at a time."""
+    bit = np.uint64(1) << np.arange(a.shape[1], dtype=np.uint64)
+    full = (np.uint64(1) << n.astype(np.uint64)) - np.uint64(1)
+    row = full.copy()
+    for j in range(b.shape[1]):
+        hit = row & ((a == b[:, j : j + 1]) * bit).sum(1, dtype=np.uint64)
+        row = ((row + hit) | (row - hit)) & full
+    return n - np.bitwise_count(row)
+
+
+def ratios(pairs: Sequence[tuple[str, str]]) -> list[float]:
+    """``ratio`` of many pairs at once; texts beyond MOST_BITS characters one by one."""
+    out = [0.0] * len(pairs)
+    short = [i for i, (a, b) in enumerate(pairs) if min(len(a), len(b)) <= MOST_BITS]
+    for i in set(range(len(pairs))) - set(short):
+        out[i] = ratio(*pairs[i])
+    for start in range(0, len(short), 4096):
+        some = short[start : start + 4096]
+        ordered = [sorted(pairs[i], key=len) for i in some]
+        (a, n), (b, m) = _codes([x for x, _ in ordered], -1), _codes([y for _, y in ordered], -2)
+        both = n + m
+        found = np.where(both > 0, 2 * _common(a, n, b) / np.maximum(both, 1), 1.0)
+        for i, r in zip(some, found.tolist()):
+            out[i] = r
+    return out
+
+
+def partials(pairs: Sequence[tuple[str, str]]) -> list[float]:
+    """``partial`` of many pairs at once: all windows of one end together."""
+    out = [0.0] * len(pairs)
+    short = [i for i, (a, b) in enumerate(pairs) if 0 < min(len(a), len(b)) <= MOST_BITS]
+    for i in set(range(len(pairs))) - set(short):
+        out[i] = partial(*pairs[i])
+    for start in range(0, len(short), 4096):
+        some = short[start : start + 4096]
+        ordered = [(a, b) if len(a) <= len(b) else (b, a) for a, b in (pairs[i] for i in some)]
+        (a, n), (b, m) = _codes([x for x, _ in ordered], -1), _codes([y for _, y in ordered], -2)
+        best = np.zeros(len(some))
+        step = np.arange(a.shape[1])
+        for stop in range(1, int((n + m).max())):
+            begin, end = np.maximum(0, stop - n), np.minimum(stop, m)
+            at = begin[:, None] + step
+            window = np.where(at < end[:, None], np.take_along_axis(b, np.minimum(at, b.shape[1] - 1), 1), -2)
+            size = np.maximum(0, end - begin)
+            best = np.maximum(best, np.where(size > 0, 2 * _common(a, n, window) / (n + size), 0.0))
+        for i, r in zip(some, best.tolist()):
+            out[i] = r
+    return out
+
+
+def name_similarities(pairs: Sequence[tuple[str, str]]) -> list[float]:
+    """``name_similarity`` of many pairs: each distinct pair once, and their ratios and partial ratios all at once."""
+    distinct = {p: None for p in pairs if p[0] and p[1]}
+    tokens = {p: by_tokens(*p) for p in distinct}
+    plain = {q: 0.0 for p, (x, y, common, left, right) in tokens.items() for q in (p, (x, y), (left, right), (common, left), (common, right))}
+    windows = {q: 0.0 for p, (x, y, *_) in tokens.items() for q in (p, (x, y))}
+    plain.update(zip(plain, ratios(list(plain))))
+    windows.update(zip(windows, partials(list(windows))))
+    for p, (x, y, common, left, right) in tokens.items():
+        tokens_alike = 1.0 if common and (left == common or right == common) else max(plain[left, right], *((plain[common, left], plain[common, right]) if common else (0.0, 0.0)))
+        scale = max(map(len, p)) / min(map(len, p))
+        part = 0.9 if scale <= 8 else 0.6
+        if scale < 1.5:
+            best = max(plain[p], 0.95 * max(plain[x, y], tokens_alike))
+        else:
+            best = max(plain[p], part * windows[p], 0.95 * part * max(windows[x, y], tokens_alike))
+        distinct[p] = max(plain[x, y], windows[p], best)
+    return [distinct.get(p, 0.0) for p in pairs]
+
+
 def _names(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([name_similarity(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    return pd.Series(name_similarities(list(zip(a.fillna(""), b.fillna("")))), dtype="float64")
 
 
 def _partials(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([partial(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    pairs = list(zip(a.fillna(""), b.fillna("")))
+    distinct = {p: 0.0 for p in pairs}
+    distinct.update(zip(distinct, partials(list(distinct))))
+    return pd.Series([distinct[p] for p in pairs], dtype="float64")
 
 
 def name_score(a: Column, b: Column) -> Column:

@@ -340,3 +340,37 @@ def test_mentions_both_ways_equal_a_loop(spark):
     for scan_bytes in (1 << 20, -1):
         got = opinion.mentions(t, e, "id", "text", "entity", scan_bytes=scan_bytes)
         assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+
+
+def test_many_similarities_equal_one_by_one():
+    import random
+
+    from perilens.functions import udfs
+
+    rng = random.Random(6)
+    word = lambda most: " ".join("".join(rng.choice("abcé園") for _ in range(rng.randint(0, 7))) for _ in range(rng.randint(0, most))).strip()
+    pairs = [(word(4), word(4)) for _ in range(1500)] + [("", ""), ("a", ""), ("", "b"), ("x" * 70, "x" * 69 + "y"), ("ab" * 50, "ab"), ("a b", "b a"), ("\U0001f600a", "a\U0001f600")]
+    assert udfs.ratios(pairs) == [udfs.ratio(*p) for p in pairs]
+    assert udfs.partials(pairs) == [udfs.partial(*p) for p in pairs]
+    assert udfs.name_similarities(pairs) == [udfs.name_similarity(*p) for p in pairs]
+
+
+def test_place_matching_equals_a_loop(spark):
+    """M8 over whole tables: every pair of a nation scored one by one."""
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from perilens.functions import udfs
+    from perilens.plans import record_queries as R
+
+    d = "/root/testdata/sf0.001"
+    pairs = R._pairs(spark, d).withColumns({"a": R.K.normal_name("name", R.K.NAME_RULES["matcher"]), "b": R.K.normal_name("place_name", R.K.NAME_RULES["matcher"]), "x": R.K.normal_address("address"), "y": R.K.normal_address("place_address")})
+    best = {}
+    for r in pairs.collect():
+        at = 0.5 if not r.x and not r.y else 0.0 if not r.x or not r.y else min(1.0, udfs.partial(r.x, r.y) * (1.0 if r.district in r.place_address else 0.3))
+        name = udfs.name_similarity(r.a, r.b)
+        score = float(Decimal(repr(name * 0.5 + at * 0.35 + 0.5 * 0.15)).quantize(Decimal("0.0001"), ROUND_HALF_UP))
+        if score >= 0.72:
+            best[r.id] = max(best.get(r.id, (0, 0, 0)), (score, name, -r.place_id))
+    got = {r.id: (r.match_score, r.place_id) for r in R.m8_place_matching(spark, d).collect()}
+    manual = {i for i in got if i % 50 == 0}
+    assert {i: v for i, v in got.items() if i not in manual} == {i: (s, -p) for i, (s, _, p) in best.items() if i not in manual}
