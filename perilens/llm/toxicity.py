@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -107,7 +107,7 @@ def _evidence(p: np.ndarray, owner: np.ndarray, docs: int) -> np.ndarray:
     return np.bincount(owner, -np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=docs)
 
 
-def seeds(words: list[set[str]], toxic: np.ndarray) -> set[str]:
+def seeds(words: Iterable[set[str]], toxic: np.ndarray) -> set[str]:
     """Features that stand for the toxic documents: log-likelihood ratio above twice the log of their number, 9 in 10 toxic.
 
     These label the tokens from which the field learns: a token of a toxic document that has one is a toxic token.
@@ -165,7 +165,7 @@ def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60, ri
                 names.append(features(w))
         ids.append(np.fromiter(map(word_id.__getitem__, words), np.int64, len(words)))
     apart = np.flatnonzero(~copies(cut))
-    marked = seeds([{f for w in np.unique(ids[i]).tolist() for f in names[w]} for i in apart], y_doc[apart])
+    marked = seeds(({f for w in np.unique(ids[i]).tolist() for f in names[w]} for i in apart), y_doc[apart])  # one set at a time
     df = Counter(f for x in ids for f in {f for w in np.unique(x).tolist() for f in names[w]})
     for f, n in df.items():
         if n >= 3 or f in marked:
