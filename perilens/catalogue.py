@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from perilens.plans import job_queries, listing_queries, panel_queries, record_queries, text_queries
+from perilens.plans import job_queries, listing_queries, panel_queries, record_queries, source_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 FLAGSHIP = "m3_compliance_scoring"
-SECTIONS = (panel_queries, listing_queries, text_queries, record_queries, job_queries)
+SECTIONS = (panel_queries, listing_queries, text_queries, record_queries, job_queries, source_queries)
 
 
 def queries() -> dict[str, Query]:

@@ -31,12 +31,17 @@ def path_keys(path: Column) -> dict[str, Column]:
     return {"code": code, "name": name, "year": F.nullif(F.regexp_extract(decoded, r"(\d{3})學年度", 1), F.lit("")).cast("int"), "source": file}
 
 
+def kind_of(path: Column) -> Column:
+    """The kind of a statement file by its path: the first pattern that fits; missing for other files and for those to skip."""
+    kind = F.coalesce(*[F.when(path.rlike(p), k) for k, p in KINDS.items()])
+    return F.when(~path.rlike(SKIPPED), kind)
+
+
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(path, kind) of the statement files below a folder, listed by Spark; the first pattern that fits decides."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root).select("path")
     path = F.try_url_decode("path")
-    kind = F.coalesce(*[F.when(path.rlike(p), k) for k, p in KINDS.items()])
-    return listed.select(path.alias("path"), kind.alias("kind")).where(kind.isNotNull() & ~path.rlike(SKIPPED))
+    return listed.select(path.alias("path"), kind_of(path).alias("kind")).where("kind is not null")
 
 
 def read_kind(spark: SparkSession, paths: Sequence[str]) -> DataFrame:

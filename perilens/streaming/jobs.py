@@ -7,7 +7,7 @@ from typing import Any
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
@@ -56,11 +56,16 @@ def keep_reviews(stream: DataFrame, table: str, checkpoint: str, key: str = "con
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def rescored(changes: DataFrame, key: str, recompute: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Scores of the institutions that a table of changes names, and of no others."""
+    return recompute(changes.where(F.col(key).isNotNull()).select(key).distinct())
+
+
 def refresh_scores(changes: DataFrame, key: str, recompute: Callable[[DataFrame], DataFrame], table: str, checkpoint: str) -> StreamingQuery:
     """Institutions named in a stream of changes are scored anew, these ids only, and appended with the batch's number."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        scored = recompute(rows.select(key).distinct()).withColumn("batch", F.lit(number))
+        scored = rescored(rows, key, recompute).withColumn("batch", F.lit(number))
         scored.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
@@ -106,3 +111,11 @@ def cooldown(requests: DataFrame, key: str, wait: int = 600) -> DataFrame:
     """Decisions on a stream (id, key, at, status): state is one timestamp a key (needs the RocksDB state store)."""
     kind = dict(requests.dtypes)[key]
     return requests.groupBy(key).transformWithStateInPandas(Cooldown(key, wait), f"id long, {key} {kind}, decision string", "Append", "none")
+
+
+def gated(requests: DataFrame, key: str, wait: int = 600) -> DataFrame:
+    """Batch twin of ``cooldown``: each request against the last done time before it, by time and id."""
+    earlier = Window.partitionBy(key).orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("status") == "done", F.col("at"))).over(earlier)
+    refused = F.coalesce(F.unix_micros("at") - F.unix_micros(last) < wait * 1_000_000, F.lit(False))
+    return requests.select("id", key, F.when(refused, "cooldown").otherwise("start").alias("decision"))

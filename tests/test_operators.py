@@ -374,3 +374,18 @@ def test_place_matching_equals_a_loop(spark):
     got = {r.id: (r.match_score, r.place_id) for r in R.m8_place_matching(spark, d).collect()}
     manual = {i for i in got if i % 50 == 0}
     assert {i: v for i, v in got.items() if i not in manual} == {i: (s, -p) for i, (s, _, p) in best.items() if i not in manual}
+
+
+def test_gate_twin_equals_a_loop(spark):
+    import datetime
+    import random
+
+    rng, day = random.Random(1), datetime.datetime(2024, 1, 1)
+    rows = [(i, i % 3, day + datetime.timedelta(seconds=rng.randint(0, 4000)), rng.choice(["done", "queued"])) for i in range(200)]
+    want, last = {}, {}
+    for i, k, at, status in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = "cooldown" if k in last and (at - last[k]).total_seconds() < 300 else "start"
+        if status == "done":
+            last[k] = at
+    got = jobs.gated(spark.createDataFrame(rows, "id int, key int, at timestamp, status string"), "key", 300)
+    assert {r.id: r.decision for r in got.collect()} == want
