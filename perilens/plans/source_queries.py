@@ -98,7 +98,7 @@ def k2_rescored(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """SELECT id, institution_id, CASE WHEN epoch_us(t1) - epoch_us(t0) < 6 * 86400 * 1000000 THEN 'cooldown' ELSE 'start' END AS decision FROM (SELECT id, institution_id, created_at AS t1,
+    """SELECT id, institution_id, CASE WHEN epoch_us(t1) - epoch_us(t0) < 518400000000 THEN 'cooldown' ELSE 'start' END AS decision FROM (SELECT id, institution_id, created_at AS t1,
     max(CASE WHEN status = 'closed' THEN created_at END) OVER (PARTITION BY institution_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t0 FROM report)""",
     "report",
 )
