@@ -75,32 +75,30 @@ def with_peer_z(df: DataFrame, columns: Mapping[str, str], year: str, county: st
 
     Groups from fine to coarse: (year, size band, county), (year, county), (year, band), (year); the finest one with
     ``least`` values and a spread counts. A missing key makes a level void. The panel is aggregated once, to its cells
-    (year, band, county); the coarser levels merge the cells' counts, means and squared deviations, and each cell
-    picks its level, so one join brings two numbers a column back to the rows. Windows see cells only, never rows.
+    (year, band, county), and the columns of a cell become rows, so that one set of windows serves all columns; the coarser
+    levels merge the cells' counts, means and squared deviations, each cell picks its level, and one join brings
+    two numbers a column back to the rows. Windows see cells only, never rows.
     """
     cell, zero = [year, "_band", county], F.lit(0.0)
     df = df.withColumn("_band", F.floor(F.col(size) / band))
-    cells = df.groupBy(*cell).agg(
-        *[f for c in columns for f in (F.count(c).alias(f"_n_{c}"), F.coalesce(F.avg(c), zero).alias(f"_m_{c}"), F.coalesce(F.var_samp(c) * (F.count(c) - 1), zero).alias(f"_q_{c}"))]
-    )
+    facts = [F.struct(F.lit(c).alias("_c"), F.count(c).alias("_n"), F.coalesce(F.avg(c), zero).alias("_m"), F.coalesce(F.var_samp(c) * (F.count(c) - 1), zero).alias("_q")) for c in columns]
+    cells = df.groupBy(*cell).agg(F.array(*facts).alias("_facts")).select(*cell, F.inline("_facts"))
     levels = [cell, [year, county], [year, "_band"], [year]]
-    over = [Window.partitionBy(*keys) for keys in levels]
+    over = [Window.partitionBy("_c", *keys) for keys in levels]
     void = [reduce(lambda x, y: x | y, [F.col(k).isNull() for k in keys if k != year], F.lit(False)) for keys in levels]
-    cells = cells.withColumns({f"_n{i}_{c}": F.sum(f"_n_{c}").over(w) for c in columns for i, w in enumerate(over)})
-    cells = cells.withColumns({f"_m{i}_{c}": safe_divide(F.sum(F.col(f"_n_{c}") * F.col(f"_m_{c}")).over(w), f"_n{i}_{c}") for c in columns for i, w in enumerate(over)})
-    squares = lambda i, c: F.col(f"_q_{c}") + F.col(f"_n_{c}") * F.pow(F.col(f"_m_{c}") - F.col(f"_m{i}_{c}"), 2)
-    cells = cells.withColumns({f"_s{i}_{c}": F.sqrt(safe_divide(F.sum(squares(i, c)).over(w), F.col(f"_n{i}_{c}") - 1)) for c in columns for i, w in enumerate(over)})
-    picks = []
-    for c in columns:
-        fit = [
-            F.when(~void[i] & (F.col(f"_n{i}_{c}") >= least) & spread(F.col(f"_s{i}_{c}"), F.col(f"_m{i}_{c}")).isNotNull(), F.struct(F.col(f"_m{i}_{c}").alias("m"), F.col(f"_s{i}_{c}").alias("s")))
-            for i in range(len(levels))
-        ]
-        picks.append(F.coalesce(*fit).alias(f"_pick_{c}"))
-    cells = cells.select(*[F.col(k).alias(f"_key_{k}") for k in cell], *picks)
+    cells = cells.withColumns({f"_n{i}": F.sum("_n").over(w) for i, w in enumerate(over)})
+    cells = cells.withColumns({f"_m{i}": safe_divide(F.sum(F.col("_n") * F.col("_m")).over(w), f"_n{i}") for i, w in enumerate(over)})
+    squares = lambda i: F.col("_q") + F.col("_n") * F.pow(F.col("_m") - F.col(f"_m{i}"), 2)
+    cells = cells.withColumns({f"_s{i}": F.sqrt(safe_divide(F.sum(squares(i)).over(w), F.col(f"_n{i}") - 1)) for i, w in enumerate(over)})
+    fit = [
+        F.when(~void[i] & (F.col(f"_n{i}") >= least) & spread(F.col(f"_s{i}"), F.col(f"_m{i}")).isNotNull(), F.struct(F.col(f"_m{i}").alias("m"), F.col(f"_s{i}").alias("s")))
+        for i in range(len(levels))
+    ]
+    picks = cells.groupBy(*[F.col(k).alias(f"_key_{k}") for k in cell]).agg(F.map_from_entries(F.collect_list(F.struct("_c", F.coalesce(*fit)))).alias("_picks"))
     same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in cell])
-    out = df.join(cells, same, "left")
-    out = out.withColumns({name: safe_divide(F.col(c) - F.col(f"_pick_{c}.m"), F.col(f"_pick_{c}.s")) for c, name in columns.items()})
+    out = df.join(picks, same, "left")
+    pick = lambda c: F.col("_picks")[c]
+    out = out.withColumns({name: safe_divide(F.col(c) - pick(c)["m"], pick(c)["s"]) for c, name in columns.items()})
     return out.select(*[c for c in out.columns if not c.startswith("_")])
 
 
