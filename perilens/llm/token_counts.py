@@ -8,10 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidied
+
 #: Fixed value: the pre-token pattern of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: How far beyond its end a pre-token's match can look: the next character, and one more after white space.
@@ -30,7 +33,7 @@ def default_vocabulary() -> str:
 class Counter(dict):
     """Pre-token to its number of tokens, remembered for up to ``most`` of them."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, most: int = 100_000):
         import tiktoken
 
         super().__init__()
@@ -170,6 +173,7 @@ def _counter(shipped) -> Counter:
     path, ranks = shipped.value
     if path not in _counters:
         _counters[path] = Counter(ranks)
+    _counters[path].clear()  # the encoder stays, what the last task remembered goes
     return _counters[path]
 
 
@@ -183,9 +187,17 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def _pieces(batch: pa.RecordBatch, rows: int = 200) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
+def _pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``most`` bytes of text; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    start = held = 0
+    for stop, size in enumerate(sizes.tolist()):
+        if stop > start and (held + size > most or stop - start >= rows):
+            yield batch.slice(start, stop - start)
+            start, held = stop, 0
+        held += size
+    if start < batch.num_rows:
+        yield batch.slice(start)
 
 
 def _tree_array(trees: list[CountTree | None]) -> pa.Array:
@@ -218,10 +230,11 @@ def with_trees(docs: DataFrame, text_col: str = "text", out_col: str = "tree", v
     at = [c.lower() for c in rows.columns].index(text_col.lower())
     shipped = _shipped(docs.sparkSession, vocabulary or default_vocabulary())
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(shipped)
         for whole in batches:
-            for b in _pieces(whole):
+            for b in _pieces(whole, at):
                 trees = []
                 for text in b.column(at).to_pylist():
                     pieces = counter.pattern.findall(text) if text is not None else None
@@ -246,10 +259,11 @@ def apply_edits(rows: DataFrame, text_col: str = "text", edits_col: str = "edits
     t_at, e_at, tree_at = (names.index(c.lower()) for c in (text_col, edits_col, tree_col))
     shipped = _shipped(rows.sparkSession, vocabulary or default_vocabulary())
 
+    @tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(shipped)
         for whole in batches:
-            for b in _pieces(whole):
+            for b in _pieces(whole, t_at):
                 texts, trees, again = b.column(t_at).to_pylist(), [], []
                 column = b.column(tree_at)
                 parts = [column.field(f) for f in ("length", "tokens", "leaf", "char_sums", "token_sums")]

@@ -229,6 +229,43 @@ def test_permutation_is_one_to_one(spark, n):
     assert sorted(r.p for r in rows) == list(range(n))
 
 
+def test_permutation_equals_a_loop(spark):
+    """The network written out with the library's hash: alternate halves, then walk until inside."""
+    from math import ceil, sqrt
+    from struct import pack
+
+    def mixed(seed, i, half):
+        h = 42
+        for part in (pack("<i", seed), pack("<i", i), pack("<q", half)):
+            h = xxhash.xxh64_intdigest(part, h)
+        return h - (1 << 64) if h >> 63 else h
+
+    for n in (7, 1000):
+        a = ceil(sqrt(n))
+        b = ceil(n / a)
+
+        def place(x):
+            while True:
+                left, right = divmod(x, b)
+                for i in range(1, 9):
+                    if i % 2:
+                        left = (left + mixed(20, i, right) % a) % a
+                    else:
+                        right = (right + mixed(20, i, left) % b) % b
+                x = left * b + right
+                if x < n:
+                    return x
+
+        got = spark.range(n).selectExpr("id", f"bigint({n}) as total").select("id", sharding.permuted("id", "total", 20).alias("p")).collect()
+        assert {r.id: r.p for r in got} == {x: place(x) for x in range(n)}
+
+
+def test_many_equal_rows_are_numbered_in_lots(spark):
+    rows = spark.range(25_000).selectExpr("bigint(id div 24000) as doc_id", "'same' as text")
+    got = sharding.shards(rows).groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("shard", "slot").alias("places"), F.min("row_no").alias("a"), F.max("row_no").alias("b")).collect()
+    assert sorted((r.n, r.places, r.b - r.a + 1) for r in got) == [(1000, 1000, 1000), (24_000, 24_000, 24_000)]
+
+
 def test_sharding_edges(edges, empty):
     check_shards(EDGES, sharding.shards(edges).collect())
     assert sharding.shards(empty).count() == 0
