@@ -330,7 +330,8 @@ def scores(
         return pa.Table.from_batches([as_batch(count(*(k.as_py() for k in key), table), id_kind(table))])
 
     told = chunks.select("chunk", "a", "b", "c", "d", "ids").mapInArrow(tell, stored)
-    told.groupBy("level", "bucket").applyInArrow(total, stored).write.partitionBy("what").parquet(f"{folder}/counted")
+    tasks = max(8, sum(parts) // 2)  # as many as the ranges ask for, whatever the session's number: a task's share stays the same as tables grow
+    told.repartition(tasks, "level", "bucket").groupBy("level", "bucket").applyInArrow(total, stored).write.partitionBy("what").parquet(f"{folder}/counted")
     counted = spark.read.schema(stored).parquet(f"{folder}/counted")
 
     def histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +371,7 @@ def scores(
     replies = counted.where("what = 'counts'").select("chunk", "level", "bucket", "a", "b")
     own = chunks.select("chunk", "a", "b", "c", "d", "ids")
     sums = own.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(weighed, stored)
-    answers = sums.groupBy("level", "bucket").applyInArrow(answer, stored)
+    answers = sums.repartition(tasks, "level", "bucket").groupBy("level", "bucket").applyInArrow(answer, stored)
     out = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     answers.groupBy("chunk").applyInArrow(ended, out).write.parquet(f"{folder}/scores")
     spark.sql(f"DROP TABLE {name}")
