@@ -426,7 +426,10 @@ def e34_metric_groups(spark: SparkSession, d: str) -> DataFrame:
     return df.select("id", F.col("g")[0]["items"][0]["value"].alias("per_student"), F.col("g")[1]["items"][0]["value"].alias("turnover_percent"), F.size("g").alias("n_groups"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT c_custkey AS id, '新北市私立' || c_name || '幼兒園' AS name, lower(regexp_replace(c_name, '\\s+', '', 'g')) AS stem FROM customer)
+    SELECT id, name, list_filter(['新北市私立' || stem || '幼兒園', stem || '幼兒園', stem], lambda x: length(x) >= 4) AS aliases FROM c"""
+)
 def b14_keyword_dictionary(spark: SparkSession, d: str) -> DataFrame:
     """Comparison names of every institution."""
     c = view(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("新北市私立"), "c_name", F.lit("幼兒園")).alias("name"))

