@@ -133,9 +133,9 @@ def in_buckets(rows: DataFrame, radius: int, shard_rows: int = 4096) -> DataFram
     a third of all rows becomes many tasks of bounded size. A piece gives back a spanning set of the links
     that it finds (fewer than it has rows), never all pairs.
     """
-    sizes = rows.groupBy("bucket").count().where("count > 1")
-    rows = rows.join(sizes.select("bucket", F.expr(f"int((count - 1) div {shard_rows} + 1)").alias("shards")), "bucket")
-    rows = in_pieces(rows)
+    sizes = rows.groupBy("bucket").count().where("count > 1").withColumn("shards", F.expr(f"int((count - 1) div {shard_rows} + 1)"))
+    held = sizes.agg(F.coalesce(F.sum(F.col("count") * F.greatest(F.lit(1), F.col("shards") - 1)), F.lit(0))).first()[0]
+    rows = in_pieces(rows.join(sizes.select("bucket", "shards"), "bucket"))
 
     def search(_, piece):
         node = piece.column("node").to_numpy()
@@ -146,6 +146,8 @@ def in_buckets(rows: DataFrame, radius: int, shard_rows: int = 4096) -> DataFram
         moved = np.flatnonzero(roots != np.arange(len(roots)))
         return pa.table({"a": node[roots[moved]], "b": node[moved]})
 
+    # The rows are few bytes and much work: tasks by their number, not by their size.
+    rows = rows.repartition(int(held) // shard_rows + 8, "bucket", "x", "y")
     return rows.groupBy("bucket", "x", "y").applyInArrow(search, "a long, b long")
 
 
