@@ -19,18 +19,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     """
     ends = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     links = cut_lineage(ends.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).distinct())
-    before = None
     for _ in range(most_rounds):
-        now = links.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if before == tuple(now) or now[0] == 0:
-            break
-        before = tuple(now)
         # A table of its own for what is joined back: the other side, where one node may have most rows, can then be split.
         least = links.groupBy(F.col("hi").alias("k")).agg(F.min("lo").alias("m"))
         low = cut_lineage(links.select("lo").distinct().join(least, F.col("lo") == F.col("k")).select("lo", "m"))
-        large = links.join(low, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo"))
-        large = cut_lineage(large.distinct())
+        settled = low.isEmpty()
+        large = links if settled else cut_lineage(links.join(low, "lo", "left").select("hi", F.coalesce("m", "lo").alias("lo")).distinct())
         down = cut_lineage(large.groupBy("hi").agg(F.min("lo").alias("m")))
+        if settled and down.count() == large.count():  # every node hangs on one that hangs on none
+            break
         rest = large.join(down, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         links = cut_lineage(down.select("hi", F.col("m").alias("lo")).union(rest).distinct())
     else:

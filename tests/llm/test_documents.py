@@ -129,7 +129,7 @@ def test_masks_leave_no_pair_apart():
             assert any(not m >> a & 1 and not m >> b & 1 for m in level)
 
 
-@pytest.mark.parametrize("shard_rows", [16, 3])
+@pytest.mark.parametrize("shard_rows", [16, 9])
 def test_links_in_split_buckets(spark, shard_rows):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 2**63, 12, dtype=np.int64)
