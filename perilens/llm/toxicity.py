@@ -130,22 +130,23 @@ def seeds(words: Iterable[set[str]], toxic: np.ndarray) -> set[str]:
     return out
 
 
-def copies(cut: list[list[str]], hashes: int = 3) -> np.ndarray:
+def copies(cut: Iterable[list[str]], hashes: int = 3) -> np.ndarray:
     """Marks texts that share most of their least three-word shingle hashes with an earlier text of the sample.
 
     Copies of one text are one witness; counted as many they would make its chance words look like evidence.
     """
     first: dict[tuple[int, int], int] = {}
-    out = np.zeros(len(cut), bool)
+    out = []
     for i, words in enumerate(cut):
-        runs = [" ".join(words[j : j + 3]) for j in range(max(1, len(words) - 2))]
-        own = [(k, min(zlib.crc32(f"{k} {r}".encode("utf-8", "replace")) for r in runs)) for k in range(hashes)]
+        runs = (" ".join(words[j : j + 3]).encode("utf-8", "replace") for j in range(max(1, len(words) - 2)))
+        crcs = np.fromiter(map(zlib.crc32, runs), np.uint64)
+        own = [(k, int(((crcs * np.uint64(2654435761 + 1000003 * k)) & np.uint64(0xFFFFFFFF)).min())) for k in range(0, 2 * hashes, 2)]
         earlier = Counter(first.get(x) for x in own)
         earlier.pop(None, 0)
-        out[i] = bool(earlier) and max(earlier.values()) * 2 > hashes
+        out.append(bool(earlier) and max(earlier.values()) * 2 > hashes)
         for x in own:
             first.setdefault(x, i)
-    return out
+    return np.array(out, bool)
 
 
 def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60, ridge: float = 0.05, batch_tokens: int = 1 << 18) -> Field:
@@ -153,18 +154,22 @@ def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60, ri
     y_doc = np.array(toxic, bool)
     if not y_doc.any() or y_doc.all():
         return Field({}, 0.0, np.zeros((2, 2)), None, prior)
-    cut = [(text or "").split() for text in texts]
     vocab: dict[str, int] = {}
     word_id: dict[str, int] = {}
     names: list[tuple[str, ...]] = []
     ids = []
-    for words in cut:
-        for w in words:
-            if w not in word_id:
-                word_id[w] = len(names)
-                names.append(features(w))
-        ids.append(np.fromiter(map(word_id.__getitem__, words), np.int64, len(words)))
-    apart = np.flatnonzero(~copies(cut))
+
+    def numbered() -> Iterator[list[str]]:
+        for text in texts:
+            words = (text or "").split()
+            for w in words:
+                if w not in word_id:
+                    word_id[w] = len(names)
+                    names.append(features(w))
+            ids.append(np.fromiter(map(word_id.__getitem__, words), np.int32, len(words)))
+            yield words
+
+    apart = np.flatnonzero(~copies(numbered()))
     marked = seeds(({f for w in np.unique(ids[i]).tolist() for f in names[w]} for i in apart), y_doc[apart])  # one set at a time
     df = Counter(f for x in ids for f in {f for w in np.unique(x).tolist() for f in names[w]})
     for f, n in df.items():
@@ -176,7 +181,6 @@ def train(texts: list[str], toxic: list[int], prior: float, rounds: int = 60, ri
         found = [vocab[f] for f in own if f in vocab]
         table[i, : len(found)] = found
     hot = np.array([any(f in marked for f in own) for own in names] or [False])
-    del cut
     batches = []  # (word numbers, document of each, whether it begins one, label)
     start = size = 0
     for stop in range(1, len(ids) + 1):
