@@ -334,6 +334,25 @@ def _named(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")).schema)
 
 
+#: Bits of the table that tells ids without a part in any group at once, and bits in one of its rows (4 KB each).
+ID_BITS, ROW_BITS = 1 << 23, 1 << 15
+
+
+def marks(ids: DataFrame, id_col: str) -> DataFrame:
+    """(_row, _bits): one bit for each hash value that an id has, ID_BITS in all: at most 1 MB, whatever the number of ids."""
+    place = F.pmod(F.xxhash64(id_col), F.lit(ID_BITS))
+    rows = ids.select((place / ROW_BITS).cast("int").alias("_row"), (place % ROW_BITS).alias("_at"))
+    return cut_lineage(rows.groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+
+
+def marked(docs: DataFrame, id_col: str, bits: DataFrame) -> DataFrame:
+    """``docs`` with ``_marked``: false where the id is surely none of those in ``bits``. Nothing is shuffled."""
+    place = F.pmod(F.xxhash64(id_col), F.lit(ID_BITS))
+    rows = docs.withColumns({"_row": (place / ROW_BITS).cast("int"), "_at": place % ROW_BITS}).join(F.broadcast(bits), "_row", "left")
+    bit = F.expr("getbit(int(conv(hex(substring(_bits, int(_at div 8) + 1, 1)), 16, 10)), int(_at % 8)) = 1")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(bit, F.lit(False)).alias("_marked"))
+
+
 def _classes(rows: DataFrame, width: int, similarity: float, shard_rows: int, most_shards: int) -> tuple[DataFrame, DataFrame]:
     """(prints, classes) of rows (doc_id, text): k1 and k2 for each row; for each (k1, k2) its least id and its group c."""
 
@@ -383,7 +402,7 @@ def _classes(rows: DataFrame, width: int, similarity: float, shard_rows: int, mo
         wide = wide.join(size.select("bucket", shards.alias("shards")), "bucket").select("node", "bucket", F.col("bucket").alias("held"), "shards")
         places = places.unionByName(in_pieces(wide))
     asked = members.select(F.col("least").alias("asked")).distinct()
-    texts = rows.join(asked, F.expr("doc_id <=> asked"), "left_semi").select("doc_id", "text")
+    texts = marked(rows, "doc_id", marks(asked, "asked")).where("_marked").join(asked, F.expr("doc_id <=> asked"), "left_semi").select("doc_id", "text")
     runs = texts.mapInArrow(again, "node long, runs array<long>").groupBy("node").agg(F.any_value("runs").alias("runs"))
     member = components(verified(places, runs, similarity))
     joined = nodes.join(member, nodes.k1 == member.node, "left").select("k1", "k2", "least", F.coalesce("component", "k1").alias("c"))
@@ -425,13 +444,20 @@ def distinct_documents(
     prints, joined = _classes(rows, width, similarity, shard_rows, most_shards)
     order = F.struct(F.col("least").isNull(), F.col("least"), "k1", "k2")
     keepers = cut_lineage(joined.groupBy("c").agg(F.min_by(F.struct("k1", "k2", "least"), order).alias("k")).select("k.*"))
-    # An id of one row decides by itself; only rows whose id is null or repeated are named by their texts again.
+    # A row whose id has no part in a group of several rows stays. An id of one row decides by itself; only rows whose id is
+    # null or repeated are named by their texts again.
     ids = prints.groupBy("doc_id").agg(F.count("*").alias("n"))
     repeated = ids.where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    sizes = joined.join(prints.groupBy("k1", "k2").agg(F.count("*").alias("n")), ["k1", "k2"])
+    several = sizes.join(sizes.groupBy("c").agg(F.sum("n").alias("rows")).where("rows > 1"), "c", "left_semi").select("k1", "k2")
+    bits = marks(prints.join(several, ["k1", "k2"], "left_semi").select(F.col("doc_id").alias("_id")).union(repeated), "_id")
+    both = marked(docs, id_col, bits)
+    docs = both.where("_marked").drop("_marked")
     single = keepers.join(ids.where("n = 1"), F.col("least") == F.col("doc_id")).select(F.col("least").alias("_id"))
     same = F.col(f"d.{id_col}").eqNullSafe(F.col("r._id"))
     clear = docs.alias("d").join(single.alias("r"), F.col(f"d.{id_col}") == F.col("r._id"), "left_semi")
     named = _named(docs.alias("d").join(repeated.alias("r"), same, "left_semi").select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("text")), "text", width)
     found = named.join(keepers, ["k1", "k2"]).where(F.col("_id").eqNullSafe(F.col("least")))
     place = F.row_number().over(Window.partitionBy("k1", "k2").orderBy(F.xxhash64("row"), F.to_json("row")))
-    return clear.unionByName(found.withColumn("_k", place).where("_k = 1").select("row.*"))
+    kept = clear.unionByName(found.withColumn("_k", place).where("_k = 1").select("row.*"))
+    return both.where("not _marked").drop("_marked").unionByName(kept)
