@@ -65,7 +65,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = sentencepiece.decode(sentencepiece.encode(docs))
+    back = sentencepiece.encode(docs, decoded_col="decoded")
     return back.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),

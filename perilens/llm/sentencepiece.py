@@ -290,15 +290,17 @@ def _machine(shipped) -> Transducer:
     return _machines[model]
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids", model: str | None = None, chunk: int = 1 << 20) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids", model: str | None = None, chunk: int = 1 << 20, decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the piece ids of each whole text in ``out_col`` (replaced if it is there already).
 
     The ids are those of the library that the model is made for. A null text gives null, an empty one an empty
     list. Texts are taken in chunks of about ``chunk`` characters, so memory doesn't grow with a batch; a
-    longer text is a chunk of its own. One pass without a shuffle; all other columns are kept.
+    longer text is a chunk of its own. One pass without a shuffle; all other columns are kept. ``decoded_col``, if given,
+    takes what ``decode`` makes of the ids, in the same pass and so with one worker a task.
     """
-    rows = docs.drop(out_col)
-    schema = rows.select("*", F.lit(None).cast("array<int>").alias(out_col)).schema
+    more = [decoded_col] if decoded_col else []
+    rows = docs.drop(out_col, *more)
+    schema = rows.select("*", F.lit(None).cast("array<int>").alias(out_col), *[F.lit(None).cast("string").alias(c) for c in more]).schema
     at = [c.lower() for c in rows.columns].index(text_col.lower())
     shipped = _shipped(docs.sparkSession, model or default_model())
 
@@ -316,7 +318,8 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "piece_ids",
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 mask = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)), mask=mask)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*b.schema.names, out_col])
+                back = [pa.array([None if t is None else machine.decode(x.tolist()) for t, x in zip(texts, ids)], pa.string())] if more else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *back], names=[*b.schema.names, out_col, *more])
                 start = stop
 
     return rows.mapInArrow(run, schema)

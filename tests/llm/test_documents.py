@@ -382,6 +382,8 @@ def test_pieces_equal_the_library_and_come_back(docs, edges, empty):
                 assert r.piece_ids is None and r.decoded is None
             else:
                 assert list(r.piece_ids) == library.encode(r.text) and r.decoded == r.text
+        at_once = sentencepiece.encode(frame, decoded_col="decoded")
+        assert sorted(map(str, at_once.collect())) == sorted(map(str, sentencepiece.decode(sentencepiece.encode(frame)).collect()))
     assert sentencepiece.encode(empty).count() == 0
 
 
