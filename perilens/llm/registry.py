@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, html_text, language_model, licences, sentencepiece, sharding, simhash, token_counts, toxicity
+from . import decontamination, embeddings, html_text, language_model, licences, metric_tree, periodic_runs, sentencepiece, sharding, simhash, token_counts, toxicity
 from .shared import EDGE, fold, table
 
 
@@ -84,6 +84,44 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text), every tenth with a period planted in it: its words from the a-th on repeat the p words there.
+
+    With h the crc32 of the decimal doc_id and g = h div 10: a = g mod n and p = 1 + (n - a) div (3 + g mod 8) for n words, if h mod 10
+    is 0. Rows without an id or without words stay as they are.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = F.when(h % 10 == 0, F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    docs = docs.withColumn("_w", words).withColumn("_n", F.nullif(F.size("_w"), F.lit(0)))
+    docs = docs.withColumn("_a", (g % F.col("_n")).cast("int")).withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("int"))
+    word = lambda w, i: F.when(i < F.col("_a"), w).otherwise(F.element_at("_w", F.col("_a") + (i - F.col("_a")) % F.col("_p") + 1))
+    return docs.select("doc_id", F.when(F.col("_n") > 0, F.array_join(F.transform("_w", word), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    # By length / period as exact fractions, then by start and period, in which order the runs already are.
+    more = lambda x, y: y["length"] * x["period"] - x["length"] * y["period"]
+    order = lambda x, y: F.signum(F.coalesce(F.nullif(more(x, y), F.lit(0)), F.nullif(x["start"] - y["start"], F.lit(0)), x["period"] - y["period"])).cast("int")
+    top = F.get(F.array_sort("runs", order), F.lit(0))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    return found.withColumn("top", top).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "top.start",
+        "top.length",
+        "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict:
     own = [
         op1_token_counts,
@@ -96,6 +134,8 @@ def queries() -> dict:
         op8_embeddings,
         op9_sentencepiece,
         op10_licences,
+        op12_metric_tree,
+        op13_periodic_runs,
     ]
     return {f.__name__: f for f in own}
 
@@ -115,6 +155,11 @@ OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE
     SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) c ON c.x = v.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM p GROUP BY 1) n ON n.x = v.vec_id"""
 
 
+OP12_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for what it can express; hashes, models, DOM trees and permutations are tested against brute force instead."""
-    return {"op4_decontamination": OP4_SQL, "op8_embeddings": OP8_SQL}
+    """SQL for what it can express; hashes, models, DOM trees, permutations and runs are tested against brute force instead."""
+    return {"op4_decontamination": OP4_SQL, "op8_embeddings": OP8_SQL, "op12_metric_tree": OP12_SQL}
