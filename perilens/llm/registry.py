@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, embeddings, html_text, language_model, licences, metric_tree, periodic_runs, sentencepiece, sharding, simhash, token_counts, toxicity
+from . import decontamination, divergence, embeddings, html_text, language_model, licences, metric_tree, periodic_runs, sentencepiece, sharding, simhash, token_counts, toxicity
 from .shared import EDGE, fold, table
 
 
@@ -84,6 +84,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op12_metric_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_tree.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -134,6 +138,7 @@ def queries() -> dict:
         op8_embeddings,
         op9_sentencepiece,
         op10_licences,
+        op11_divergence,
         op12_metric_tree,
         op13_periodic_runs,
     ]
@@ -155,6 +160,16 @@ OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE
     SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.c AS component_id, v.vec_id = c.c AS kept FROM v JOIN (SELECT x, min(y) AS c FROM r GROUP BY 1) c ON c.x = v.vec_id LEFT JOIN (SELECT x, count(*) AS n FROM p GROUP BY 1) n ON n.x = v.vec_id"""
 
 
+OP11_SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+    k AS (SELECT lang, term, count(*) AS n FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT g.lang, g.source, k.term, coalesce(x.n, 0) AS n, k.n AS m FROM g JOIN k ON k.lang = g.lang LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM t GROUP BY 1, 2, 3) x ON x.lang = g.lang AND x.source = g.source AND x.term = k.term),
+    s AS (SELECT *, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER o + 5 * count(*) OVER o) AS p, 1 + (1000000000::HUGEINT * (m + 5)) // (sum(m) OVER o + 5 * count(*) OVER o) AS q FROM c WINDOW o AS (PARTITION BY lang, source)),
+    f AS (SELECT a.lang, a.source, b.source AS item, coalesce(v.value, 0) AS value, 'pair' AS part FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (SELECT x.lang, x.source AS l, y.source AS r, sum(abs(x.p - y.p)) AS value FROM s x JOIN s y ON x.lang = y.lang AND x.term = y.term GROUP BY 1, 2, 3) v ON v.lang = a.lang AND v.l = a.source AND v.r = b.source
+        UNION ALL SELECT lang, source, term, p - q, 'term' FROM s WHERE n > 0 AND p > q)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM f) WHERE part = 'pair' OR rank <= 50"""
+
 OP12_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
     p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
     SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5"""
@@ -162,4 +177,4 @@ OP12_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floo
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what it can express; hashes, models, DOM trees, permutations and runs are tested against brute force instead."""
-    return {"op4_decontamination": OP4_SQL, "op8_embeddings": OP8_SQL, "op12_metric_tree": OP12_SQL}
+    return {"op4_decontamination": OP4_SQL, "op8_embeddings": OP8_SQL, "op11_divergence": OP11_SQL, "op12_metric_tree": OP12_SQL}
