@@ -16,7 +16,7 @@ from .language_model import spread, squeeze
 from .shared import cut_lineage, drop_folder, shared_folder, tidied
 
 #: UTF-8 bytes of text that share one list of chunks; a longer document is a block of its own.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 32 << 20
 #: Sources and terms of a piece of the comparison of sources.
 PIECE_SOURCES, PIECE_TERMS = 256, 4096
 #: What a share is counted in, and what every count is raised by.
