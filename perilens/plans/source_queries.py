@@ -35,6 +35,50 @@ def a1_statement_scan(spark: SparkSession, d: str) -> DataFrame:
     return paths.select("p_partkey", "path", statements.kind_of(F.col("path")).alias("kind"))
 
 
+def _statement_files(spark: SparkSession, d: str) -> DataFrame:
+    """An order's lines as a statement file, one after the other of five kinds; headers differ in order, in columns more or less and in a byte
+    order mark, and every eleventh file is cut off within a quote."""
+    k, line = F.col("l_orderkey"), lambda *cells: F.concat_ws(",", *cells)
+    item, value, wide = F.concat(F.lit("m"), F.col("l_linenumber").cast("string")), F.col("l_partkey").cast("string"), F.lit('"1,000"')
+    forms = [
+        ("_113學年度收支餘絀表.csv", "科目,金額", line(item, value)),
+        ("_資產負債表.csv", "\ufeff金額,年度類別,科目", line(value, F.when(F.col("l_linenumber") % 2 == 0, "前一年度").otherwise("本年度"), item)),
+        ("_現金流量表.csv", "頁碼,項目,113學年度金額,112學年度金額", line(F.lit("1"), item, value, F.lit("7"))),
+        ("_附表二_1.csv", "差異率,項目", line(F.lit("-"), item)),
+        ("_附表四_1.csv", "帳面價值,財產名稱", line(wide, item)),
+    ]
+    pick = lambda i: F.coalesce(*[F.when(k % 5 == n, F.lit(f[i]) if isinstance(f[i], str) else f[i]) for n, f in enumerate(forms)])
+    rows = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", pick(2).alias("line"), pick(1).alias("head"), pick(0).alias("ending"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "\n")
+    files = rows.groupBy("l_orderkey", "head", "ending").agg(body.alias("body"))
+    path = F.concat(F.lit("in/113學年度/N"), k.cast("string"), F.lit("甲"), "ending")
+    text = F.concat("head", F.lit("\n"), "body", F.when(k % 11 == 0, '\n"cut').otherwise(""))
+    return files.select(path.alias("path"), statements.kind_of(path).alias("kind"), text.cast("binary").alias("content"))
+
+
+LINE_SQL = "SELECT l_orderkey AS k, 'N' || l_orderkey AS code, 'm' || l_linenumber AS m, CAST(l_partkey AS DOUBLE) AS v, l_linenumber AS n FROM lineitem WHERE l_orderkey % 11 <> 0"
+
+
+@query(
+    f"""WITH x AS ({LINE_SQL}) SELECT code, '甲' AS name, 113 AS year, "table", metric, value, category FROM (
+        SELECT code, '收支餘絀表' AS "table", m AS metric, v AS value, 'income' AS category FROM x WHERE k % 5 = 0
+        UNION ALL SELECT code, '資產負債表', m, v, 'other' FROM x WHERE k % 5 = 1 AND n % 2 = 1
+        UNION ALL SELECT code, '現金流量表', m, v, 'other' FROM x WHERE k % 5 = 2
+        UNION ALL SELECT code, '附表二', m || unnest(['-actual', '-rate']), NULL, 'other' FROM x WHERE k % 5 = 3
+        UNION ALL SELECT code, '附表四', 'rows', CAST(count(*) AS DOUBLE), 'other' FROM x WHERE k % 5 = 4 GROUP BY code
+        UNION ALL SELECT code, '附表四', 'book_value', 1000.0 * count(*), 'other' FROM x WHERE k % 5 = 4 GROUP BY code)"""
+)
+def a3_statement_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files whose headers differ, each read by its own."""
+    return statements.long_rows(statements.parsed(_statement_files(spark, d))).drop("source")
+
+
+@query("SELECT 'in/113學年度/N' || l_orderkey || '甲' || ['_113學年度收支餘絀表.csv', '_資產負債表.csv', '_現金流量表.csv', '_附表二_1.csv', '_附表四_1.csv'][1 + l_orderkey % 5] AS path FROM lineitem WHERE l_orderkey % 11 = 0 GROUP BY l_orderkey")
+def a1_bad_files(spark: SparkSession, d: str) -> DataFrame:
+    """A1: the files that can't be parsed are listed, and the others' rows stay."""
+    return statements.bad_files(statements.parsed(_statement_files(spark, d))).select("path")
+
+
 @query("SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_acctbal > 0")
 def a14_table_scan(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, f"{d}/supplier.parquet").where("s_acctbal > 0").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")

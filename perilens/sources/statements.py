@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,12 +46,6 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return listed.select(path.alias("path"), kind_of(path).alias("kind")).where("kind is not null")
 
 
-def read_kind(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Files of one header as strings, with their path keys; broken files and lines are skipped."""
-    df = spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True).csv(list(paths))
-    return df.withColumns(path_keys(F.col("_metadata.file_path")))
-
-
 def _long(df: DataFrame, metric: Column, value: Column, table: str, category: str) -> DataFrame:
     rows = df.select("code", "name", "year", F.lit(table).alias("table"), F.trim(metric).alias("metric"), value.alias("value"), F.lit(category).alias("category"), "source")
     return rows.where(F.coalesce("metric", F.lit("")) != "")
@@ -98,20 +94,81 @@ def appendix4(df: DataFrame) -> DataFrame:
 LOADERS = {"income": income, "balance": balance, "cash": cash_flow, "appendix2": appendix2, "appendix3": appendix3, "appendix4": appendix4}
 
 
-def long_table(spark: SparkSession, root: str) -> DataFrame:
-    """All statement files below ``root`` as one long table; rows without a code are dropped.
+def parsed(files: DataFrame) -> DataFrame:
+    """(path, kind, at, cells, error) of files (path, content): every file read by its own header.
 
-    The driver only sees file names (to group the files that share a kind and year, as their headers carry the
-    year); the rows are read and reshaped by the executors.
+    A file gives a row at -1 with its header's names, and one for each line with all its cells by name, '' for what is blank or
+    marked as missing. A byte order mark is no part of the first name, lines that end early have blanks, blank lines don't count. A file that
+    isn't UTF-8, has no header, a line of more cells than the lines before or a quote without end gives a single row with the error. Where
+    the first line already has a cell more than names, the first cells are taken for labels of the lines.
     """
-    groups: dict[tuple, list[str]] = {}
-    for r in files(spark, root).withColumn("y", F.regexp_extract("path", r"(\d{3})學年度", 1)).toLocalIterator():
-        groups.setdefault((r.kind, r.y), []).append(r.path)
-    parts = [LOADERS[kind](read_kind(spark, paths)) for (kind, _), paths in sorted(groups.items())]
-    parts = [p for p in parts if p is not None]
-    if not parts:
-        return spark.createDataFrame([], "code string, name string, year int, table string, metric string, value double, category string, source string")
-    return reduce(DataFrame.unionByName, parts).where("code is not null")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pandas as pd
+
+        for b in batches:
+            for path, kind, content in zip(*(b.column(c).to_pylist() for c in ("path", "kind", "content"))):
+                try:
+                    held = pd.read_csv(io.BytesIO(content or b""), dtype=str).fillna("")
+                    names, lines, error = [str(c) for c in held.columns], held.to_numpy().tolist(), None
+                except (ValueError, pd.errors.ParserError) as problem:
+                    names, lines, error = [], [], str(problem)
+                rows = [[(c, "") for c in names]] + [list(zip(names, line)) for line in lines]
+                for start in range(0, len(rows), 10_000):
+                    some = rows[start : start + 10_000]
+                    same = [pa.array([x] * len(some), pa.string()) for x in (path, kind, error)]
+                    at = pa.array(range(start - 1, start - 1 + len(some)), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*same[:2], at, pa.array(some, pa.map_(pa.string(), pa.string())), same[2]], names=["path", "kind", "at", "cells", "error"])
+
+    return files.select("path", "kind", "content").mapInArrow(read, "path string, kind string, at long, cells map<string,string>, error string")
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """The statement files below ``root``, parsed; Spark lists them, deals them in lots, and reads them from any store that it can read."""
+    held = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
+    return parsed(held.select("path", kind_of(F.col("path")).alias("kind"), "content").where("kind is not null"))
+
+
+def bad_files(rows: DataFrame) -> DataFrame:
+    """(path, kind, error) of the files that could not be parsed."""
+    return rows.where("error is not null").select("path", "kind", "error")
+
+
+def long_rows(rows: DataFrame) -> DataFrame:
+    """Parsed files as the long table, in one pass; a file gives nothing for a column that its header hasn't.
+
+    The present year's amounts are under the first name that ends as they do. Files without a code in their name are left out.
+    """
+    cell = lambda name: F.element_at("cells", F.lit(name) if isinstance(name, str) else name)
+    bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
+    first = lambda pattern: cell(F.get(F.filter(F.map_keys("cells"), lambda c: c.rlike(pattern)), F.lit(0)))
+    entry = lambda metric, raw: F.struct(metric.alias("metric"), raw.cast("string").alias("raw"))
+    item, label = bare(cell("項目")), lambda end: F.when(bare(cell("項目")) != "", F.concat(bare(cell("項目")), F.lit("-" + end)))
+    there = lambda entries, raw: F.when(raw.isNotNull(), entries).otherwise(F.array().cast("array<struct<metric:string,raw:string>>"))
+    amount, done, rate = first("學年度金額$"), first(r"\d{3}學年度決算數$"), first(r"\d{3}學年度執行率$")
+    kind, single = F.col("kind"), F.array(entry(bare(cell("科目")), cell("金額")))
+    entries = (
+        F.when(kind == "income", single)
+        .when((kind == "balance") & F.coalesce(cell("年度類別"), F.lit("")).isin("", "本年度"), single)
+        .when((kind == "cash") & amount.isNotNull(), F.array(entry(item, amount)))
+        .when(kind == "appendix2", F.array(entry(label("actual"), cell("決算數")), entry(label("rate"), cell("差異率"))))
+        .when(kind == "appendix3", F.concat(there(F.array(entry(label("actual"), done)), done), there(F.array(entry(label("rate"), rate)), rate)))
+    )
+    table = F.coalesce(*[F.when(kind == k, t) for k, t in TABLES.items()])
+    escaped = F.replace(F.replace(F.col("path"), F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))
+    good = rows.where("error is null").withColumns(path_keys(escaped)).withColumn("table", table).where("code is not null")
+    keys = ["code", "name", "year", "table"]
+    lines = good.where("kind <> 'appendix4' and at >= 0").select(*keys, "kind", "source", F.explode(entries).alias("e")).where("e.metric <> ''")
+    lines = lines.select(*keys, "e.metric", money("e.raw").alias("value"), F.when(kind == "income", "income").otherwise("other").alias("category"), "source")
+    book = F.when(F.col("at") >= 0, F.coalesce(money(cell("帳面價值")), F.lit(0.0))).otherwise(0.0)
+    sums = good.where("kind = 'appendix4'").groupBy("path", *keys, "source").agg(F.count_if(F.col("at") >= 0).cast("double").alias("rows"), F.sum(book).alias("book_value"))
+    sums = sums.unpivot([*keys, "source"], ["rows", "book_value"], "metric", "value")
+    return lines.unionByName(sums.withColumn("category", F.lit("other"))).select(*LONG)
+
+
+def long_table(spark: SparkSession, root: str) -> DataFrame:
+    """All statement files below ``root`` that can be parsed as one long table; ``bad_files`` lists the others."""
+    return long_rows(read_files(spark, root))
 
 
 def read_long(spark: SparkSession, path: str) -> DataFrame:
