@@ -13,8 +13,40 @@ SPDX = (
     " AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause MPL-2.0 ISC Zlib EPL-1.0 EPL-2.0 Unlicense CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0"
 ).split()
 
-#: Known licence sentences. (identifier, pattern that a whole normalised sentence must match).
+#: Known licence sentences in full, normalised, and their identifiers.
+KNOWN = {
+    "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the software), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions": "MITgrant",
+    "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "MITnotice",
+    "the software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement": "MITasis",
+    "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met": "BSDpre",
+    "redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer": "BSDsource",
+    "redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution": "BSDbinary",
+    "licensed under the apache license, version 2.0 (the license)": "Apache2named",
+    "you may not use this file except in compliance with the license": "ApacheComply",
+    "you may obtain a copy of the license at": "ApacheCopyAt",
+    "this font software is licensed under the sil open font license, version 1.1": "OFLnamed",
+    "this license is copied below, and is also available with a faq at": "OFLcopied",
+    "the artistic license 2.0": "Artistic2text",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "all rights reserved": "AllRights",
+}
+
+#: Patterns for the licence sentences that name their licence in many ways. (identifier, pattern that a whole normalised
+#: sentence must match). None has two open ends in a row that can trade characters, and none repeats a group of alternatives but possessively.
 SENTENCES = [
+    ("Denied", r"(.* )?(not|never|nor|neither|cannot be|cant be|isnt|arent|wasnt|no longer) (be |been |being |yet |longer )?(re)?(licensed|relicensed|released|distributed|available|covered|provided|published)( \w+){0,3} under .*"),
+    ("DualApacheMIT", r"(.* )?under (either |both )?(of )?(the )?(terms of )?(either |both )?(of )?(the )?apache( licen[sc]e)?,? ?(\(?(version |v)?2(\.0)?\)?)?( licen[sc]e)?[^.;]{0,80} (or|and) (the )?mit( licen[sc]e)?([ ;,:(].*)?"),
+    ("DualApacheMIT", r"(.* )?under (either |both )?(of )?(the )?(terms of )?(either |both )?(of )?(the )?mit( licen[sc]e)?[^.;]{0,80} (or|and) (the )?apache( licen[sc]e)?([ ;,:(].*)?"),
+    ("DualMITGPL2", r"(.* )?under (either |both )?(of )?(the )?(terms of )?(either |both )?(of )?(the )?mit( licen[sc]e)?[^.;]{0,40} (or|and) (the )?(gnu general public licen[sc]e|gnu gpl|gpl),? ?(version |v)?2(\.0)?([ ;,:(].*)?"),
+    ("OFLnamed", r"(.* )?under (the )?(terms of the )?(sil )?open font licen[sc]e(,? (version |v)?1\.1)?([ ;,:(].*)?"),
+    ("OFLtext", r"(.* )?sil open font licen[sc]e,? version 1\.1( - 26 february 2007)?"),
+    ("Artistic2named", r"(.* )?under (the )?(terms of )?(the )?artistic licen[sc]e,? (version |v)?2(\.0)?([ ;,:(].*)?"),
+    ("Artistic2text", r"(the )?artistic licen[sc]e,? (version |v)?2\.0"),
+    ("CDDLnamed", r"(.* )?(subject to|under) the terms of the common development and distribution licen[sc]e([ ;,:(].*)?"),
+    ("CDDL11text", r"(.* )?common development and distribution licen[sc]e( \(cddl\))?,?( -)? version 1\.1"),
+    ("CDDL10text", r"(.* )?common development and distribution licen[sc]e( \(cddl\))?,?( -)? version 1\.0"),
+    ("LGPL2plus", r"(.* )?(gnu (lesser|library) general public licen[sc]e|gnu lgpl|lgpl),? ?(version |v)?2(\.0)?(\+|,? or (\(at your option\) )?(any )?later).*"),
+    ("LGPLfree2plus", r"(.* )?is free software(;|:|,)? you can redistribute it and/or modify it under the terms of the gnu (lesser|library) general public licen[sc]e,? as published by the free software foundation[;,]? either version 2(\.0)? of the licen[sc]e, or.*"),
     ("MITnamed", r"(.* )?under (the )?(terms of the )?(mit|expat) licen[sc]e([ ;,:(].*)?"),
     ("BoostGrant", r"(.* )?permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation.*"),
     ("BoostNamed", r"(.* )?under (the )?(terms of the )?boost software licen[sc]e,?( -)?( version| v)? ?1\.0([ ;,:(].*)?"),
@@ -62,12 +94,12 @@ SENTENCES = [
     ("CCBYSA", r"(.* )?licensed under (a |the )?(creative commons |cc )(by-sa|attribution-sharealike)( \d\.\d)?( .*)?"),
     ("CCBYND", r"(.* )?licensed under (a |the )?(creative commons |cc )(by-nd|attribution-noderiv\w*)( \d\.\d)?( .*)?"),
     ("CCBY", r"(.* )?licensed under (a |the )?(creative commons |cc )(by|attribution)( \d\.\d)?( .*)?"),
-    ("CC0", r"(.* )?(licensed|released|dedicated|waived).* (under |to )(the )?cc0.*"),
+    ("CC0", r"(?>(?:.*? )?(?:licensed|released|dedicated|waived)).* (under |to )(the )?cc0.*"),
     ("BSDpre", r"(.* )?redistribution and use in source and binary forms, with or without modification, are permitted.*"),
     ("BSDsource", r"(.* )?redistributions of source code must retain the above copyright notice.*"),
     ("BSDbinary", r"(.* )?redistributions in binary form must reproduce the above copyright notice.*"),
     ("BSDadvert", r"(.* )?all advertising materials mentioning features or use of this software must display the following acknowledge?ment.*"),
-    ("BSDendorse", r"(.* )?neither the name of .* may be used to endorse or promote products.*"),
+    ("BSDendorse", r"(?>(?:.*? )?neither the name of ).* ?may be used to endorse or promote products.*"),
     ("BSD3named", r"(.* )?under (the |a )?(terms of the )?((bsd )?3-clause|modified|new|revised)( bsd)?( bsd)? licen[sc]e([ ;,:(].*)?"),
     ("BSD2named", r"(.* )?under (the |a )?(terms of the )?((bsd )?2-clause|simplified)( bsd)? licen[sc]e([ ;,:(].*)?"),
     ("BSDnamed", r"(.* )?(released|licensed|distributed) under (the |a )?(terms of the )?bsd( style|-style)? licen[sc]e([ ;,:(].*)?"),
@@ -93,15 +125,21 @@ SENTENCES = [
 
 #: Rules in order of trial. (licence, pattern over the identifiers, each one followed by a comma).
 RULES = [
-    ("AGPL-3.0-only", r"AGPL3text,((A?GPL\w*|[?]),)*"),
-    ("LGPL-2.1-only", r"LGPL21text,((L?GPL\w*|[?]),)*"),
-    ("LGPL-3.0-only", r"LGPL3text,((L?GPL\w*|[?]),)*"),
-    ("GPL-3.0-only", r"GPL3text,((L?GPL\w*|[?]),)*"),
-    ("GPL-2.0-only", r"GPL2text,((L?GPL\w*|[?]),)*"),
-    ("Apache-2.0", r"Apache2text,((Apache\w*|[?]),)*"),
-    ("MPL-2.0", r"MPL2text,((MPL2\w*|[?]),)*"),
-    ("EPL-2.0", r"EPL2text,((EPL\w*|[?]),)*"),
-    ("EPL-1.0", r"EPL1text,((EPL\w*|[?]),)*"),
+    ("AGPL-3.0-only", r"AGPL3text,((A?GPL\w*|[?]),)*+"),
+    ("LGPL-2.1-only", r"LGPL21text,((L?GPL\w*|[?]),)*+"),
+    ("LGPL-3.0-only", r"LGPL3text,((L?GPL\w*|[?]),)*+"),
+    ("GPL-3.0-only", r"GPL3text,((L?GPL\w*|[?]),)*+"),
+    ("GPL-2.0-only", r"GPL2text,((L?GPL\w*|[?]),)*+"),
+    ("Apache-2.0", r"Apache2text,((Apache\w*|[?]),)*+"),
+    ("MPL-2.0", r"MPL2text,((MPL2\w*|[?]),)*+"),
+    ("EPL-2.0", r"EPL2text,((EPL\w*|[?]),)*+"),
+    ("EPL-1.0", r"EPL1text,((EPL\w*|[?]),)*+"),
+    ("CDDL-1.1", r"CDDL11text,((CDDL\w*|[?]),)*+"),
+    ("CDDL-1.0", r"CDDL10text,((CDDL\w*|[?]),)*+"),
+    ("OFL-1.1", r"OFLtext,((OFL\w*|[?]),)*+"),
+    ("Artistic-2.0", r"Artistic2text,((Artistic\w*|[?]),)*+"),
+    ("Apache-2.0 OR MIT", r"DualApacheMIT,(ApacheComply,)?(ApacheCopyAt,)?(ApacheAsIs,)?"),
+    ("MIT OR GPL-2.0", r"DualMITGPL2,"),
     ("BSD-4-Clause", r"BSDpre,BSDsource,BSDbinary,BSDadvert,(BSDendorse,)?"),
     ("BSD-3-Clause", r"BSDpre,BSDsource,BSDbinary,BSDendorse,"),
     ("BSD-2-Clause", r"BSDpre,BSDsource,BSDbinary,"),
@@ -110,6 +148,7 @@ RULES = [
     ("Apache-2.0", r"Apache2named,(ApacheComply,)?(ApacheCopyAt,)?(ApacheAsIs,)?"),
     ("GPL-2.0-or-later", r"(GPLfree2plus|GPLfree,GPLver2plus),(GPLnowarranty,)?"),
     ("GPL-3.0-or-later", r"(GPLfree3plus|GPLfree,GPLver3plus),(GPLnowarranty,)?"),
+    ("LGPL-2.0-or-later", r"(LGPLfree2plus|LGPL2plus),(GPLnowarranty,)?"),
     ("LGPL-2.1-or-later", r"(LGPLfree21plus|LGPL21plus),(GPLnowarranty,)?"),
     ("LGPL-3.0-or-later", r"(LGPLfree3plus|LGPL3plus|LGPLfree,GPLver3plus),(GPLnowarranty,)?"),
     ("AGPL-3.0-or-later", r"(AGPLfree3plus|AGPL3plus|AGPLfree,GPLver3plus),(GPLnowarranty,)?"),
@@ -134,6 +173,9 @@ RULES = [
     ("BSD-2-Clause", r"BSD2named,"),
     ("BSD", r"BSDnamed,"),
     ("MPL-2.0", r"MPL2named,"),
+    ("OFL-1.1", r"OFLnamed,((OFLcopied|[?]),)?"),
+    ("Artistic-2.0", r"Artistic2named,"),
+    ("CDDL-1.0", r"CDDLnamed,"),
     ("0BSD", r"0BSDgrant,"),
     ("ISC", r"ISCgrant,|ISCnamed,"),
     ("PostgreSQL", r"PostgreSQLgrant,"),
@@ -155,6 +197,7 @@ HINT = r"(?i)licen[sc]e|permission is hereby|permission notice|warranty|redistri
 class Rules:
     """The tables of the scan; both are small parameters, compiled into the plan as literals."""
 
+    known: tuple = tuple(KNOWN.items())
     sentences: tuple = tuple(SENTENCES)
     rules: tuple = tuple(RULES)
     hint: str = HINT
@@ -182,16 +225,19 @@ def normalised(sentence: Column) -> Column:
 def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: Rules = Rules()) -> DataFrame:
     """One row per row of ``docs``: its licence sentences' identifiers in order, and the licences they make.
 
-    sentence_ids: identifier per licence sentence, ``?`` for a sentence that looks like one but that no pattern
-    knows; licences: by the ordered rules, each rule taking the identifiers it matches out of the sequence, so
+    sentence_ids: identifier per licence sentence, looked up among the known sentences, else by the first pattern that fits it, ``?`` for a
+    sentence that looks like one but that neither knows. A sentence that denies a licence has an identifier that makes none, and one that offers a choice
+    makes the choice. licences: by the ordered rules, each rule taking the identifiers it matches out of the sequence, so
     that a later rule sees what is left; distinct, in rule order. ``status``: NONE (no licence sentence),
     UNKNOWN (sentences but no licence), ONE or MANY. Null and empty texts give NONE; long texts are scanned
-    whole; equal rows give equal rows; other columns are not carried. One pass, no shuffle, no Python.
+    whole, however many licence sentences they hold and however long these are (time grows with their length, the stack doesn't); equal rows give equal rows; other columns are not carried. One pass, no shuffle, no Python.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
 
+    names = F.create_map(*[F.lit(x) for pair in known.known for x in pair])
+
     def identifier(one: Column) -> Column:
-        return F.coalesce(*[F.when(one.rlike(f"^(?:{p})$"), F.lit(name)) for name, p in known.sentences], F.lit("?"))
+        return F.coalesce(F.element_at(names, one), *[F.when(one.rlike(f"^(?:{p})$"), F.lit(name)) for name, p in known.sentences], F.lit("?"))
 
     table = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(p).alias("p")) for name, p in known.rules])
     start = F.struct(F.col("_seq").alias("seq"), F.array().cast("array<string>").alias("found"))

@@ -587,6 +587,29 @@ def test_standard_texts_give_exactly_their_licence(spark):
     assert (list(twice.licences), twice.status) == (["BSD-3-Clause", "MIT"], "MANY")
 
 
+def test_licences_that_are_denied_or_to_choose_from(spark):
+    cases = [
+        ("Licensed under either of Apache License, Version 2.0 or MIT license at your option.", ["Apache-2.0 OR MIT"]), ("Dual-licensed under the MIT license and the Apache License 2.0.", ["Apache-2.0 OR MIT"]),
+        ("This code is not released under the MIT license.", []), ("The library is no longer distributed under the GNU GPL, version 2.", []), ("Not all of it is here. Released under the MIT license.", ["MIT"]),
+        ("This Font Software is licensed under the SIL Open Font License, Version 1.1.\nThis license is copied below, and is also available with a FAQ at:\nhttp://scripts.sil.org/OFL", ["OFL-1.1"]),
+        ("The Artistic License 2.0\n\nCopyright (c) 2000-2006, The Perl Foundation.\n\nEveryone is permitted to copy and distribute verbatim copies of this license document.", ["Artistic-2.0"]),
+        ("The contents of this file are subject to the terms of the Common Development and Distribution License (the \"License\").", ["CDDL-1.0"]),
+        (FSF.replace("GNU General", "GNU Library General").replace("version 3", "version 2"), ["LGPL-2.0-or-later"]), ("Licensed under MIT license or GPL version 2.", ["MIT OR GPL-2.0"]),
+    ]
+    out = licences.licence_scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r.doc_id: list(r.licences) for r in out} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_long_licence_sequences_and_sentences(spark):
+    """Third-party notices: very many licence sentences after a header, and one very long sentence."""
+    head = "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n"
+    many = head + "".join(f"Part {i} of the license of things.\n" + ("A licence, GPL version 3 or later.\n" if i % 3 == 0 else "") for i in range(60_000))
+    rows = [(1, many), (2, "the software was released " * 40_000 + "license"), (3, "neither the name of x " * 40_000 + "license"), (4, ("Redistribution and use. " + "the licence " * 50) * 400), (5, "released " * 20_000 + "to the CC0 license")]
+    out = {r.doc_id: r for r in licences.licence_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert list(out[1].licences) == ["GPL-3.0-only"] and len(out[1].sentence_ids) == 80_001
+    assert [list(out[i].licences) for i in (2, 3, 4, 5)] == [[], [], [], ["CC0-1.0"]]
+
+
 def test_licence_edges(edges, empty):
     out = licences.licence_scan(edges).collect()
     assert len(out) == len(EDGES) and all(r.status == "NONE" for r in out)
