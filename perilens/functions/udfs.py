@@ -187,7 +187,8 @@ def _partials(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def name_score(a: Column, b: Column) -> Column:
     """0 to 1 for two normalised names; 0 where either is empty."""
-    return F.pandas_udf(_names, "double")(a, b)
+    # Not called again where a filter follows: Spark repeats what it takes for deterministic.
+    return F.pandas_udf(_names, "double").asNondeterministic()(a, b)
 
 
 def address_score(a: Column, b: Column, district: Column, raw: Column, off_district: float = 0.3) -> Column:
@@ -195,7 +196,7 @@ def address_score(a: Column, b: Column, district: Column, raw: Column, off_distr
 
     0.5 where both are empty, 0 where one is.
     """
-    base = F.when((a == "") & (b == ""), 0.5).when((a == "") | (b == ""), 0.0).otherwise(F.pandas_udf(_partials, "double")(a, b))
+    base = F.when((a == "") & (b == ""), 0.5).when((a == "") | (b == ""), 0.0).otherwise(F.pandas_udf(_partials, "double").asNondeterministic()(a, b))
     inside = (F.coalesce(district, F.lit("")) == "") | F.coalesce(raw.contains(district), F.lit(False))
     return F.when((a == "") & (b == ""), base).otherwise(F.least(F.lit(1.0), base * F.when(inside, 1.0).otherwise(off_district)))
 

@@ -62,6 +62,64 @@ def scored_pairs_simple(pairs: DataFrame) -> DataFrame:
     return _with_status(pairs.withColumns(scores))
 
 
+def _bagged(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with ``<name>``, the text, and ``<name>_bag``: its characters as numbers, the same character's second, third ... occurrence as others."""
+    df = df.withColumn(name, F.coalesce(text, F.lit(""))).withColumn("_c", F.filter(F.split(name, ""), lambda c: c != ""))
+    nth = lambda c, i: F.ascii(c).cast("long") * 65536 + F.least(F.size(F.filter(F.slice("_c", F.lit(1), i + 1), lambda x: x == c)), F.lit(65535))
+    return df.withColumn(f"{name}_bag", F.transform("_c", nth)).drop("_c")
+
+
+def _most_alike(a: str, b: str) -> Column:
+    """An upper bound of the partial and plain ratios of two bagged texts: with m characters in common and the shorter text's n, 2m / (n + m).
+
+    A common subsequence has at most m characters, and the window of the other text that holds it has no fewer than the subsequence.
+    """
+    m = F.size(F.array_intersect(f"{a}_bag", f"{b}_bag"))
+    n = F.least(F.size(f"{a}_bag"), F.size(f"{b}_bag"))
+    return F.when(n > 0, 2.0 * m / (n + m)).otherwise(0.0)
+
+
+def _sliced(left: DataFrame, right: DataFrame, blocks: Sequence[str], task_pairs: int) -> DataFrame:
+    """The equi-join on ``blocks`` in tasks of about ``task_pairs`` pairs: the right rows of a block are dealt into slices, the left ones go to each."""
+    n = left.groupBy(*blocks).agg(F.count("*").alias("_l")).join(right.groupBy(*blocks).agg(F.count("*").alias("_r")), list(blocks))
+    n = n.withColumn("_slices", F.expr(f"least(_r, _l * _r div {task_pairs} + 1)"))
+    total = n.agg(F.coalesce(F.sum("_slices"), F.lit(1))).first()[0]
+    n = n.select(*blocks, "_slices")
+    own = F.pmod(F.xxhash64(*right.columns), F.col("_slices"))
+    right = right.join(n, list(blocks)).withColumn("_slice", own).drop("_slices").repartition(int(total), *blocks, "_slice")
+    left = left.join(n, list(blocks)).withColumn("_slice", F.explode(F.expr("sequence(0L, _slices - 1)"))).drop("_slices")
+    return left.join(right, [*blocks, "_slice"]).drop("_slice")
+
+
+def place_matches(institutions: DataFrame, places: DataFrame, blocks: Sequence[str], least: float = MANUAL, task_pairs: int = 50_000) -> DataFrame:
+    """The pairs of ``scored_pairs`` that score ``least`` or more, of all that agree on ``blocks``; the others are left out before they are scored.
+
+    Institutions: (name, address, district, lat, lng), places: (place_name, place_address, place_lat, place_lng). Names and addresses become
+    bags of characters once each. A pair's bags bound both similarities in SQL, the place's score is exact, so only pairs that can still
+    reach ``least`` get their address scored, and of these again only those that can get their name scored. A block of many pairs is cut
+    into tasks of about ``task_pairs`` of them, as scoring is what takes long. Names with
+    repeated words or more than single spaces, for which the bound wouldn't hold, count as alike until they are scored.
+    """
+    rules = NAME_RULES["matcher"]
+    left = _bagged(_bagged(institutions, normal_name("name", rules), "_a"), normal_address("address"), "_x")
+    right = _bagged(_bagged(places, normal_name("place_name", rules), "_b"), normal_address("place_address"), "_y")
+    odd = lambda c: (F.size(F.array_distinct(F.split(c, " "))) < F.size(F.split(c, " "))) | F.col(c).rlike(r"(?U)^\s|\s$|\s\s|[\s&&[^ ]]")
+    left, right = left.withColumn("_odd_a", odd("_a")), right.withColumn("_odd_b", odd("_b"))
+    w, floor = WEIGHTS, least - 1e-4
+    inside = (F.coalesce("district", F.lit("")) == "") | F.coalesce(F.col("place_address").contains(F.col("district")), F.lit(False))
+    empty = (F.col("_x") == "") | (F.col("_y") == "")
+    address_most = F.when((F.col("_x") == "") & (F.col("_y") == ""), 0.5).when(empty, 0.0).otherwise(_most_alike("_x", "_y") * F.when(inside, 1.0).otherwise(0.3))
+    name_most = F.when((F.col("_a") == "") | (F.col("_b") == ""), 0.0).when(F.col("_odd_a") | F.col("_odd_b"), 1.0).otherwise(_most_alike("_a", "_b"))
+    pairs = _sliced(left, right, blocks, task_pairs).withColumn("geo_score", geo_score("lat", "lng", "place_lat", "place_lng"))
+    pairs = pairs.withColumns({"_n": name_most, "_d": address_most}).drop("_a_bag", "_b_bag", "_x_bag", "_y_bag")
+    pairs = pairs.where(F.col("_n") * w[0] + F.col("_d") * w[1] + F.col("geo_score") * w[2] >= floor)
+    pairs = pairs.withColumn("address_score", address_score(F.col("_x"), F.col("_y"), F.col("district"), F.col("place_address")))
+    pairs = pairs.where(F.col("_n") * w[0] + F.col("address_score") * w[1] + F.col("geo_score") * w[2] >= floor)
+    pairs = pairs.withColumn("name_score", name_score(F.col("_a"), F.col("_b")))
+    pairs = pairs.drop("_a", "_b", "_x", "_y", "_n", "_d", "_odd_a", "_odd_b")
+    return _with_status(pairs).where(F.col("match_score") >= least)
+
+
 def _with_status(df: DataFrame) -> DataFrame:
     w = WEIGHTS
     total = F.round(F.col("name_score") * w[0] + F.col("address_score") * w[1] + F.col("geo_score") * w[2], 4)

@@ -150,13 +150,18 @@ PAIRS_SQL = """pairs AS (SELECT i.id, i.name, i.district, i.district || ' road '
     FROM (SELECT s_suppkey AS id, s_name AS name, n_name AS district, s_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey) i JOIN customer p ON p.c_nationkey = i.s_nationkey JOIN nation n ON n.n_nationkey = p.c_nationkey)"""
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     n = view(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("district"))
     i = view(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation")).join(n, "nation")
     i = i.withColumn("address", F.concat("district", F.lit(" road "), (F.col("id") % 9).cast("string")))
     p = view(spark, d, "customer").select(F.col("c_custkey").alias("place_id"), F.col("c_name").alias("place_name"), F.col("c_nationkey").alias("nation"))
     p = p.join(n.withColumnRenamed("district", "_n"), "nation")
     p = p.withColumn("place_address", F.when(F.col("place_id") % 5 == 0, "elsewhere").otherwise(F.concat("_n", F.lit(" road "), (F.col("place_id") % 9).cast("string")))).drop("_n")
+    return i, p
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    i, p = _both(spark, d)
     return i.join(p, "nation")
 
 
@@ -179,8 +184,9 @@ def d13_simple_matching(spark: SparkSession, d: str) -> DataFrame:
 def m8_place_matching(spark: SparkSession, d: str) -> DataFrame:
     """M8: D13 with the full scorer (I31), then manual overrides."""
     none = F.lit(None).cast("double")
-    pairs = _pairs(spark, d).withColumns({"lat": none, "lng": none, "place_lat": none, "place_lng": none})
-    best = K.best_match(K.scored_pairs(pairs), "id", "place_id").select("id", "place_id", "match_score", "match_status")
+    i, p = _both(spark, d)
+    scored = K.place_matches(i.withColumns({"lat": none, "lng": none}), p.withColumns({"place_lat": none, "place_lng": none}), ["nation"])
+    best = K.best_match(scored, "id", "place_id").select("id", "place_id", "match_score", "match_status")
     manual = view(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id"), F.lit(0).cast("long").alias("place_id"))
     return K.overridden(best, manual, "id", ["place_id"])
 

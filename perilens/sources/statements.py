@@ -124,7 +124,10 @@ def parsed(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """The statement files below ``root``, parsed; Spark lists them, deals them in lots, and reads them from any store that it can read."""
+    """The statement files below ``root``, parsed; Spark lists them, deals them in lots, and reads them from any store that it can read.
+
+    Its readers pass over files of no bytes, which hold no rows.
+    """
     held = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
     return parsed(held.select("path", kind_of(F.col("path")).alias("kind"), "content").where("kind is not null"))
 
