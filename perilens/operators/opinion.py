@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,49 +142,83 @@ def with_sentiment(items: DataFrame, sentiment: DataFrame, on: Sequence[str]) ->
     return items.join(s, list(on), "left").withColumn("negative_score", F.when(wanted, F.coalesce("_n", "negative_score")).otherwise(F.col("negative_score"))).drop("_n")
 
 
+#: Base and modulus of the numbers that stand for blocks of characters; their products stay below 2 ** 63.
+BASE, PRIME = 1_000_003, (1 << 31) - 1
+#: Bits in one row of the table of blocks.
+ROW_BITS = 1 << 15
+
+
+def _block_number(block: str, width: int) -> Column:
+    """A number for a block of ``width`` characters; ``_places`` computes the same for all blocks of a text."""
+    number = F.lit(0).cast("long")
+    for i in range(width):
+        number = (number * BASE + F.ascii(F.substring(block, i + 1, 1))) % PRIME
+    return number
+
+
+def _anchors(aliases: DataFrame, width: int) -> DataFrame:
+    """(_alias, _block, _at): of each alias the block of ``width`` characters that fewest aliases have, and where it is (from 0)."""
+    blocks = aliases.select("_alias").distinct().select("_alias", F.posexplode(F.regexp_extract_all("_alias", F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1))).alias("_at", "_block"))
+    rare = blocks.groupBy("_block").agg(F.count("*").alias("_n"))
+    best = blocks.join(rare, "_block").groupBy("_alias").agg(F.min_by(F.struct("_block", "_at"), F.struct("_n", "_at")).alias("_b"))
+    return best.select("_alias", "_b.*")
+
+
+def _places(texts: DataFrame, text_key: str, table: Broadcast, bits: int, width: int, longest: int) -> DataFrame:
+    """(text_key, _block, _here, _window): where a text has a block whose bit is set, with what surrounds it; each text is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = table.value
+        for b in batches:
+            texts = [x or "" for x in b.column(1).to_pylist()]
+            ends = np.cumsum([len(x) for x in texts])
+            chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            number = np.zeros(max(0, len(chars) - width + 1), np.int64)
+            for i in range(width):
+                number = (number * BASE + chars[i : i + len(number)]) % PRIME
+            number %= bits
+            at = np.flatnonzero(marks[number >> 3] >> (number & 7).astype(np.uint8) & 1)
+            of = np.searchsorted(ends, at, "right")
+            inside = at + width <= ends[of] if len(at) else np.zeros(0, bool)
+            at, of = at[inside], of[inside]
+            for start in range(0, len(at), 20_000):
+                some = of[start : start + 20_000]
+                where = (at[start : start + 20_000] - (ends[some] - [len(texts[k]) for k in some])).tolist() if len(some) else []
+                blocks, here, windows = [], [], []
+                for k, p in zip(some.tolist(), where):
+                    low = max(0, p - longest)
+                    blocks.append(texts[k][p : p + width])
+                    here.append(p - low)
+                    windows.append(texts[k][low : p + longest])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(some)), pa.array(blocks, pa.string()), pa.array(here, pa.int32()), pa.array(windows, pa.string())], names=[text_key, "_block", "_here", "_window"])
+
+    schema = texts.select(text_key, F.lit("").alias("_block"), F.lit(0).alias("_here"), F.lit("").alias("_window")).schema
+    return texts.select(text_key, "_text").mapInArrow(run, schema)
+
+
 def mentions(texts: DataFrame, entities: DataFrame, text_key: str, text: str, entity_key: str, alias_col: str = "aliases", gram: int = 4, scan_bytes: int = 8 << 20) -> DataFrame:
     """(text_key, entity_key) where the compacted text holds an alias of the entity.
 
-    The aliases' bytes are counted first. Up to ``scan_bytes`` of them go to every task as one automaton, and each text is read
-    once, whatever the number of aliases. More are joined: the overlapping blocks of ``gram`` characters of a text, cut out in one
-    pass, with the blocks that aliases start with, and only those pairs are verified by containment. Aliases must have
-    at least ``gram`` characters (as ``functions.text.aliases`` gives them).
+    Every alias is anchored at the block of ``gram`` characters in it that fewest aliases have. A table of bits, 64 for each distinct
+    block up to ``scan_bytes`` in all, tells where in a text a block may be one of these; it only filters, so a dictionary of any size takes the
+    same plan and bounded memory. A text is read once. Places that pass join the aliases of their block and are verified
+    in place. Aliases must have at least ``gram`` characters (as ``functions.text.aliases`` gives them).
     """
     t = texts.select(text_key, compact(text).alias("_text"))
     a = entities.select(entity_key, F.explode(alias_col).alias("_alias")).where(F.length("_alias") >= gram).distinct()
-    total = a.agg(F.coalesce(F.sum(F.octet_length("_alias")), F.lit(0))).first()[0]
-    if total <= scan_bytes and (found := scanned(t, a, text_key)) is not None:
-        return found.join(a, "_alias").select(text_key, entity_key).distinct()
-    grams = t.select(text_key, F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)))).alias("_gram"))
-    a = a.withColumn("_gram", F.left("_alias", F.lit(gram)))
-    # Only keys go through the exploded side; the texts join again for the candidates that are left.
-    candidates = grams.join(a.select("_gram").distinct(), "_gram", "left_semi").join(a, "_gram").select(text_key, entity_key, "_alias")
-    return candidates.join(t, text_key).where(F.col("_text").contains(F.col("_alias"))).select(text_key, entity_key).distinct()
-
-
-def scanned(texts: DataFrame, aliases: DataFrame, text_key: str) -> DataFrame | None:
-    """(text_key, _alias) for the aliases that each _text holds, by one automaton a task; None where the library for it is absent."""
-    try:
-        import ahocorasick  # noqa: F401
-    except ImportError:
-        return None
-    words = sorted(r[0] for r in aliases.select("_alias").distinct().collect())  # their bytes were counted
-    shipped = texts.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for w in shipped.value:
-            machine.add_word(w, w)
-        if len(machine):
-            machine.make_automaton()
-        for b in batches:
-            held = [sorted({w for _, w in machine.iter(x)}) if x and len(machine) else [] for x in b["_text"]]
-            out = pd.DataFrame({text_key: b[text_key], "_alias": held}).explode("_alias").dropna(subset=["_alias"])
-            yield out.astype({"_alias": str})
-
-    return texts.mapInPandas(run, texts.select(text_key, F.lit("").alias("_alias")).schema)
+    anchors = _anchors(a, gram)
+    count, longest = anchors.agg(F.count_distinct("_block"), F.coalesce(F.max(F.length("_alias")), F.lit(0))).first()
+    bits = max(ROW_BITS, min(1 << (64 * count).bit_length(), 8 * scan_bytes // ROW_BITS * ROW_BITS))
+    place = _block_number("_block", gram) % bits
+    rows = anchors.groupBy((place / ROW_BITS).cast("int").alias("row")).agg(F.bitmap_construct_agg(place % ROW_BITS).alias("bits"))
+    marks = np.zeros((bits // ROW_BITS, ROW_BITS // 8), np.uint8)
+    for r in rows.toLocalIterator():
+        marks[r.row] = np.frombuffer(r.bits, np.uint8)
+    shipped = texts.sparkSession.sparkContext.broadcast(marks.reshape(-1))
+    found = _places(t, text_key, shipped, bits, gram, longest).join(anchors, "_block")
+    held = F.substring("_window", F.col("_here") - F.col("_at") + 1, F.length("_alias")) == F.col("_alias")
+    found = found.where((F.col("_here") >= F.col("_at")) & held).select(text_key, "_alias").distinct()
+    return found.join(a, "_alias").select(text_key, entity_key).distinct()
 
 
 def linked(texts: DataFrame, found: DataFrame, text_key: str, entity_key: str) -> DataFrame:
