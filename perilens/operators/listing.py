@@ -94,6 +94,42 @@ def paged(df: DataFrame, order: Sequence[Column], page=1, size=20) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
 
 
+def page_after(df: DataFrame, order: Sequence[tuple[str, bool]], size: int = 20, token: Sequence | None = None) -> DataFrame:
+    """The ``size`` rows that follow ``token`` in a total order of (column, descending) pairs; the first ones without a token.
+
+    The token holds the order columns of the last row of the page before (``token_of``), so a page reads on from there whatever its
+    number. The condition on the first column stands by itself and reaches the scan, where a table ``in_order`` leaves out what lies
+    before. Missing values come first, in descending order last.
+    """
+    def beyond(column: str, falls: bool, value) -> Column:
+        c, t = F.col(column), F.lit(value)
+        if value is None:
+            return F.lit(False) if falls else c.isNotNull()
+        return (c < t) | c.isNull() if falls else c > t
+
+    if token is not None:
+        (first, falls), value = order[0], token[0]
+        if value is not None:
+            df = df.where((F.col(first) <= F.lit(value)) | F.col(first).isNull() if falls else F.col(first) >= F.lit(value))
+        later = F.lit(False)
+        for (column, falls), value in reversed(list(zip(order, token))):
+            later = beyond(column, falls, value) | (F.col(column).eqNullSafe(F.lit(value)) & later)
+        df = df.where(later)
+    return df.orderBy(*[F.desc(c) if falls else F.asc(c) for c, falls in order]).limit(size)
+
+
+def token_of(page: DataFrame, order: Sequence[tuple[str, bool]]) -> tuple | None:
+    """Where the page after this one starts; none after an empty page, which is the end."""
+    rows = page.select(*[c for c, _ in order]).collect()  # one page
+    return tuple(rows[-1]) if rows else None
+
+
+def in_order(df: DataFrame, order: Sequence[tuple[str, bool]], path: str, files: int) -> None:
+    """Writes a table in ranges of the order, so that a page's condition on the first column leaves out whole files and row groups."""
+    by = [F.desc(c) if falls else F.asc(c) for c, falls in order]
+    df.repartitionByRange(files, *by).sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
 def custom_order(column: str, values: Sequence[str]) -> Column:
     """Place of a value in a list, from 1; others 0."""
     return F.coalesce(F.array_position(F.array(*[F.lit(v) for v in values]), F.col(column)), F.lit(0))

@@ -98,13 +98,23 @@ def sentinels(entities: DataFrame, matches: DataFrame, key: str, values: Mapping
 
 
 def scope_snapshot(rows: DataFrame, key: str, filters: Mapping[str, str]) -> DataFrame:
-    """One row: the filters as a map, and the selected ids (a report's page of them, bounded by its limit)."""
+    """(filters, bucket, bits): a selection of whole-number ids as a bitmap for each bucket of 32,768 of them, with the filters it came from.
+
+    No row holds all ids, however many there are; ten million dense ids are some 300 rows of 4 KB. An empty selection has no rows.
+    """
     table = F.create_map(*[F.lit(x) for kv in filters.items() for x in kv])
-    return rows.agg(F.array_sort(F.collect_set(key)).alias("ids")).withColumn("filters", table)
+    ids = rows.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("_id"))
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position("_id")).alias("bits")
+    return ids.groupBy(F.bitmap_bucket_number("_id").alias("bucket")).agg(bits).select(table.alias("filters"), "bucket", "bits")
 
 
 def in_scope(rows: DataFrame, scope: DataFrame, key: str) -> DataFrame:
-    return rows.join(scope.select(F.explode("ids").alias(key)), key, "left_semi")
+    """The rows whose id is in the snapshot: an equi-join on the bucket and a test of the bit; a small snapshot is broadcast by its size."""
+    number = F.col(key).cast("long")
+    held = rows.join(scope.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits")), F.bitmap_bucket_number(number) == F.col("_bucket"))
+    at = F.bitmap_bit_position(number)
+    byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return held.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("_bucket", "_bits")
 
 
 def latest_state(log: DataFrame, key: str, order: str, *fields: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -24,9 +25,54 @@ def by_partition(df: DataFrame, path: str, column: str, kind: str = "json") -> N
     df.write.mode("overwrite").partitionBy(column).format(kind).save(path)
 
 
-def archive(df: DataFrame, path: str, *columns: str) -> None:
-    """Raw payloads by source, district or day; earlier days stay."""
-    df.write.mode("append").partitionBy(*columns).json(path)
+def archive(df: DataFrame, path: str, *columns: str, run: str | None = None) -> None:
+    """Raw payloads by source, district or day; earlier days stay. With a ``run`` they are also kept by run, and the same run again replaces its own."""
+    if run is None:
+        df.write.mode("append").partitionBy(*columns).json(path)
+    else:
+        df.write.mode("overwrite").partitionBy(*columns).json(f"{path}/run={run}")
+
+
+def export_slices(df: DataFrame, path: str, column: str, kind: str = "json") -> dict[str, str]:
+    """One folder per value of ``column``, each there whole or not at all; {value: "ok" or "failed: ..."}.
+
+    Rows are first written to a staging folder beside the others, and a value's folder is put in its place, replacing an earlier
+    one, when all its rows are written. One job writes all values. If it fails, the values are halved and each half is written by
+    itself, so a few bad values cost a few jobs each and leave no file, while the others are exported whole. Values are districts
+    or the like: their number is that of the folders.
+    """
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    where = lambda name: jvm.org.apache.hadoop.fs.Path(name)
+    files = where(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    named = df.withColumn("_slice", F.coalesce(F.col(column).cast("string"), F.lit("__none__")))
+    values = sorted(r[0] for r in named.select("_slice").distinct().collect())
+    out: dict[str, str] = {}
+
+    def export(some: list[str]) -> None:
+        staging = f"{path}/_staging_{uuid.uuid4().hex}"
+        try:
+            held = named if len(some) == len(values) else named.where(F.col("_slice").isin(some))
+            held.write.partitionBy("_slice").format(kind).save(staging)
+            made = {s.getPath().getName(): s.getPath() for s in files.listStatus(where(staging)) if s.isDirectory()}
+            for name, folder in made.items():
+                place = where(f"{path}/{name.replace('_slice=', column + '=', 1)}")
+                files.delete(place, True)
+                if not files.rename(folder, place):
+                    raise OSError(f"could not put {name} in its place")
+            out.update(dict.fromkeys(some, "ok"))
+        except Exception as problem:  # noqa: BLE001 - the status reports it
+            if len(some) == 1:
+                out[some[0]] = f"failed: {str(problem)[:200]}"
+        finally:
+            files.delete(where(staging), True)
+        if not all(v in out for v in some):
+            export(some[: len(some) // 2])
+            export(some[len(some) // 2 :])
+
+    if values:
+        export(values)
+    return out
 
 
 def split(df: DataFrame, reason: str, valid: Sequence[str], rejected: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -411,3 +411,81 @@ def test_gate_twin_equals_a_loop(spark):
             last[k] = at
     got = jobs.gated(spark.createDataFrame(rows, "id int, key int, at timestamp, status string"), "key", 300)
     assert {r.id: r.decision for r in got.collect()} == want
+
+
+def greedy(rows, keys):
+    taken, out = set(), []
+    for r in rows:
+        own = [(k, tuple(r[c] for c in key)) for k, key in enumerate(keys) if all(r[c] is not None for c in key)]
+        if not any(x in taken for x in own):
+            out.append(r)
+            taken.update(own)
+    return out
+
+
+def test_a_long_chain_of_clashes_is_settled_at_once(spark, monkeypatch):
+    from perilens.operators import rounds
+
+    made, plain = [], rounds.written
+    monkeypatch.setattr(rounds, "written", lambda df: made.append(1) or plain(df))
+    chain = [(i, f"a{i // 2}", f"b{(i + 1) // 2}") for i in range(10_000)]
+    df = spark.createDataFrame(chain, "at int, x string, y string")
+    got = sorted(map(tuple, rounds.first_come(df, [["x"], ["y"]], "at").collect()))
+    assert got == greedy(chain, [[1], [2]]) and len(made) < 20
+
+
+def test_classes_settle_what_rounds_leave(spark):
+    import random
+
+    from perilens.operators import rounds
+
+    rng = random.Random(9)
+    chains = [(c * 1000 + i, f"{c}a{i // 2}", f"{c}b{(i + 1) // 2}") for c in range(6) for i in range(25)]
+    rows = sorted([*chains, *[(10_000 + i, rng.choice("pqrs"), rng.choice([None, "t", "u"])) for i in range(40)], (99_999, None, None)])
+    df = spark.createDataFrame(rows, "at int, x string, y string")
+    got = sorted(map(tuple, rounds.first_come(df, [["x"], ["y"]], "at", pass_rows=30, rounds=1).collect()), key=str)
+    assert got == sorted(greedy(rows, [[1], [2]]), key=str)
+
+
+def test_exports_are_whole_or_absent(spark, tmp_path):
+    df = spark.range(40).selectExpr("id", "concat('d', id % 8) as district", "if(id % 8 = 3, 0, 1) as part")
+    bad = df.withColumn("x", F.expr("if(district = 'd3' and id > 20, cast(raise_error('no') as int), 1)"))
+    path = str(tmp_path / "out")
+    assert sinks.export_slices(df, path, "district") == {f"d{i}": "ok" for i in range(8)}
+    status = sinks.export_slices(bad.where("district <> 'd5'").withColumn("id", F.col("id") + 100), path, "district")
+    assert {k for k, v in status.items() if v != "ok"} == {"d3"} and len(status) == 7
+    held = spark.read.json(path)
+    assert {(r.district, r.low, r["count"]) for r in held.groupBy("district").agg(F.min("id").alias("low"), F.count("*").alias("count")).collect()} == {(f"d{i}", i + (0 if i in (3, 5) else 100), 5) for i in range(8)}
+    assert not [x for x in (tmp_path / "out").iterdir() if "staging" in x.name]
+    for _ in range(2):
+        sinks.archive(df, str(tmp_path / "a"), "part", run="r1")
+    assert spark.read.json(str(tmp_path / "a")).count() == 40
+
+
+def test_a_scope_of_many_ids(spark):
+    from perilens.operators import upsert
+
+    chosen = spark.range(0, 3_000_000, 3).union(spark.range(-5, 0))
+    scope = upsert.scope_snapshot(chosen, "id", {"a": "b"})
+    assert scope.agg(F.max(F.length("bits"))).first()[0] == 4096 and scope.first().filters == {"a": "b"}
+    rows = spark.range(-10, 3_000_100).withColumn("v", F.lit(1))
+    got = upsert.in_scope(rows, scope, "id")
+    assert got.columns == ["id", "v"] and got.count() == 1_000_005 and got.where("id % 3 <> 0 and id > 0").count() == 0
+    assert upsert.in_scope(rows, upsert.scope_snapshot(chosen.limit(0), "id", {"a": "b"}), "id").count() == 0
+
+
+def test_pages_by_token_are_the_pages_by_number(spark, tmp_path):
+    from perilens.operators import listing
+
+    rows = [(i, None if i % 7 == 0 else i % 5, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, score int, t string")
+    for order in ([("score", True), ("id", False)], [("score", False), ("id", True)]):
+        path = str(tmp_path / f"t{order[0][1]}")
+        listing.in_order(df, order, path, 4)
+        table, token, seen = spark.read.parquet(path), None, []
+        while (page := listing.page_after(table, order, 13, token)) is not None:
+            token = listing.token_of(page, order)
+            if token is None:
+                break
+            seen += [r.id for r in page.collect()]
+        assert seen == [r.id for r in df.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in order]).collect()]
