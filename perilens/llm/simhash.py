@@ -334,21 +334,28 @@ def _named(docs: DataFrame, text_col: str, width: int) -> DataFrame:
     return docs.mapInArrow(run, docs.select("*", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")).schema)
 
 
-#: Bits of the table that tells ids without a part in any group at once, and bits in one of its rows (4 KB each).
-ID_BITS, ROW_BITS = 1 << 23, 1 << 15
+#: The table of bits that tells ids without a part in any group at once: bits for each id, most bits (64 MB), bits in one of its rows (4 KB each).
+BITS_AN_ID, MOST_BITS, ROW_BITS = 16, 1 << 29, 1 << 15
 
 
-def marks(ids: DataFrame, id_col: str) -> DataFrame:
-    """(_row, _bits): one bit for each hash value that an id has, ID_BITS in all: at most 1 MB, whatever the number of ids."""
-    place = F.pmod(F.xxhash64(id_col), F.lit(ID_BITS))
+def marks(ids: DataFrame, id_col: str) -> tuple[DataFrame, int]:
+    """((_row, _bits), number of bits): a bit for the hash value of each id, in a table that grows with the ids up to MOST_BITS.
+
+    One in sixteen other ids or fewer has its bit set by chance, up to some 30 million ids; beyond that the share grows. The table only
+    filters: what it lets through is decided by the ids themselves.
+    """
+    ids = cut_lineage(ids.select(id_col).distinct())
+    size = max(ROW_BITS, min(MOST_BITS, 1 << (BITS_AN_ID * ids.count() - 1).bit_length()))
+    place = F.pmod(F.xxhash64(id_col), F.lit(size))
     rows = ids.select((place / ROW_BITS).cast("int").alias("_row"), (place % ROW_BITS).alias("_at"))
-    return cut_lineage(rows.groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_bits")))
+    return cut_lineage(rows.groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_bits"))), size
 
 
-def marked(docs: DataFrame, id_col: str, bits: DataFrame) -> DataFrame:
+def marked(docs: DataFrame, id_col: str, bits: tuple[DataFrame, int]) -> DataFrame:
     """``docs`` with ``_marked``: false where the id is surely none of those in ``bits``. Nothing is shuffled."""
-    place = F.pmod(F.xxhash64(id_col), F.lit(ID_BITS))
-    rows = docs.withColumns({"_row": (place / ROW_BITS).cast("int"), "_at": place % ROW_BITS}).join(F.broadcast(bits), "_row", "left")
+    table, size = bits
+    place = F.pmod(F.xxhash64(id_col), F.lit(size))
+    rows = docs.withColumns({"_row": (place / ROW_BITS).cast("int"), "_at": place % ROW_BITS}).join(F.broadcast(table), "_row", "left")
     bit = F.expr("getbit(int(conv(hex(substring(_bits, int(_at div 8) + 1, 1)), 16, 10)), int(_at % 8)) = 1")
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(bit, F.lit(False)).alias("_marked"))
 

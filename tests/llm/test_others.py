@@ -7,6 +7,8 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from perilens.llm import components, decontamination, embeddings, html_text, registry, simhash
 
@@ -307,6 +309,19 @@ def near_copies(rng, bases, change):
         yield base[:at] + list(rng.choice(words, n)) + base[at:]
 
 
+def test_a_full_table_of_bits_changes_nothing(spark, monkeypatch):
+    """Every id marked by chance, and a table that has grown to many rows: the same documents stay."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 150")
+    want = sorted(r.doc_id for r in simhash.distinct_documents(docs).collect())
+    ids = spark.range(5000).withColumnRenamed("id", "k")
+    table, size = simhash.marks(ids, "k")
+    assert size == 1 << 17 and table.count() == 4 and simhash.marked(spark.range(20_000).withColumnRenamed("id", "k"), "k", (table, size)).where("_marked").count() < 7000
+    assert simhash.marked(ids, "k", (table, size)).where("_marked").count() == 5000
+    full = lambda ids, c: (spark.range(1).select(F.lit(0).alias("_row"), F.lit(b"\xff" * 4096).alias("_bits")), simhash.ROW_BITS)
+    monkeypatch.setattr(simhash, "marks", full)
+    assert sorted(r.doc_id for r in simhash.distinct_documents(docs).collect()) == want
+
+
 def test_pairs_at_the_threshold_meet_whatever_the_number_of_rows():
     rng = np.random.default_rng(8)
     missed = 0
