@@ -35,6 +35,14 @@ def distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)
 
 
+def nearest(far: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` least of each row, or all if there are fewer, in order."""
+    if k >= far.shape[1]:
+        return np.argsort(far, 1, kind="stable")
+    some = np.argpartition(far, k - 1, 1)[:, :k]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, 1), 1, kind="stable"), 1)
+
+
 class MultiIndex:
     """Two codebooks whose pairs (i, j) are the cells; a cell's number is i * size of the second + j."""
 
@@ -51,12 +59,12 @@ class MultiIndex:
         (r + 1) * (s + 1) <= visits can be among the first ``visits``; those few are ranked at once.
         """
         d1, d2 = distances(unit[:, : self.half], self.first), distances(unit[:, self.half :], self.second)
-        o1, o2 = np.argsort(d1, 1, kind="stable"), np.argsort(d2, 1, kind="stable")
-        pairs = [(r, s) for r in range(d1.shape[1]) for s in range(d2.shape[1]) if (r + 1) * (s + 1) <= visits]
+        o1, o2 = nearest(d1, visits), nearest(d2, visits)
+        pairs = [(r, s) for r in range(min(visits, d1.shape[1])) for s in range(min(visits // (r + 1), d2.shape[1]))]
         r, s = np.array(pairs).T
         total = np.take_along_axis(d1, o1[:, r], 1) + np.take_along_axis(d2, o2[:, s], 1)
-        nearest = np.argsort(total, 1, kind="stable")[:, :visits]
-        return np.take_along_axis(o1[:, r] * len(self.second) + o2[:, s], nearest, 1)
+        least = np.argsort(total, 1, kind="stable")[:, :visits]
+        return np.take_along_axis(o1[:, r] * len(self.second) + o2[:, s], least, 1)
 
     def calibrate(self, unit: np.ndarray, cosine: float, recall: float, seed: int = 9) -> None:
         """Sets how many cells a search visits: enough that partners at exactly the least cosine are met with ``recall``.

@@ -112,6 +112,11 @@ class Transducer:
         n = sp.vocab_size()
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)}
         byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
+        # What the machine takes for granted; a model that is otherwise would get other ids than its library gives.
+        inner = [p for i in range(n) if i not in special and (SPACE in (p := sp.id_to_piece(i)).lstrip(SPACE) or "\n" in p)]
+        probe = "ﬁ Ａ①  x\u00a0y\n z\t\U0001f9ff e\u0301 "
+        if inner or not all(map(sp.is_byte, byte_ids)) or sp.decode(sp.encode(probe)) != probe or not sp.id_to_piece(sp.encode("a")[0]).startswith(SPACE):
+            raise ValueError(f"{model}: only models with byte fallback, an identity normaliser and a space put first, whose pieces have no inner spaces or line ends, are served")
         return cls([sp.id_to_piece(i) for i in range(n)], [sp.get_score(i) for i in range(n)], special, byte_ids)
 
     def merged(self, symbols: list[str], most: int = 1) -> list[str]:

@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     The bound on rows is this function's documented sample bound: the ids with the least hashes are taken, with all of
     their text, whatever its length. Repeated labels of an id count as their largest; a repeated document counts once
-    for each text. Labels without an id or a value, or whose document isn't there, count for nothing. Ids may be of any type.
+    for each text, and of ids with many texts no more are taken, by their hashes, than twice the bound in all. Labels without an id or a value, or whose document isn't there, count for nothing. Ids may be of any type.
     The sampled ids are a broadcast of bounded size; only the sampled texts come to the driver.
     """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -256,7 +256,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = F.xxhash64("doc_id", F.lit("sample"))
     picked = known.where("toxic = 1").orderBy(order, "doc_id").limit(most_toxic).union(known.where("toxic <> 1").orderBy(order, "doc_id").limit(most_clean))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = rows.select("text", "toxic", F.xxhash64("doc_id", F.lit("order")).alias("at"), F.xxhash64("text").alias("h")).distinct().collect()
+    rows = rows.select("text", "toxic", F.xxhash64("doc_id", F.lit("order")).alias("at"), F.xxhash64("text").alias("h")).distinct()
+    rows = rows.orderBy("at", "h").limit(2 * (most_toxic + most_clean)).collect()
     rows.sort(key=lambda r: (r.at, r.h))
     return train([r.text for r in rows], [r.toxic for r in rows], counts.t / counts.n if counts.n else 0.0)
 
