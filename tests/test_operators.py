@@ -489,3 +489,109 @@ def test_pages_by_token_are_the_pages_by_number(spark, tmp_path):
                 break
             seen += [r.id for r in page.collect()]
         assert seen == [r.id for r in df.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in order]).collect()]
+
+
+def test_versions_and_log_stay_bounded(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "reviews")
+    schema = "content_hash string, first_seen_at int, last_seen_at int"
+    for k in range(20):
+        spark.createDataFrame([(f"h{k % 3}", k, k), (f"n{k}", k, k)], schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.keep_reviews(stream, table, str(tmp_path / "ck"), parts=2, keep=1).awaitTermination(200)
+    rows, newest = jobs._snapshots(spark, table)
+    want = {(f"h{i}", i, 18 + i if i < 2 else 17) for i in range(3)} | {(f"n{k}", k, k) for k in range(20)}
+    assert set(map(tuple, rows.collect())) == want and newest == 20
+    jobs.vacuum(spark, table, keep=1)
+    jobs.vacuum(spark, table, keep=1)
+    assert set(map(tuple, jobs._snapshots(spark, table)[0].collect())) == want
+    parts = [p for v in (tmp_path / "reviews").glob("v*") for p in v.glob("part*")]
+    assert len(parts) <= 6 and len(list((tmp_path / "reviews" / "log").glob("part*"))) <= 1
+
+
+def test_sums_follow_signed_changes(spark, tmp_path):
+    import random
+    from decimal import Decimal
+
+    rng, source, table = random.Random(3), str(tmp_path / "in"), str(tmp_path / "sums")
+    schema, there, changes = "k int, sign int, n int, amount decimal(9,2)", [], []
+    for batch in range(4):
+        rows = []
+        for _ in range(25):
+            if there and rng.random() < 0.4:
+                k, n, amount = there.pop(rng.randrange(len(there)))
+                rows.append((k, -1, n, amount))
+            else:
+                there.append((rng.randrange(6), rng.randrange(9), Decimal(rng.randrange(10_000)) / 100))
+                rows.append((there[-1][0], 1, *there[-1][1:]))
+        changes += rows
+        spark.createDataFrame([*rows, (None, 1, 1, Decimal(1))], schema).coalesce(1).write.mode("append").parquet(source)
+        jobs.keep_sums(spark.readStream.schema(schema).parquet(source), "k", "sign", ["n", "amount"], table, str(tmp_path / "ck"), parts=3).awaitTermination(120)
+    want = jobs.summed(spark.createDataFrame(changes, schema), "k", "sign", ["n", "amount"]).where("entries > 0")
+    assert sorted(map(tuple, jobs.current_sums(spark, table).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    plain = {k: (sum(1 for r in there if r[0] == k), sum(r[1] for r in there if r[0] == k), sum(r[2] for r in there if r[0] == k)) for k, *_ in there}
+    assert {r.k: (r.entries, r.n, r.amount) for r in want.collect()} == plain
+    assert jobs.current_sums(spark, str(tmp_path / "none")) is None
+
+
+def test_ordered_cooldown_equals_the_batch_twin_and_forgets(spark):
+    """The processor by itself: rows in any order, timers as the watermark moves."""
+    import datetime
+    import random
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    class Value:
+        kept = None
+        exists = lambda self: self.kept is not None
+        get = lambda self: self.kept
+
+        def update(self, x):
+            self.kept = x
+
+        def clear(self):
+            self.kept = None
+
+    class Listed(list):
+        appendValue = list.append
+        get = lambda self: iter(list(self))
+
+        def put(self, x):
+            self[:] = x
+
+    timers, value, listed = set(), Value(), Listed()
+    p = jobs.OrderedCooldown("k", 300)
+    p.init(SimpleNamespace(getValueState=lambda *a: value, getListState=lambda *a: listed, registerTimer=timers.add))
+    rng, day = random.Random(4), datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc)
+    rows = [(i, 7, day + datetime.timedelta(seconds=rng.randrange(5000)), rng.choice(["done", "queued"])) for i in range(80)]
+    batches = sorted(rows, key=lambda r: r[2].timestamp() + rng.randrange(600))
+    got = {}
+    us = lambda t: int(t.timestamp() * 1_000_000)
+    seen = 0
+    for at in range(0, 80, 10):
+        frame = pd.DataFrame([(i, k, us(t), status) for i, k, t, status in batches[at : at + 10]], columns=["id", "k", "us", "status"])
+        list(p.handleInputRows((7,), iter([frame]), None))
+        seen = max(seen, *frame.us)
+        for now in ([(seen - 600_000_000) // 1000] if at < 70 else [seen // 1000, seen // 1000 + 400_000]):
+            while fired := sorted(t for t in timers if t <= now):
+                timers.remove(fired[0])
+                for out in p.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: now), None):
+                    got |= dict(zip(out.id, out.decision))
+    want = jobs.gated(spark.createDataFrame(rows, "id int, k int, at timestamp, status string"), "k", 300)
+    assert got == {r.id: r.decision for r in want.collect()}
+    assert value.kept is None and not listed and not timers
+
+
+def test_ordered_cooldown_stream(spark, tmp_path):
+    source, schema = str(tmp_path / "in"), "id long, institution_id long, at timestamp, status string"
+    lots = ["(2L, 7L, timestamp'2024-01-01 00:05:00', 'queued'), (3L, 8L, timestamp'2024-01-01 00:05:00', 'queued')", "(1L, 7L, timestamp'2024-01-01 00:00:00', 'done')", "(9L, 9L, timestamp'2024-01-03 00:00:00', 'queued')", "(10L, 9L, timestamp'2024-01-03 00:00:01', 'queued')"]
+    for rows in lots:
+        spark.sql(f"select * from values {rows} as t(id, institution_id, at, status)").coalesce(1).write.mode("append").parquet(source)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = jobs.cooldown_in_order(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), "institution_id")
+        query = out.writeStream.format("memory").queryName("ordered").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(180)
+        assert {(r.id, r.decision) for r in spark.table("ordered").collect()} == {(1, "start"), (2, "cooldown"), (3, "start")}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
