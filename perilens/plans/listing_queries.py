@@ -29,6 +29,17 @@ def c1_institution_list(spark: SparkSession, d: str) -> DataFrame:
     return L.paged(df, L.order_columns("balance", "desc", SORTS, "name", "id"), "2", None).select("id", "name", "county", "district", "ownership")
 
 
+@query("SELECT id, name, balance FROM institution ORDER BY balance DESC NULLS LAST, id LIMIT 20 OFFSET 40", "institution")
+def g2_keyset_page(spark: SparkSession, d: str) -> DataFrame:
+    """The third page by the token of the second one; no page reads those before it."""
+    df, order, token = view(spark, d, "institution").select("id", "name", "balance"), [("balance", True), ("id", False)], None
+    for _ in range(2):
+        token = L.token_of(L.page_after(df, order, 20, token), order)
+        if token is None:
+            return df.limit(0)
+    return L.page_after(df, order, 20, token)
+
+
 @query(
     """SELECT p.id, p.penalty_date, round(p.fine_amount, 2) AS fine_amount, i.name, i.county FROM penalty p LEFT JOIN institution i ON p.institution_id = i.id
     WHERE p.fine_amount > 0 AND p.penalty_date BETWEEN DATE '1997-03-01' AND DATE '1997-06-30' AND i.county = 'EUROPE'""",

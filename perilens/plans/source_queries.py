@@ -12,7 +12,7 @@ from perilens.functions import text as T
 from perilens.functions.udfs import compact_exact
 from perilens.operators import linkage as K
 from perilens.operators import opinion as O
-from perilens.operators.rounds import shared_folder
+from perilens.operators.rounds import drop_folder, shared_folder, written
 from perilens.sources import sinks, statements
 from perilens.sources.directory import read_table
 from perilens.streaming import jobs
@@ -92,7 +92,9 @@ def b15_run_log(spark: SparkSession, d: str) -> DataFrame:
     write = lambda df: df.write.format("noop").mode("overwrite").save()
     sinks.logged(spark, "load", view(spark, d, "orders").select("o_orderkey", "o_orderstatus"), {"done": status == "F", "skipped": status == "P"}, write, path)
     log = spark.read.parquet(path)
-    return log.select("job", "status", "total", F.col("counts")["done"].alias("done"), F.col("counts")["skipped"].alias("skipped"))
+    out = written(log.select("job", "status", "total", F.col("counts")["done"].alias("done"), F.col("counts")["skipped"].alias("skipped")))
+    drop_folder(spark, path)
+    return out
 
 
 @query("SELECT event_type, CAST(ts AS DATE) AS day, count(*) AS payloads, CAST(sum(length(props)) AS BIGINT) AS characters FROM events GROUP BY 1, 2")
@@ -102,7 +104,21 @@ def b19_archive(spark: SparkSession, d: str) -> DataFrame:
     payloads = view(spark, d, "events").select("props", "event_type", F.to_date("ts").alias("day"))
     sinks.archive(payloads, path, "event_type", "day")
     held = spark.read.schema("props string, event_type string, day date").json(path)
-    return held.groupBy("event_type", "day").agg(F.count("*").alias("payloads"), F.sum(F.length("props")).alias("characters"))
+    out = written(held.groupBy("event_type", "day").agg(F.count("*").alias("payloads"), F.sum(F.length("props")).alias("characters")))
+    drop_folder(spark, path)
+    return out
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids, 'ok' AS status FROM events GROUP BY 1")
+def b3_slice_export(spark: SparkSession, d: str) -> DataFrame:
+    """A folder for each value, put in its place when it is whole, and what the folders then hold."""
+    path = f"{shared_folder(spark)}/export_{uuid.uuid4().hex}"
+    status = sinks.export_slices(view(spark, d, "events").select("event_type", "event_id"), path, "event_type")
+    held = spark.read.schema("event_id long, event_type string").json(path)
+    said = spark.createDataFrame(sorted(status.items()), "event_type string, status string")
+    out = written(held.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids")).join(said, "event_type"))
+    drop_folder(spark, path)
+    return out.select("event_type", "n", "ids", "status")
 
 
 @query("SELECT l_orderkey, l_linenumber, least(greatest(round(l_quantity * 3 - 20, 2), 0.0), 100.0) AS score FROM lineitem")
@@ -141,6 +157,13 @@ def k2_rescored(spark: SparkSession, d: str) -> DataFrame:
     return jobs.rescored(reports.where("status = 'investigating'"), "institution_id", counts)
 
 
+@query("SELECT user_id, CAST(sum(s) AS BIGINT) AS entries, CAST(sum(s * event_id) AS BIGINT) AS total FROM (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN -1 ELSE 1 END AS s FROM events WHERE user_id IS NOT NULL) GROUP BY 1 HAVING sum(s) > 0")
+def k2_score_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Batch twin of K2's kept sums: every event is a signed change, errors are retractions."""
+    changes = view(spark, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", -1).otherwise(1).alias("sign"))
+    return jobs.summed(changes, "user_id", "sign", ["event_id"]).where("entries > 0").withColumnRenamed("event_id", "total")
+
+
 @query(
     """SELECT id, institution_id, CASE WHEN epoch_us(t1) - epoch_us(t0) < 518400000000 THEN 'cooldown' ELSE 'start' END AS decision FROM (SELECT id, institution_id, created_at AS t1,
     max(CASE WHEN status = 'closed' THEN created_at END) OVER (PARTITION BY institution_id ORDER BY created_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS t0 FROM report)""",

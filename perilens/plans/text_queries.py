@@ -350,12 +350,12 @@ def i24_i25_addresses(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """WITH i AS (SELECT doc_id, source, lang, n_chars FROM documents WHERE n_chars > 500) SELECT * FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INT) AS place, greatest(count(*) OVER (PARTITION BY source) - 100, 0) AS overflow FROM i) WHERE place <= 100"""
+    """WITH i AS (SELECT doc_id, source, lang, n_chars FROM documents) SELECT * FROM (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS INT) AS place, greatest(count(*) OVER (PARTITION BY source) - 100, 0) AS overflow FROM i) WHERE place <= 100"""
 )
 def g7_report_sections(spark: SparkSession, d: str) -> DataFrame:
     """First 100 per section and how many more there are."""
     w = Window.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")
-    df = view(spark, d, "documents").where("n_chars > 500").select("source", "doc_id", "n_chars")
+    df = view(spark, d, "documents").select("source", "doc_id", "n_chars")
     top = df.withColumn("place", F.row_number().over(w)).where("place <= 100")
     sizes = df.groupBy("source").agg(F.greatest(F.count("*") - 100, F.lit(0)).alias("overflow"))
     return top.join(sizes, "source").select("source", "doc_id", "place", "overflow")
