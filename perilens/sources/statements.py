@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import re
 from collections.abc import Iterator, Sequence
@@ -94,6 +95,26 @@ def appendix4(df: DataFrame) -> DataFrame:
 LOADERS = {"income": income, "balance": balance, "cash": cash_flow, "appendix2": appendix2, "appendix3": appendix3, "appendix4": appendix4}
 
 
+#: Cells that the reference reader takes for missing.
+MISSING = frozenset("#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN|<NA>|N/A|NA|NULL|NaN|None|n/a|nan|null".split("|"))
+
+
+def _read(content: bytes) -> tuple[list[str], list[list[str]]]:
+    """Header and lines of a file. What is regular is read by the csv module; anything else is left to pandas, which decides whether it is an error."""
+    try:
+        rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""), strict=True) if r]
+        names = rows[0] if rows else []
+        blank = any(len(r) == 1 and not r[0].strip() for r in rows)
+        if names and not blank and all(names) and len(set(names)) == len(names) and max(map(len, rows)) == len(names):
+            return names, [["" if c in MISSING else c for c in r] + [""] * (len(names) - len(r)) for r in rows[1:]]
+    except (csv.Error, UnicodeDecodeError):
+        pass
+    import pandas as pd
+
+    held = pd.read_csv(io.BytesIO(content), dtype=str).fillna("")
+    return [str(c) for c in held.columns], held.to_numpy().tolist()
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """(path, kind, at, cells, error) of files (path, content): every file read by its own header.
 
@@ -104,14 +125,11 @@ def parsed(files: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pandas as pd
-
         for b in batches:
             for path, kind, content in zip(*(b.column(c).to_pylist() for c in ("path", "kind", "content"))):
                 try:
-                    held = pd.read_csv(io.BytesIO(content or b""), dtype=str).fillna("")
-                    names, lines, error = [str(c) for c in held.columns], held.to_numpy().tolist(), None
-                except (ValueError, pd.errors.ParserError) as problem:
+                    (names, lines), error = _read(content or b""), None
+                except ValueError as problem:  # pandas' errors of parsing and decoding are such
                     names, lines, error = [], [], str(problem)
                 rows = [[(c, "") for c in names]] + [list(zip(names, line)) for line in lines]
                 for start in range(0, len(rows), 10_000):

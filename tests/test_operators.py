@@ -212,6 +212,24 @@ def test_statement_files_are_read_by_their_own_headers(spark, tmp_path):
     assert statements.long_table(spark, str(tmp_path / "in")).count() == len(got)
 
 
+def test_regular_files_are_read_as_pandas_reads_them():
+    import io
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(5)
+    cells = ["", "a", "1,000", '"q"', " x ", "NA", "null", "-", "é\u3000", "l1\nl2", "\t"]
+    for trial in range(400):
+        names = rng.sample(["科目", "金額", "a b", "c,d", "e"], rng.randint(1, 4))
+        quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(x in c for x in ',"\n') or rng.random() < 0.1 else c
+        lines = [names] + [[rng.choice(cells) for _ in range(rng.choice([len(names), len(names), max(1, len(names) - 1)]))] for _ in range(rng.randint(0, 5))]
+        text = rng.choice(["\n", "\r\n"]).join(",".join(map(quoted, r)) for r in lines) + rng.choice(["", "\n", "\n\n \n"])
+        content = (b"\xef\xbb\xbf" if trial % 3 == 0 else b"") + text.encode()
+        want = pd.read_csv(io.BytesIO(content), dtype=str).fillna("")
+        assert statements._read(content) == (list(want.columns), want.to_numpy().tolist()), content
+
+
 def test_directory_files(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("學校名稱,地址\n甲幼兒園,新北市\n ,x\n".encode("big5"))
     rows = directory.read_csv(spark, str(tmp_path / "a.csv"), {"name": ["名稱", "學校名稱"], "address": ["地址"], "phone": ["電話"]}).collect()
