@@ -40,6 +40,11 @@ APART_WORDS = frozenset(
 )
 #: Words at a name's end that say nothing about what is inside.
 WRAPPERS = frozenset("wrap wrapper container outer inner box block area section list slot unit group row col column panel holder region zone".split())
+#: Headings, which no name of theirs takes out; inline controls; words of what readers wrote and of adverts.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTROLS = frozenset("button label".split())
+READER_WORDS = frozenset("comment comments disqus reply replies respond".split())
+ADVERT_WORDS = frozenset("ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promotion".split())
 NAMED = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -48,8 +53,8 @@ CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LINKED = 1 / 3
 
 
-def named(names: str) -> int:
-    """1 if a name is that of boilerplate, 3 if it may be, else 0.
+def named(names: str, known: frozenset[str] = APART_WORDS) -> int:
+    """1 if a name is that of boilerplate (by the words ``known``), 3 if it may be, else 0.
 
     A compound name is about its last word (``reader-comments`` are comments, ``related-work`` is work), wrapper words
     aside; a word of the list further in front only makes it likely, and the block's links then decide.
@@ -59,13 +64,38 @@ def named(names: str) -> int:
         words = [w for w in re.split(r"[^a-z]+", CAMEL.sub("-", name).lower()) if w]
         while len(words) > 1 and words[-1] in WRAPPERS:
             words.pop()
-        if words and words[-1] in APART_WORDS:
+        if words and words[-1] in known:
             return 1
-        if any(w in APART_WORDS for w in words):
+        if any(w in known for w in words):
             mark = 3
     return mark
 
 
+def _names(attributes: str) -> str:
+    return " ".join(v.strip("\"'") for v in NAMED.findall(attributes))
+
+
+def mark_of(name: str, attributes: str, inside: bool) -> int:
+    """2 for an element that never holds the article, else 1, 3 or 0 as ``named``.
+
+    No name takes a heading out. An article is only taken out as a reader's comment. A section that its id alone names, as documents name
+    their sections, needs the links' word, unless it is named for comments. ``inside``: in an article or main element.
+    """
+    if name in APART or (name == "header" and not inside):
+        return 2
+    if name in MOSTLY_APART:
+        return 1
+    if not attributes or name in HEADINGS or name in ("body", "main"):
+        return 0
+    names = _names(attributes)
+    if name == "article":
+        return int(named(names, READER_WORDS) == 1)
+    mark = named(names)
+    if mark == 1 and name == "section" and named(names, READER_WORDS) != 1 and not named(_names(re.sub(r"(?i)(^|\s)id\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", " ", attributes))):
+        return 3
+    return mark
+
+
 class Node:
     __slots__ = ("name", "up", "parts", "chars", "tags", "link_chars", "link_tags", "density", "total", "apart", "mark", "links")
 
@@ -78,11 +108,17 @@ class Node:
 
 
 def dom(page: str) -> Node:
-    """The block tree of a page; scripts, styles and comments are left out, ``mark`` is 2 for boilerplate, else as ``named`` says."""
+    """The block tree of a page; scripts, styles and comments are left out, ``mark`` is as ``mark_of`` says.
+
+    Inline controls and inline elements that are named for adverts are left out up to their end or that of their block.
+    """
     root = node = Node("html", None, 0)
     at = links = 0
+    mute: list[str] = []
 
     def add(raw: str) -> None:
+        if mute:
+            return
         text = html.unescape(raw)
         node.parts.append(text)
         size = len("".join(text.split()))
@@ -97,6 +133,15 @@ def dom(page: str) -> Node:
         name = (m[3] or "").lower()
         if not name:
             continue
+        if name in BLOCKS:
+            mute.clear()
+        elif mute:
+            if name == mute[-1]:
+                mute.pop() if m[2] else mute.append(name)
+            continue
+        elif not m[2] and (name in CONTROLS or (m[4] and not m[4].rstrip().endswith("/") and name not in ("br", "img", "wbr", "input") and named(_names(m[4]), ADVERT_WORDS) == 1)):
+            mute.append(name)
+            continue
         if name not in BLOCKS:
             if m[2]:
                 links = 0 if name == "a" else links
@@ -127,10 +172,7 @@ def dom(page: str) -> Node:
         inside, up = False, node
         while up is not None and not inside:
             inside, up = up.name in ("article", "main"), up.up
-        mark = 2 if name in APART or (name == "header" and not inside) else int(name in MOSTLY_APART)
-        if not mark and m[4] and name not in ("body", "article", "main"):
-            mark = named(" ".join(v.strip("\"'") for v in NAMED.findall(m[4])))
-        child = Node(name, node, mark)
+        child = Node(name, node, mark_of(name, m[4], inside))
         child.links = links
         node.parts.append(child)
         node = child

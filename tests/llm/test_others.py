@@ -81,6 +81,22 @@ def test_names_inside_an_article_need_evidence(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<article>{BODY}<h2 id='comments'>Comments</h2><p>On how to read them.</p><h2 id=search>Search</h2></article>", ARTICLE + "\nComments\nOn how to read them.\nSearch"),
+        (f"<article>{BODY}<section id='search'><h3>Search</h3><p>How it is done.</p></section></article>", ARTICLE + "\nSearch\nHow it is done."),
+        (f"<article>{BODY}<section id='comments'><p>First!</p></section><section class='search'><p>Find</p></section></article>", ARTICLE),
+        (f"<article>{BODY}<p>One <button type=button>Subscribe now</button>line<label for=x>Name</label>.</p></article>", ARTICLE + "\nOne line."),
+        (f"<article>{BODY}<p>Two <span class='ad'>Advert: <span>buy</span> this</span>lines.</p><p><button>open</p><p>After.</p></article>", ARTICLE + "\nTwo lines.\nAfter."),
+        (f"<main>{BODY}<article class='post-reply'><p>I disagree.</p></article></main>", ARTICLE),
+        (f"<main><article class='post'>{BODY}</article><article class='comment'><p>Me too.</p></article></main>", ARTICLE),
+    ],
+)
+def test_headings_stay_and_controls_adverts_and_comments_go(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_densities_equal_a_plain_recursion(spark):
     """Composite densities and their sums by recursion over the same tree, and the greatest sum by trying every node."""
     import math
