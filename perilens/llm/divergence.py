@@ -63,7 +63,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             starts = np.cumsum(sizes) - sizes
             full = sizes > 0
             steps[starts[full]] = flat[starts[full]]
-            langs = np.array([list(groups)[g][0] for g in range(len(groups))], object)
+            langs = np.array([lang for lang, _ in groups], object)
             known, of_group = np.unique(langs, return_inverse=True)
             keys, df = np.unique(np.repeat(of_group[of_doc], sizes) * len(numbers) + flat, return_counts=True)
             listed = [dict(lang=a, source=b) for a, b in groups]
