@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .language_model import spread, squeeze
-from .shared import cut_lineage, drop_folder, shared_folder, tidied
+from .shared import cut_lineage, drop_folder, shared_folder, tidied, tidy
 
 #: UTF-8 bytes of text that share one list of chunks; a longer document is a block of its own.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 28 << 20
+#: Chunk counts of documents that are spread out into terms at once.
+SLICE = 300_000
 #: Sources and terms of a piece of the comparison of sources.
 PIECE_SOURCES, PIECE_TERMS = 256, 4096
 #: What a share is counted in, and what every count is raised by.
@@ -152,23 +154,33 @@ def term_counts(stored: DataFrame, found: DataFrame) -> DataFrame:
         full = sizes > 0
         before[full] = total[starts[full]] - steps[starts[full]]
         chunk = total - np.repeat(before, sizes)
-        doc = np.repeat(np.arange(len(sizes)), sizes)
         words = has.column("term").combine_chunks().dictionary_encode()
         term, place = words.indices.to_numpy().astype(np.int64), has.column("place").to_numpy()
         order = np.argsort(place, kind="stable")
         term, place = term[order], place[order]
-        most = int(max(chunk.max(initial=0), place[-1])) + 1
-        edge = np.searchsorted(place, np.arange(most + 1))
-        many = np.diff(edge)[chunk]
-        at = np.repeat(edge[chunk] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        v = len(words.dictionary)
-        keys, back = np.unique(np.repeat(doc, many) * v + term[at], return_inverse=True)
-        n = np.bincount(back, np.repeat(times, many), minlength=len(keys)).astype(np.int64)
-        cells, back, docs = np.unique(of_doc[keys // v] * v + keys % v, return_inverse=True, return_counts=True)
-        n = np.bincount(back, n, minlength=len(cells)).astype(np.int64)
+        edge = np.searchsorted(place, np.arange(int(max(chunk.max(initial=0), place[-1])) + 2))
+        v, held = len(words.dictionary), []
+        # Documents in slices of some SLICE chunk counts, so that what is spread out at once is bounded.
+        cuts = np.append(np.unique(np.searchsorted(starts + sizes, np.arange(0, len(chunk), SLICE), "right")), len(sizes))
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            at = slice(int(starts[low]), int(starts[high - 1] + sizes[high - 1])) if high > low else slice(0, 0)
+            some = chunk[at]
+            many = np.diff(edge)[some]
+            where = np.repeat(edge[some] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            doc = np.repeat(np.repeat(np.arange(low, high), sizes[low:high]), many)
+            keys, back = np.unique(doc * v + term[where], return_inverse=True)
+            n = np.bincount(back, np.repeat(times[at], many), minlength=len(keys)).astype(np.int64)
+            cells, back, docs = np.unique(of_doc[keys // v] * v + keys % v, return_inverse=True, return_counts=True)
+            held.append((cells, docs, np.bincount(back, n, minlength=len(cells)).astype(np.int64)))
+        cells, docs, n = (np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64) for x in (zip(*held) if held else ((), (), ())))
+        cells, back = np.unique(cells, return_inverse=True)
+        docs, n = (np.bincount(back, x, minlength=len(cells)).astype(np.int64) for x in (docs, n))
         group, term = np.divmod(cells, v)
         lang, source = (pa.array([g[c] for g in row["groups"]], pa.string()).take(pa.array(group)) for c in ("lang", "source"))
-        return pa.table([lang, source, words.dictionary.take(pa.array(term)), pa.array(docs), pa.array(n)], schema=out)
+        made = pa.table([lang, source, words.dictionary.take(pa.array(term)), pa.array(docs), pa.array(n)], schema=out)
+        del row, steps, total, chunk, times, held, cells, back, words, order, edge
+        tidy()
+        return made
 
     held = stored.select("block", "groups", "of_doc", "sizes", "ids", "counts")
     both = held.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(count, "lang string, source string, term string, docs long, n long")
