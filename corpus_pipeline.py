@@ -19,11 +19,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies (runs of five words, a similarity of 0.8): the least doc_id.
+    """Keeps one document of each group of near copies: the least doc_id.
 
-    Rows are told apart by id and text: of rows that repeat an id, or have none, the right one stays.
+    Operator 2's links, SimHash fingerprints within two bits found in BK-trees, and of what those don't reach texts whose runs of five
+    words have a similarity of 0.8; a group is what both kinds connect. Rows are told apart by id and text: of rows that repeat an id,
+    or have none, the right one stays.
     """
-    return simhash.distinct_documents(docs, width=5, similarity=0.8)
+    return simhash.distinct_documents(docs, width=5, similarity=0.8, radius=2)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

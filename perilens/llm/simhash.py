@@ -360,8 +360,25 @@ def marked(docs: DataFrame, id_col: str, bits: tuple[DataFrame, int]) -> DataFra
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(bit, F.lit(False)).alias("_marked"))
 
 
-def _classes(rows: DataFrame, width: int, similarity: float, shard_rows: int, most_shards: int) -> tuple[DataFrame, DataFrame]:
-    """(prints, classes) of rows (doc_id, text): k1 and k2 for each row; for each (k1, k2) its least id and its group c."""
+def print_links(prints: DataFrame, radius: int, shard_rows: int = 4096) -> DataFrame:
+    """Links (a, b) that connect the nodes k1 of ``prints`` (fp, k1) whose fingerprints are connected within ``radius``.
+
+    A fingerprint is a node of its own, named by a hash: linked to those within the radius, as the BK-trees find them, and to
+    each k1 that has it. So texts of one fingerprint are never paired, and fingerprints that connect nothing are left out.
+    """
+    pairs = cut_lineage(prints.select("fp", "k1").distinct())
+    near = cut_lineage(linked(pairs.select("fp").distinct(), radius, shard_rows))
+    shared = pairs.groupBy("fp").count().where("count > 1").select("fp")
+    used = near.select(F.col("a").alias("fp")).union(near.select("b")).union(shared).distinct()
+    name = lambda fp: F.xxhash64(F.lit("fingerprint"), fp)
+    return near.select(name("a").alias("a"), name("b").alias("b")).union(pairs.join(used, "fp", "left_semi").select(name("fp"), "k1"))
+
+
+def _classes(rows: DataFrame, width: int, similarity: float, shard_rows: int, most_shards: int, radius: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(prints, classes) of rows (doc_id, text): k1 and k2 for each row; for each (k1, k2) its least id and its group c.
+
+    With a ``radius`` the groups are those of ``near_duplicates`` as well: its fingerprints, linked by its BK-trees.
+    """
 
     @tidied
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,12 +386,14 @@ def _classes(rows: DataFrame, width: int, similarity: float, shard_rows: int, mo
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 b = whole.slice(start, 1000)
-                keys, sizes, found = np.zeros((b.num_rows, 2), np.uint64), np.zeros(b.num_rows, np.int64), []
+                keys, sizes, found = np.zeros((b.num_rows, 3), np.uint64), np.zeros(b.num_rows, np.int64), []
                 for i, own in enumerate(_run_sets(b.column(1), width, memo)):
-                    keys[i], sizes[i] = _names(own), len(own)
+                    keys[i, :2], sizes[i] = _names(own), len(own)
                     found.append(bands(own))
-                k1, k2 = (pa.array(np.ascontiguousarray(k).view(np.int64)) for k in keys.T)
-                yield pa.RecordBatch.from_arrays([b.column(0), k1, k2, pa.array(sizes), _lists(found)], names=["doc_id", "k1", "k2", "n_runs", "bands"])
+                    if radius is not None:
+                        keys[i, 2] = fingerprint(b.column(1)[i].as_py())
+                k1, k2, fp = (pa.array(np.ascontiguousarray(k).view(np.int64)) for k in keys.T)
+                yield pa.RecordBatch.from_arrays([b.column(0), k1, k2, fp, pa.array(sizes), _lists(found)], names=["doc_id", "k1", "k2", "fp", "n_runs", "bands"])
 
     @tidied
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +405,7 @@ def _classes(rows: DataFrame, width: int, similarity: float, shard_rows: int, mo
                 yield pa.RecordBatch.from_arrays([pa.array(keys), _lists(own)], names=["node", "runs"])
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    prints = cut_lineage(rows.mapInArrow(sign, f"doc_id {id_type}, k1 long, k2 long, n_runs long, bands array<long>"))
+    prints = cut_lineage(rows.mapInArrow(sign, f"doc_id {id_type}, k1 long, k2 long, fp long, n_runs long, bands array<long>"))
     nodes = prints.groupBy("k1", "k2").agg(F.min("doc_id").alias("least"), F.any_value("n_runs").alias("n_runs"), F.any_value("bands").alias("bands"))
     nodes = cut_lineage(nodes)
     keyed = nodes.select(F.col("k1").alias("node"), F.explode("bands").alias("bucket"))
@@ -411,7 +430,10 @@ def _classes(rows: DataFrame, width: int, similarity: float, shard_rows: int, mo
     asked = members.select(F.col("least").alias("asked")).distinct()
     texts = marked(rows, "doc_id", marks(asked, "asked")).where("_marked").join(asked, F.expr("doc_id <=> asked"), "left_semi").select("doc_id", "text")
     runs = texts.mapInArrow(again, "node long, runs array<long>").groupBy("node").agg(F.any_value("runs").alias("runs"))
-    member = components(verified(places, runs, similarity))
+    links = verified(places, runs, similarity)
+    if radius is not None:
+        links = links.union(print_links(prints, radius, shard_rows))
+    member = components(links)
     joined = nodes.join(member, nodes.k1 == member.node, "left").select("k1", "k2", "least", F.coalesce("component", "k1").alias("c"))
     return prints.select("doc_id", "k1", "k2"), joined
 
@@ -439,16 +461,27 @@ def similar_documents(
 
 
 def distinct_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, shard_rows: int = 4096, most_shards: int = BANDS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    shard_rows: int = 4096,
+    most_shards: int = BANDS,
+    radius: int = 2,
 ) -> DataFrame:
-    """The rows of ``docs`` that stay if each group of ``similar_documents`` keeps exactly one: its smallest id.
+    """The rows of ``docs`` that stay if each group of near copies keeps exactly one: its smallest id.
+
+    Near copies are those of ``near_duplicates``: SimHash fingerprints within ``radius`` of each other, found in BK-trees. A radius of
+    2 of 64 bits reaches copies with few words changed; the rest, links of ``similar_documents``, is joined to them. A group is what
+    links of both kinds connect: every group of either operator lies whole in one.
 
     All columns are kept as they are. A null id comes after all others, so a group of null ids alone keeps one of them.
     Where a group's smallest id occurs in several of its rows, or in rows of other groups, the row is found by its text
     and, between texts of equal words, by the least hash of the whole row; of rows that are equal in all columns one stays.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    prints, joined = _classes(rows, width, similarity, shard_rows, most_shards)
+    prints, joined = _classes(rows, width, similarity, shard_rows, most_shards, radius)
     order = F.struct(F.col("least").isNull(), F.col("least"), "k1", "k2")
     keepers = cut_lineage(joined.groupBy("c").agg(F.min_by(F.struct("k1", "k2", "least"), order).alias("k")).select("k.*"))
     # A row whose id has no part in a group of several rows stays. An id of one row decides by itself; only rows whose id is
