@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 from collections.abc import Sequence
+from html.entities import html5
 
 import numpy as np
 import pandas as pd
@@ -20,14 +22,22 @@ def _unescaped(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
+_CLOSED = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+def _closed_unescaped(text: pd.Series) -> pd.Series:
+    known = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html5 else m[0]
+    return text.map(lambda t: None if t is None else _CLOSED.sub(known, t))
+
+
 def compact_exact(text: Column) -> Column:
     """NFKC, no white space, casefold, 臺 as 台; missing gives the empty text."""
     return F.pandas_udf(_folded, "string")(text)
 
 
-def unescape(text: Column) -> Column:
-    """All character references decoded."""
-    return F.pandas_udf(_unescaped, "string")(text)
+def unescape(text: Column, closed: bool = False) -> Column:
+    """All character references decoded; with ``closed`` only those that a semicolon ends, so what a cut left of one stays as it is."""
+    return F.pandas_udf(_closed_unescaped if closed else _unescaped, "string")(text)
 
 
 def common_subsequence(a: str, b: str) -> int:

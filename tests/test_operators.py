@@ -1,5 +1,6 @@
 """Rules of single operators on hand rows: risk index, opinion, linkage, writes, text, sources, streams."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from perilens.functions import udfs
 from perilens.operators import linkage, listing, opinion, quality, riskindex, upsert
 from perilens.sources import directory, payloads, sinks, statements
 from perilens.streaming import jobs
+from tests.oracle import difference
 
 
 def one(spark, column, **values):
@@ -54,6 +56,18 @@ def test_text(spark):
     assert one(spark, udfs.unescape(F.col("c")), c="&eacute;&#65;") == "éA"
 
 
+def test_references_that_a_cut_left_stay(spark, tmp_path):
+    from perilens.plans import text_queries
+
+    for raw, closed in (("&eacute;&#65;&#x42;", "éAB"), ("a&amp;&amp", "a&&amp"), ("&ampx; &#65 &", "&ampx; &#65 &"), ("&amp;lt;", "&lt;"), (None, None)):
+        assert one(spark, udfs.unescape(F.col("c"), closed=True), c=raw) == closed
+    titles = ["x&amp;&amp; y&amp", "The &quot;Straße&quot", "&lt;A&gt", "&amp;amp;", "&"]
+    spark.createDataFrame([(i, f"https://a.example/{i}", f"<h1>{t}</h1><p>p</p>") for i, t in enumerate(titles)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert difference(text_queries.l7_exact_folding(spark, str(tmp_path)), con, text_queries.ORACLE["l7_exact_folding"]) == ""
+
+
 def test_similarity():
     assert udfs.ratio("abc", "abc") == 1 and udfs.ratio("abcd", "bcde") == pytest.approx(0.75) and udfs.ratio("", "") == 1
     assert udfs.partial("大同", "新北大同幼兒園") == 1 and udfs.token_set("a b c", "c b a d") == 1
