@@ -53,15 +53,41 @@ def scored_pairs(pairs: DataFrame) -> DataFrame:
     return _with_status(out)
 
 
-def scored_pairs_simple(pairs: DataFrame) -> DataFrame:
-    """The plain scorer, in SQL only: common characters, address containment, district in the address."""
+def scored_pairs_simple(pairs: DataFrame, name: Column | None = None) -> DataFrame:
+    """The plain scorer, in SQL only: common characters (``name``, if they are known), address containment, district in the address."""
     a, b = F.coalesce("address", F.lit("")), F.coalesce("place_address", F.lit(""))
     inside = F.when((a == "") | (b == ""), False).otherwise(a.contains(b) | b.contains(a))
     here = F.coalesce((F.col("district") != "") & b.contains(F.col("district")), F.lit(False))
-    scores = {"name_score": charset_similarity("name", "place_name"), "address_score": inside.cast("double"), "geo_score": here.cast("double")}
+    scores = {"name_score": charset_similarity("name", "place_name") if name is None else name, "address_score": inside.cast("double"), "geo_score": here.cast("double")}
     return _with_status(pairs.withColumns(scores))
 
 
+def best_matches_simple(institutions: DataFrame, places: DataFrame, blocks: Sequence[str], key: str, tie: str, least: float) -> DataFrame:
+    """``best_match`` of ``scored_pairs_simple`` over all pairs that agree on ``blocks``, without a row for each pair.
+
+    Names count by their sets of characters alone, and what else a score has depends on the two addresses and the district. So
+    rows that agree on these are one class. Sets meet sets once; of the places of one address the most alike set is the best for
+    every institution with a set, as the score grows with it, and of places with both alike the least ``tie``. Only these meet
+    the institutions. Where all rows differ, classes are rows and the pairs are all met, in tasks of bounded size.
+    Gives (key, tie, scores, match_status).
+    """
+    blank = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    chars = lambda c: F.array_join(F.array_sort(F.array_distinct(F.split(F.coalesce(c, F.lit("")), ""))), "")
+    left = institutions.select(*blocks, key, chars("name").alias("_a"), blank("address"), blank("district"))
+    right = places.groupBy(*blocks, chars("place_name").alias("_b"), blank("place_address")).agg(F.min(F.struct(tie)).alias("_t"))
+    sets = _sliced(left.select(*blocks, "_a").distinct(), right.select(*blocks, "_b").distinct(), blocks, 50_000)
+    sets = sets.withColumn("_n", charset_similarity("_a", "_b"))
+    near = sets.join(right, [*blocks, "_b"]).groupBy(*blocks, "_a", "place_address").agg(F.min(F.struct((-F.col("_n")).alias("_n"), "_t")).alias("_m"))
+    classes = [*blocks, "_a", "address", "district"]
+    scored = left.select(*classes).distinct().join(near, [*blocks, "_a"])
+    scored = scored_pairs_simple(scored, -F.col("_m._n")).where(F.col("match_score") >= least)
+    kept = ["address_score", "geo_score", "match_status"]
+    first = F.min(F.struct((-F.col("match_score")).alias("match_score"), (-F.col("name_score")).alias("name_score"), "_m._t", *kept)).alias("_m")
+    best = left.join(scored.groupBy(*classes).agg(first), classes)
+    best = best.select(key, F.col(f"_m._t.{tie}").alias(tie), (-F.col("_m.match_score")).alias("match_score"), (-F.col("_m.name_score")).alias("name_score"), *[f"_m.{c}" for c in kept])
+    return best_match(best, key, tie, least)
+
+
 def _bagged(df: DataFrame, text: Column, name: str) -> DataFrame:
     """``df`` with ``<name>``, the text, and ``<name>_bag``: its characters as numbers, the same character's second, third ... occurrence as others."""
     df = df.withColumn(name, F.coalesce(text, F.lit(""))).withColumn("_c", F.filter(F.split(name, ""), lambda c: c != ""))

@@ -430,6 +430,38 @@ def test_place_matching_equals_a_loop(spark):
     assert {i: v for i, v in got.items() if i not in manual} == {i: (s, -p) for i, (s, _, p) in best.items() if i not in manual}
 
 
+def test_best_simple_matches_equal_all_pairs(spark):
+    """Names, addresses, districts and places that repeat, are empty or missing; and no row for each pair."""
+    import random
+
+    rng = random.Random(5)
+    text = lambda chars, most: rng.choice([None, *["".join(rng.choice(chars) for _ in range(rng.randint(0, most))) for _ in range(9)]])
+    at = lambda: rng.choice([None, "", "north", "north 1", "north 12", "south 1", "1"])
+    left = spark.createDataFrame([(rng.choice([1, 2, None]), i % 70, text("abcd", 5), at(), rng.choice([None, "", "north", "south"])) for i in range(90)], "block int, id int, name string, address string, district string")
+    right = spark.createDataFrame([(rng.choice([1, 2, None]), rng.choice([None, *range(40)]), text("abcde", 5), at()) for i in range(300)], "block int, place_id int, place_name string, place_address string")
+    names = ["id", "place_id", "match_score", "name_score", "address_score", "geo_score", "match_status"]
+    for least in (0.0, 0.5):
+        want = linkage.best_match(linkage.scored_pairs_simple(left.join(right, "block")), "id", "place_id", least).select(*names)
+        got = linkage.best_matches_simple(left, right, ["block"], "id", "place_id", least).select(*names)
+        same = lambda rows: sorted(tuple(r)[:4] for r in rows)  # noqa: E731  # of places with all alike, any one's other scores
+        assert same(got.collect()) == same(want.collect())
+
+
+def test_simple_matching_has_no_row_for_each_pair(spark, tmp_path, monkeypatch):
+    from perilens.plans import record_queries as R
+
+    met, plain = [], linkage.scored_pairs_simple
+    monkeypatch.setattr(linkage, "scored_pairs_simple", lambda pairs, *a: (met.append(pairs.count()), plain(pairs, *a))[1])
+    spark.createDataFrame([(1, "north")], "n_nationkey int, n_name string").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(300).selectExpr("id as s_suppkey", "concat('Supplier', id) as s_name", "1 as s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(900).selectExpr("id as c_custkey", "concat('Customer', id) as c_name", "1 as c_nationkey").write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    for t in ("nation", "supplier", "customer"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert difference(R.d13_simple_matching(spark, str(tmp_path)), con, R.ORACLE["d13_simple_matching"]) == ""
+    assert max(met) < 300 * 900 / 20
+
+
 def test_gate_twin_equals_a_loop(spark):
     import datetime
     import random
