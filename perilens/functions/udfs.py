@@ -184,6 +184,79 @@ def name_similarities(pairs: Sequence[tuple[str, str]]) -> list[float]:
     return [distinct.get(p, 0.0) for p in pairs]
 
 
+class Texts:
+    """Distinct texts that one text at a time is held against, by one bit per character of it for all of them at once.
+
+    Texts with a common beginning share the steps over it. What has white space (if ``words``) or is too long counts as alike.
+    """
+
+    def __init__(self, texts: Sequence[str], words: bool = False):
+        distinct = sorted(set(texts))
+        place = {t: i for i, t in enumerate(distinct)}
+        self.texts, self.words = distinct, words
+        self.of = np.fromiter((place[t] for t in texts), np.int64, len(texts))
+        codes, self.lengths = _codes(distinct, -1)
+        self.alphabet = np.unique(codes[codes >= 0])
+        self.codes = np.where(codes < 0, len(self.alphabet), np.searchsorted(self.alphabet, codes))
+        self.odd = np.array([words and t.split() != [t] and t != "" for t in distinct], bool)
+        self.steps, start, above = [], np.zeros(len(distinct), bool), np.zeros(len(distinct), np.int64)
+        start[:1] = True
+        for j in range(self.codes.shape[1]):
+            start[1:] |= self.codes[1:, j] != self.codes[:-1, j]
+            first = np.flatnonzero(start)
+            self.steps.append((above[first], self.codes[first, j]))
+            above = np.cumsum(start) - 1
+        self.last = above
+
+    def _masks(self, text: str) -> np.ndarray:
+        masks = np.zeros(len(self.alphabet) + 1, np.uint64)
+        for i, ch in enumerate(text):
+            at = int(np.searchsorted(self.alphabet, ord(ch)))
+            if at < len(self.alphabet) and self.alphabet[at] == ord(ch):
+                masks[at] |= np.uint64(1 << i)
+        return masks
+
+    def most(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """An upper bound of ``partial`` and ``ratio`` with each text (0 where either is empty), and the best of the windows at the beginning of texts of equal length.
+
+        With l characters in common and the shorter text's n, a window that holds them has no fewer: 2l / (n + l).
+        """
+        n = len(text)
+        if not n:
+            return np.zeros(len(self.texts)), np.zeros(len(self.texts))
+        if n > MOST_BITS or self.words and text.split() != [text]:
+            return np.where(self.lengths > 0, 1.0, 0.0), np.zeros(len(self.texts))
+        masks, full = self._masks(text), np.uint64((1 << n) - 1)
+        row, best = np.array([full]), np.zeros(1)
+        for j, (above, code) in enumerate(self.steps):
+            row = row[above]
+            hit = row & masks[code]
+            row = ((row + hit) | (row - hit)) & full
+            best = best[above]
+            if j < n:
+                best = np.maximum(best, np.where(code < len(self.alphabet), 2 * (n - np.bitwise_count(row).astype(np.int64)) / (n + j + 1), 0.0))
+        common = n - np.bitwise_count(row[self.last]).astype(np.int64)
+        bound = 2 * common / (np.minimum(self.lengths, n) + common).clip(1)
+        return np.where(self.odd, 1.0, bound), best[self.last]
+
+    def exact(self, text: str, some: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """``partial``, or ``name_similarity`` if ``words``, with the texts ``some``; ``best`` as ``most`` gives it. ``text`` isn't empty."""
+        n, out = len(text), np.zeros(len(some))
+        easy = (self.lengths[some] == n) & ~self.odd[some] if n <= MOST_BITS and not (self.words and text.split() != [text]) else np.zeros(len(some), bool)
+        at = np.flatnonzero(easy)
+        if len(at):
+            masks, full = self._masks(text[::-1]), np.uint64((1 << n) - 1)
+            codes, row, found = self.codes[some[at]], np.full(len(at), full), best[some[at]]
+            for j in range(n):
+                hit = row & masks[codes[:, n - 1 - j]]
+                row = ((row + hit) | (row - hit)) & full
+                found = np.maximum(found, 2 * (n - np.bitwise_count(row).astype(np.int64)) / (n + j + 1))
+            out[at] = found
+        if len(at := np.flatnonzero(~easy)):
+            out[at] = (name_similarities if self.words else partials)([(text, self.texts[i]) for i in some[at]])
+        return out
+
+
 def _names(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(name_similarities(list(zip(a.fillna(""), b.fillna("")))), dtype="float64")
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from perilens.functions.scalars import geo_score
 from perilens.functions.text import NAME_RULES, charset_similarity, normal_address, normal_name
-from perilens.functions.udfs import address_score, name_score
+from perilens.functions.udfs import Texts, address_score, name_score
 
 #: Weights of name, address and place, and the thresholds of the status ladder.
 WEIGHTS = (0.50, 0.35, 0.15)
@@ -146,6 +149,104 @@ def place_matches(institutions: DataFrame, places: DataFrame, blocks: Sequence[s
     return _with_status(pairs).where(F.col("match_score") >= least)
 
 
+def _tiled(left: DataFrame, right: DataFrame, blocks: Sequence[str], left_rows: int, right_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of an equi-join on ``blocks``, dealt into tiles (_i, _j) of about ``left_rows`` times ``right_rows`` of a block; every pair is in one tile."""
+    n = left.groupBy(*blocks).agg(F.count("*").alias("_l")).join(right.groupBy(*blocks).agg(F.count("*").alias("_r")), list(blocks))
+    n = n.select(*blocks, F.expr(f"(_l - 1) div {left_rows} + 1").alias("_l"), F.expr(f"(_r - 1) div {right_rows} + 1").alias("_r"))
+    total = int(n.agg(F.coalesce(F.sum(F.col("_l") * F.col("_r")), F.lit(1))).first()[0])
+    own = lambda df, count: F.pmod(F.xxhash64(*df.columns), F.col(count))
+    each = lambda count: F.explode(F.expr(f"sequence(0L, {count} - 1)"))
+    tiles = []
+    for df, i, j in ((left, own(left, "_l"), each("_r")), (right, each("_l"), own(right, "_r"))):
+        tiles.append(df.join(n, list(blocks)).withColumn("_i", i).withColumn("_j", j).drop("_l", "_r").repartition(total, *blocks, "_i", "_j"))
+    return tiles[0], tiles[1]
+
+
+def _geo_bounds(lat: float | None, lng: float | None, lats: np.ndarray, lngs: np.ndarray, missing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the most that ``geo_score`` can be by a distance that is a little off."""
+    if lat is None or lng is None:
+        return (np.full(len(lats), 0.5),) * 2
+    a, b = np.radians(lat), np.radians(lats)
+    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lngs - lng) / 2) ** 2
+    km = 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(np.nan_to_num(h), 0, 1)))
+    score = lambda km, odd: np.where(missing, 0.5, np.where(np.isnan(h), odd, np.select([km <= 0.5, km <= 1, km <= 2, km <= 5], [1.0, 0.8, 0.5, 0.2], 0.0)))
+    return score(km * 1.01 + 0.001, 0.0), score(km * 0.99 - 0.001, 1.0)
+
+
+def best_place_matches(institutions: DataFrame, places: DataFrame, blocks: Sequence[str], key: str, tie: str, least: float = MANUAL, left_rows: int = 2048, right_rows: int = 16_384) -> DataFrame:
+    """``best_match`` of ``scored_pairs`` over all pairs that agree on ``blocks``; columns as for ``place_matches``.
+
+    Pairs are dealt into tiles. In a tile an institution is held against all of its places at once by upper bounds (``Texts``) of
+    both similarities. The places of the highest bounds are scored; then all whose bound reaches the best of them. Only those that can be
+    the best, or tie with it, leave the tile, so no table has a row for each pair.
+    """
+    rules = NAME_RULES["matcher"]
+    left = institutions.withColumns({"_a": normal_name("name", rules), "_x": normal_address("address")})
+    right = places.withColumns({"_b": normal_name("place_name", rules), "_y": normal_address("place_address")})
+    left, right = _tiled(left, right, blocks, left_rows, right_rows)
+    keys = [*blocks, "_i", "_j"]
+    mine = [c for c in left.columns if c not in ("_i", "_j", "_a", "_x")]
+    theirs = [c for c in right.columns if c not in (*keys, "_b", "_y")]
+    schema = StructType([*[left.schema[c] for c in mine], *[right.schema[c] for c in theirs], *[StructField(c, DoubleType()) for c in ("name_score", "address_score")]])
+    w, slack = WEIGHTS, 1.1e-4  # scores are rounded to four places
+
+    def tile(own: pa.Table, held: pa.Table) -> pa.Table:
+        picked = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        if own.num_rows and held.num_rows:
+            names, addresses = Texts(held.column("_b").to_pylist(), words=True), Texts(held.column("_y").to_pylist())
+            raws = held.column("place_address").to_pylist()
+            raw_of = {t: i for i, t in enumerate(dict.fromkeys(raws))}
+            raw = np.fromiter((raw_of[t] for t in raws), np.int64, len(raws))
+            lats, lngs = (held.column(c).to_numpy().astype(np.float64) for c in ("place_lat", "place_lng"))
+            missing = np.array([held.column(c).is_null().to_numpy() for c in ("place_lat", "place_lng")]).any(0)
+            addresses_seen, inside_seen = {}, {}
+            for row, (a, x, district, lat, lng) in enumerate(zip(*(own.column(c).to_pylist() for c in ("_a", "_x", "district", "lat", "lng")))):
+                if district not in inside_seen:
+                    inside_seen[district] = np.array([1.0 if not district or t is not None and district in t else 0.3 for t in raw_of])
+                inside = inside_seen[district][raw]
+                if x not in addresses_seen:
+                    if len(addresses_seen) * len(addresses.texts) > 1 << 22:
+                        addresses_seen.clear()
+                    addresses_seen[x] = addresses.most(x)
+                near, near_first = addresses_seen[x]
+                empty = (addresses.lengths == 0)[addresses.of]
+                fixed = np.where(empty, 0.0 if x else 0.5, np.nan if x else 0.0)  # not a number: by similarity
+                alike, alike_first = names.most(a)
+                low, high = _geo_bounds(lat, lng, lats, lngs, missing)
+                most = w[0] * alike[names.of] + w[1] * np.where(np.isnan(fixed), near[addresses.of] * inside, fixed) + w[2] * high
+                best, todo, some = least, np.flatnonzero(most >= least - slack), 32
+                found = []
+                while len(todo):
+                    if len(todo) > some:
+                        todo = todo[np.argpartition(-most[todo], some)]
+                    now, todo = todo[:some], todo[some:]
+                    n, at = names.of[now], addresses.of[now]
+                    by_name, by_address = np.zeros(len(now)), fixed[now]
+                    if len(scored := np.flatnonzero(np.isnan(by_address))):
+                        each, back = np.unique(at[scored], return_inverse=True)
+                        by_address[scored] = np.minimum(1.0, addresses.exact(x, each, near_first)[back] * inside[now][scored])
+                    can = np.flatnonzero(w[0] * alike[n] + w[1] * by_address + w[2] * high[now] >= best - slack) if a else np.zeros(0, np.int64)
+                    if len(can := can[names.lengths[n[can]] > 0]):
+                        each, back = np.unique(n[can], return_inverse=True)
+                        by_name[can] = names.exact(a, each, alike_first)[back]
+                    can = by_name * w[0] + by_address * w[1] + high[now] * w[2] >= best - slack
+                    now, by_name, by_address = now[can], by_name[can], by_address[can]
+                    found.append((now, by_name, by_address))
+                    best = max(best, float((by_name * w[0] + by_address * w[1] + low[now] * w[2]).max(initial=0.0)))
+                    todo, some = todo[most[todo] >= best - slack], 4096
+                if found:
+                    now, by_name, by_address = (np.concatenate(c) for c in zip(*found))
+                    can = by_name * w[0] + by_address * w[1] + high[now] * w[2] >= best - slack
+                    picked.append((np.full(int(can.sum()), row), now[can], by_name[can], by_address[can]))
+        i, j, by_name, by_address = (np.concatenate(c) for c in zip(*picked))
+        columns = [*[own.column(c).take(pa.array(i)) for c in mine], *[held.column(c).take(pa.array(j)) for c in theirs], pa.array(by_name), pa.array(by_address)]
+        return pa.table(columns, names=schema.names)
+
+    pairs = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(tile, schema)
+    pairs = pairs.withColumn("geo_score", geo_score("lat", "lng", "place_lat", "place_lng"))
+    return best_match(_with_status(pairs), key, tie, least)
+
+
 def _with_status(df: DataFrame) -> DataFrame:
     w = WEIGHTS
     total = F.round(F.col("name_score") * w[0] + F.col("address_score") * w[1] + F.col("geo_score") * w[2], 4)

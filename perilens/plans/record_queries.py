@@ -185,8 +185,8 @@ def m8_place_matching(spark: SparkSession, d: str) -> DataFrame:
     """M8: D13 with the full scorer (I31), then manual overrides."""
     none = F.lit(None).cast("double")
     i, p = _both(spark, d)
-    scored = K.place_matches(i.withColumns({"lat": none, "lng": none}), p.withColumns({"place_lat": none, "place_lng": none}), ["nation"])
-    best = K.best_match(scored, "id", "place_id").select("id", "place_id", "match_score", "match_status")
+    best = K.best_place_matches(i.withColumns({"lat": none, "lng": none}), p.withColumns({"place_lat": none, "place_lng": none}), ["nation"], "id", "place_id")
+    best = best.select("id", "place_id", "match_score", "match_status")
     manual = view(spark, d, "supplier").where("s_suppkey % 50 = 0").select(F.col("s_suppkey").alias("id"), F.lit(0).cast("long").alias("place_id"))
     return K.overridden(best, manual, "id", ["place_id"])
 

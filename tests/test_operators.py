@@ -462,6 +462,53 @@ def test_simple_matching_has_no_row_for_each_pair(spark, tmp_path, monkeypatch):
     assert max(met) < 300 * 900 / 20
 
 
+def test_bounds_of_texts_hold():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    word = lambda chars: "".join(rng.choice(chars) for _ in range(rng.randint(0, 9)))
+    for words, chars in ((True, "abc"), (True, "ab é園"), (False, "ab 1")):
+        held = [word(chars) for _ in range(150)] + ["", "x" * 70, "a" * 5]
+        texts, score = udfs.Texts(held, words), udfs.name_similarity if words else udfs.partial
+        assert [texts.texts[i] for i in texts.of] == held
+        for t in [word(chars) for _ in range(25)] + ["y" * 70, "abcab"]:
+            most, first = texts.most(t)
+            want = [score(t, u) if t and u else 0.0 for u in texts.texts]
+            assert all(m >= v - 1e-12 for m, v in zip(most, want)) and (not t or texts.exact(t, np.arange(len(want)), first).tolist()[1:] == want[1:])
+
+
+def test_best_place_matches_equal_all_pairs(spark):
+    """M8: names of several words, repeated and missing ones, coordinates; in one tile of a block and in many."""
+    import random
+
+    rng = random.Random(12)
+    name = lambda: rng.choice([None, "", *["".join(rng.choice("大同幼園ab\u2003") for _ in range(rng.randint(1, 7))) for _ in range(9)]])
+    at = lambda: rng.choice([None, "", "north road 1", "north road 12", "south 1", "elsewhere", "n"])
+    place = lambda: rng.choice([(None, 121.0), (25.0, 121.0), (25.004, 121.0), (25.03, 121.01), (float("nan"), 121.0)])
+    left = spark.createDataFrame([(rng.choice([1, 2, None]), i % 60, name(), at(), rng.choice([None, "", "north", "south"]), *place()) for i in range(70)], "block int, id int, name string, address string, district string, lat double, lng double")
+    right = spark.createDataFrame([(rng.choice([1, 2, None]), i, name(), at(), *place()) for i in range(200)], "block int, place_id int, place_name string, place_address string, place_lat double, place_lng double")
+    names = ["id", "place_id", "match_score", "name_score", "address_score", "geo_score", "match_status"]
+    scored = linkage.scored_pairs(left.join(right, "block")).localCheckpoint()
+    for least, sizes in ((0.72, {}), (0.4, dict(left_rows=9, right_rows=20))):
+        want = linkage.best_match(scored, "id", "place_id", least).select(*names)
+        got = linkage.best_place_matches(left, right, ["block"], "id", "place_id", least, **sizes).select(*names)
+        keys = lambda df: sorted((r.id, r.match_score, r.name_score, r.place_id, r.match_status) for r in df.collect())
+        assert keys(got) == keys(want) and len(keys(want)) >= 20
+
+
+def test_place_matching_has_no_row_for_each_pair(spark, monkeypatch):
+    from perilens.plans import record_queries as R
+
+    met, plain = [], linkage._with_status
+    monkeypatch.setattr(linkage, "_with_status", lambda pairs: (met.append(pairs.count()), plain(pairs))[1])
+    left = spark.range(200).selectExpr("1 as nation", "id", "concat('Supplier#', id) as name", "'north' as district", "concat('north road ', id % 9) as address")
+    right = spark.range(600).selectExpr("1 as nation", "id as place_id", "concat('Customer#', id) as place_name", "concat('north road ', id % 9) as place_address")
+    monkeypatch.setattr(R, "_both", lambda *a: (left, right))
+    assert R.m8_place_matching(spark, "/root/testdata/sf0.001").count() > 100 and met and max(met) < 200 * 600 / 20
+
+
 def test_gate_twin_equals_a_loop(spark):
     import datetime
     import random
