@@ -48,9 +48,9 @@ def _statement_files(spark: SparkSession, d: str) -> DataFrame:
         ("_附表四_1.csv", "帳面價值,財產名稱", line(wide, item)),
     ]
     pick = lambda i: F.coalesce(*[F.when(k % 5 == n, F.lit(f[i]) if isinstance(f[i], str) else f[i]) for n, f in enumerate(forms)])
-    rows = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", pick(2).alias("line"), pick(1).alias("head"), pick(0).alias("ending"))
+    rows = view(spark, d, "lineitem").select("l_orderkey", "l_linenumber", pick(2).alias("line"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "line"))), lambda x: x["line"]), "\n")
-    files = rows.groupBy("l_orderkey", "head", "ending").agg(body.alias("body"))
+    files = rows.groupBy("l_orderkey").agg(body.alias("body")).withColumns({"head": pick(1), "ending": pick(0)})
     path = F.concat(F.lit("in/113學年度/N"), k.cast("string"), F.lit("甲"), "ending")
     text = F.concat("head", F.lit("\n"), "body", F.when(k % 11 == 0, '\n"cut').otherwise(""))
     return files.select(path.alias("path"), statements.kind_of(path).alias("kind"), text.cast("binary").alias("content"))
@@ -70,7 +70,7 @@ LINE_SQL = "SELECT l_orderkey AS k, 'N' || l_orderkey AS code, 'm' || l_linenumb
 )
 def a3_statement_files(spark: SparkSession, d: str) -> DataFrame:
     """Files whose headers differ, each read by its own."""
-    return statements.long_rows(statements.parsed(_statement_files(spark, d))).drop("source")
+    return statements.long_rows(statements.parsed(statements.keyed(_statement_files(spark, d)))).drop("source")
 
 
 @query("SELECT 'in/113學年度/N' || l_orderkey || '甲' || ['_113學年度收支餘絀表.csv', '_資產負債表.csv', '_現金流量表.csv', '_附表二_1.csv', '_附表四_1.csv'][1 + l_orderkey % 5] AS path FROM lineitem WHERE l_orderkey % 11 = 0 GROUP BY l_orderkey")

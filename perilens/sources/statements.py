@@ -11,6 +11,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from perilens.functions.scalars import money
 
@@ -116,29 +117,61 @@ def _read(content: bytes) -> tuple[list[str], list[list[str]]]:
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """(path, kind, at, cells, error) of files (path, content): every file read by its own header.
+    """(path, kind, at, cells, book, error) of files (path, kind, content), with their further columns: every file read by its own header.
 
     A file gives a row at -1 with its header's names, and one for each line with all its cells by name, '' for what is blank or
     marked as missing. A byte order mark is no part of the first name, lines that end early have blanks, blank lines don't count. A file that
     isn't UTF-8, has no header, a line of more cells than the lines before or a quote without end gives a single row with the error. Where
-    the first line already has a cell more than names, the first cells are taken for labels of the lines.
+    the first line already has a cell more than names, the first cells are taken for labels of the lines. The row at -1 of an appendix 4 has
+    the book values of all lines in ``book``, missing ones where there is no such column. Rows of many files share a batch.
     """
+    more = [f for f in files.schema if f.name not in ("path", "kind", "content")]
+    carried = [f.name for f in more]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, kind, content in zip(*(b.column(c).to_pylist() for c in ("path", "kind", "content"))):
+            kinds = b.column("kind").to_pylist()
+            of, at, ends, keys, cells, books, errors = [], [], [0], [], [], [], []
+
+            def full() -> pa.RecordBatch:
+                maps = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys, pa.string()), pa.array(cells, pa.string()))
+                path, kind, *own = (b.column(c).take(pa.array(of, pa.int64())) for c in ("path", "kind", *carried))
+                columns = [path, kind, pa.array(at, pa.int64()), maps, pa.array(books, pa.list_(pa.string())), pa.array(errors, pa.string()), *own]
+                for x in (of, at, keys, cells, books, errors):
+                    x.clear()
+                ends[:] = [0]
+                return pa.RecordBatch.from_arrays(columns, names=["path", "kind", "at", "cells", "book", "error", *carried])
+
+            for i, content in enumerate(b.column("content")):
                 try:
-                    (names, lines), error = _read(content or b""), None
+                    (names, lines), error = _read(content.as_py() or b""), None
                 except ValueError as problem:  # pandas' errors of parsing and decoding are such
                     names, lines, error = [], [], str(problem)
-                rows = [[(c, "") for c in names]] + [list(zip(names, line)) for line in lines]
-                for start in range(0, len(rows), 10_000):
-                    some = rows[start : start + 10_000]
-                    same = [pa.array([x] * len(some), pa.string()) for x in (path, kind, error)]
-                    at = pa.array(range(start - 1, start - 1 + len(some)), pa.int64())
-                    yield pa.RecordBatch.from_arrays([*same[:2], at, pa.array(some, pa.map_(pa.string(), pa.string())), same[2]], names=["path", "kind", "at", "cells", "error"])
-
-    return files.select("path", "kind", "content").mapInArrow(read, "path string, kind string, at long, cells map<string,string>, error string")
+                book = None
+                if kinds[i] == "appendix4":
+                    where = names.index("帳面價值") if "帳面價值" in names else None
+                    book = [None if where is None else line[where] for line in lines]
+                for k, line in enumerate([[""] * len(names), *lines], -1):
+                    of.append(i)
+                    at.append(k)
+                    keys.extend(names)
+                    cells.extend(line)
+                    ends.append(len(keys))
+                    books.append(book if k < 0 else None)
+                    errors.append(error)
+                    if len(at) == 10_000:
+                        yield full()
+            if at:
+                yield full()
+
+    schema = StructType.fromDDL("path string, kind string, at long, cells map<string,string>, book array<string>, error string")
+    return files.select("path", "kind", "content", *carried).mapInArrow(read, StructType([*schema, *more]))
+
+
+def keyed(files: DataFrame) -> DataFrame:
+    """Files with code, name, year and source of their paths, which ``parsed`` hands on: found once a file and not once a line."""
+    escaped = F.replace(F.replace(F.col("path"), F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))
+    return files.withColumns(path_keys(escaped))
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
@@ -147,7 +180,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     Its readers pass over files of no bytes, which hold no rows.
     """
     held = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(root)
-    return parsed(held.select("path", kind_of(F.col("path")).alias("kind"), "content").where("kind is not null"))
+    return parsed(keyed(held.select("path", kind_of(F.col("path")).alias("kind"), "content").where("kind is not null")))
 
 
 def bad_files(rows: DataFrame) -> DataFrame:
@@ -156,35 +189,34 @@ def bad_files(rows: DataFrame) -> DataFrame:
 
 
 def long_rows(rows: DataFrame) -> DataFrame:
-    """Parsed files as the long table, in one pass; a file gives nothing for a column that its header hasn't.
+    """Parsed files as the long table, in one pass and without a shuffle; a file gives nothing for a column that its header hasn't.
 
     The present year's amounts are under the first name that ends as they do. Files without a code in their name are left out.
     """
     cell = lambda name: F.element_at("cells", F.lit(name) if isinstance(name, str) else name)
     bare = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
     first = lambda pattern: cell(F.get(F.filter(F.map_keys("cells"), lambda c: c.rlike(pattern)), F.lit(0)))
-    entry = lambda metric, raw: F.struct(metric.alias("metric"), raw.cast("string").alias("raw"))
+    entry = lambda metric, raw, value=F.lit(None): F.struct(metric.alias("metric"), raw.cast("string").alias("raw"), value.cast("double").alias("value"))
     item, label = bare(cell("項目")), lambda end: F.when(bare(cell("項目")) != "", F.concat(bare(cell("項目")), F.lit("-" + end)))
-    there = lambda entries, raw: F.when(raw.isNotNull(), entries).otherwise(F.array().cast("array<struct<metric:string,raw:string>>"))
+    there = lambda entries, raw: F.when(raw.isNotNull(), entries).otherwise(F.array().cast("array<struct<metric:string,raw:string,value:double>>"))
     amount, done, rate = first("學年度金額$"), first(r"\d{3}學年度決算數$"), first(r"\d{3}學年度執行率$")
     kind, single = F.col("kind"), F.array(entry(bare(cell("科目")), cell("金額")))
+    total = F.aggregate("book", F.lit(0.0), lambda so_far, x: so_far + F.coalesce(money(x), F.lit(0.0)))
+    books = F.array(*[entry(F.lit(metric), F.lit(None), value) for metric, value in (("rows", F.size("book")), ("book_value", total))])
     entries = (
-        F.when(kind == "income", single)
+        F.when(F.col("at") < 0, F.when(kind == "appendix4", books))
+        .when(kind == "income", single)
         .when((kind == "balance") & F.coalesce(cell("年度類別"), F.lit("")).isin("", "本年度"), single)
         .when((kind == "cash") & amount.isNotNull(), F.array(entry(item, amount)))
         .when(kind == "appendix2", F.array(entry(label("actual"), cell("決算數")), entry(label("rate"), cell("差異率"))))
         .when(kind == "appendix3", F.concat(there(F.array(entry(label("actual"), done)), done), there(F.array(entry(label("rate"), rate)), rate)))
     )
     table = F.coalesce(*[F.when(kind == k, t) for k, t in TABLES.items()])
-    escaped = F.replace(F.replace(F.col("path"), F.lit("%"), F.lit("%25")), F.lit("+"), F.lit("%2B"))
-    good = rows.where("error is null").withColumns(path_keys(escaped)).withColumn("table", table).where("code is not null")
-    keys = ["code", "name", "year", "table"]
-    lines = good.where("kind <> 'appendix4' and at >= 0").select(*keys, "kind", "source", F.explode(entries).alias("e")).where("e.metric <> ''")
-    lines = lines.select(*keys, "e.metric", money("e.raw").alias("value"), F.when(kind == "income", "income").otherwise("other").alias("category"), "source")
-    book = F.when(F.col("at") >= 0, F.coalesce(money(cell("帳面價值")), F.lit(0.0))).otherwise(0.0)
-    sums = good.where("kind = 'appendix4'").groupBy("path", *keys, "source").agg(F.count_if(F.col("at") >= 0).cast("double").alias("rows"), F.sum(book).alias("book_value"))
-    sums = sums.unpivot([*keys, "source"], ["rows", "book_value"], "metric", "value")
-    return lines.unionByName(sums.withColumn("category", F.lit("other"))).select(*LONG)
+    rows = rows if "code" in rows.columns else keyed(rows)
+    good = rows.where("error is null and code is not null").withColumn("table", table)
+    lines = good.select("code", "name", "year", "table", "kind", "source", F.explode(entries).alias("e")).where("e.metric <> ''")
+    value = F.when(kind == "appendix4", F.col("e.value")).otherwise(money("e.raw"))
+    return lines.select("code", "name", "year", "table", "e.metric", value.alias("value"), F.when(kind == "income", "income").otherwise("other").alias("category"), "source")
 
 
 def long_table(spark: SparkSession, root: str) -> DataFrame:

@@ -430,6 +430,22 @@ def test_place_matching_equals_a_loop(spark):
     assert {i: v for i, v in got.items() if i not in manual} == {i: (s, -p) for i, (s, _, p) in best.items() if i not in manual}
 
 
+def test_statement_files_are_parsed_once(spark):
+    """A3: each file is read in one pass, appendix 4 included; files without lines, without the column, with many lines."""
+    from perilens.plans import source_queries
+
+    plan = source_queries.a3_statement_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Aggregate") == 1
+    bodies = {1: "帳面價值,財產名稱", 2: "財產名稱\nx\ny", 3: '財產名稱,帳面價值\na,"1,000"\nb,(3)\nc,abc\nd', 4: "帳面價值\n" + "2\n" * 25_000, 5: '帳面價值\n1\n"cut', 6: ""}
+    rows = [(f"in/113學年度/N{k}甲_附表四_1.csv", "appendix4", text.encode()) for k, text in bodies.items()] + [("in/113學年度/none.csv", "income", "科目,金額\na,1".encode())]
+    files = spark.createDataFrame(rows, "path string, kind string, content binary")
+    got = {(r.code, r.metric): r.value for r in statements.long_rows(statements.parsed(statements.keyed(files))).collect()}
+    assert got == {("N1", "rows"): 0.0, ("N1", "book_value"): 0.0, ("N2", "rows"): 2.0, ("N2", "book_value"): 0.0, ("N3", "rows"): 4.0, ("N3", "book_value"): 997.0, ("N4", "rows"): 25_000.0, ("N4", "book_value"): 50_000.0}
+    assert got == {(r.code, r.metric): r.value for r in statements.long_rows(statements.parsed(files)).collect()}
+    held = statements.parsed(files.withColumn("more", F.length("content")))
+    assert held.count() == 1 + 3 + 5 + 25_001 + 1 + 1 + 2 and {r.path[10:12] for r in statements.bad_files(held).collect()} == {"N5", "N6"}
+
+
 def test_best_simple_matches_equal_all_pairs(spark):
     """Names, addresses, districts and places that repeat, are empty or missing; and no row for each pair."""
     import random
