@@ -101,15 +101,21 @@ MISSING = frozenset("#N/A|#N/A N/A|#NA|-1.#IND|-1.#QNAN|-NaN|-nan|1.#IND|1.#QNAN
 
 
 def _read(content: bytes) -> tuple[list[str], list[list[str]]]:
-    """Header and lines of a file. What is regular is read by the csv module; anything else is left to pandas, which decides whether it is an error."""
+    """Header and lines of a file. What is regular is read by the csv module; anything else is left to pandas, which decides whether it is an error.
+
+    A quote without end is an error to both, unless a line starts with a blank, after which only pandas opens quotes.
+    """
+    text = ""
     try:
-        rows = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig"), newline=""), strict=True) if r]
+        text = content.decode("utf-8-sig")
+        rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if r]
         names = rows[0] if rows else []
         blank = any(len(r) == 1 and not r[0].strip() for r in rows)
         if names and not blank and all(names) and len(set(names)) == len(names) and max(map(len, rows)) == len(names):
             return names, [["" if c in MISSING else c for c in r] + [""] * (len(names) - len(r)) for r in rows[1:]]
-    except (csv.Error, UnicodeDecodeError):
-        pass
+    except (csv.Error, UnicodeDecodeError) as problem:
+        if str(problem) == "unexpected end of data" and not re.search(r"(?:^|[\r\n])[ \t]|\0", text):
+            raise ValueError("a quote without end") from None
     import pandas as pd
 
     held = pd.read_csv(io.BytesIO(content), dtype=str).fillna("")

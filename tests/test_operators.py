@@ -430,6 +430,28 @@ def test_place_matching_equals_a_loop(spark):
     assert {i: v for i, v in got.items() if i not in manual} == {i: (s, -p) for i, (s, _, p) in best.items() if i not in manual}
 
 
+def test_quotes_without_end_are_errors_to_pandas_too(monkeypatch):
+    import io
+    import random
+
+    import pandas as pd
+
+    rng, ended = random.Random(3), 0
+    for _ in range(20_000):
+        content = "".join(rng.choice(['"', '"', ",", "\n", "\r", " ", "\t", "a", "é", '"\n', "x,y\n"]) for _ in range(rng.randint(1, 12))).encode()
+        try:
+            statements._read(content)
+        except ValueError as problem:
+            if "quote without end" in str(problem):
+                ended += 1
+                with pytest.raises(ValueError):
+                    pd.read_csv(io.BytesIO(content), dtype=str)
+    assert ended > 200
+    monkeypatch.setattr(pd, "read_csv", lambda *a, **b: pytest.fail("pandas was asked"))
+    with pytest.raises(ValueError):
+        statements._read('科目,金額\nm,1\n"cut'.encode())
+
+
 def test_statement_files_are_parsed_once(spark):
     """A3: each file is read in one pass, appendix 4 included; files without lines, without the column, with many lines."""
     from perilens.plans import source_queries
